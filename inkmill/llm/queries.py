@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, token_store
+from . import media, packing, quality_rules, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (token_store.op1_token_store, quality_rules.op10_quality_rules)
+    found = (token_store.op1_token_store, packing.op4_packing, simhash.op5_simhash, media.op7_media, quality_rules.op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
