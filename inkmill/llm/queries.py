@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality_rules, simhash, token_store
+from . import compaction, kneser_ney, line_dedup, media, packing, pii, quality_rules, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (token_store.op1_token_store, packing.op4_packing, simhash.op5_simhash, media.op7_media, quality_rules.op10_quality_rules)
+    found = (
+        token_store.op1_token_store,
+        pii.op3_pii,
+        packing.op4_packing,
+        simhash.op5_simhash,
+        line_dedup.op6_line_dedup,
+        media.op7_media,
+        compaction.op8_sharding,
+        kneser_ney.op9_quality_classifier,
+        quality_rules.op10_quality_rules,
+    )
     return {f.__name__: f for f in found}
 
 
