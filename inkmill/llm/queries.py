@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, kneser_ney, line_dedup, media, packing, pii, quality_rules, simhash, token_store
+from . import compaction, kneser_ney, line_dedup, media, packing, pii, quality_rules, sentence_pieces, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_store.op1_token_store,
+        sentence_pieces.op2_sentence_pieces,
         pii.op3_pii,
         packing.op4_packing,
         simhash.op5_simhash,

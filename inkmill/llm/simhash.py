@@ -103,6 +103,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that link to one of a lesser id; of rows that repeat the least id, the first read stays.
+
+    Rows of null ids stay only in components without other ids, one of each. docs must be the read of a table.
+    """
+    rows = docs.select(common.packed(docs).alias("row"), F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("i"), F.col(text_col))
+    # Components of the rows' own numbers; the least (id, number) of each is the one that stays.
+    found = near_duplicates(rows, "k", text_col).select(F.col("id").alias("k"), "component_id")
+    placed = rows.select("k", "i").join(found, "k")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k")).alias("first")).select(F.col("first.k").alias("k"))
+    return rows.join(first, "k", "left_semi").select("row.*")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
