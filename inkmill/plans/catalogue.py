@@ -1,9 +1,11 @@
 """Every registered query of the library's own operators, and its SQL."""
 
+from . import operators, rules, shared, sources
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return shared.queries() | rules.queries() | operators.queries() | sources.queries()
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return shared.oracle_sql() | rules.oracle_sql() | operators.oracle_sql() | sources.oracle_sql()
