@@ -1,27 +1,29 @@
 """Token ids of whole texts by a `tokenizers` vocabulary, with a bounded cache of words.
 
-The word vocabulary splits at white space and never joins across it, so the ids of a text are those of its words in
-turn. Words of plain Latin text go straight to the library's BPE model; a text with any other character (combining
-marks, other scripts, a special token's opening) goes through the library's whole chain unchanged.
+The word vocabulary splits lower-cased text into pieces and never joins across them, so the ids of a text are those of
+its pieces in turn. Pieces of plain Latin text go straight to the library's BPE model; a text with any other character
+(combining marks, other scripts, a special token's opening) goes through the library's whole chain unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
+import sys
+from array import array
 from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words held by each of the two generations of a worker's cache.
-CACHE_WORDS = 300_000
+#: Pieces held by each of the two generations of a worker's cache.
+CACHE_PIECES = 220_000
 
 #: Characters outside of these need the library's normalizer; "<|" could open a special token.
 UNUSUAL = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]|<\\|")
 
-# The vocabulary's own split of lower-cased text, for the characters above.
+# The vocabulary's own split of lower-cased text, as its file has it, and for the characters above.
+PRETOKEN_OF = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-zß-öø-ÿ0-9]+")
 
 
@@ -37,19 +39,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    def __init__(self, encode, width):
+class _Pieces(dict):
+    """The ids' bytes of each piece; the older generation goes when the younger one is full."""
+
+    def __init__(self, model, width):
         super().__init__()
-        self.encode, self.width, self.old = encode, width, {}
+        self.tokenize, self.width, self.old = model.tokenize, width, {}
+        self.code = {2: "H", 4: "I"}[width.itemsize]
+        self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
         if found is None:
-            found = np.array(self.encode(word), dtype=self.width).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = array(self.code, [t.id for t in self.tokenize(written)]).tobytes()
+        if len(self) >= CACHE_PIECES:
+            self.old = self.copy()
             self.clear()
-        self[word] = found
+        self[piece] = found
         return found
 
 
@@ -59,25 +66,14 @@ class Encoder:
     def __init__(self, vocab: str):
         self.library = Tokenizer.from_str(vocab)
         self.width = np.dtype("<u2") if self.library.get_vocab_size() <= 65536 else np.dtype("<u4")
-        spec = json.loads(vocab)
-        pre = json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False)
-        self.by_word = "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and "Lowercase" in json.dumps(spec.get("normalizer"))
-        self.model, letters = self.library.model, _byte_letters()
-        self.letters = {b: c for b, c in letters.items() if chr(b) != c}
-        self.words = _Words(self._word, self.width)
-
-    def _word(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for piece in PRETOKEN.findall(word):
-            if not piece.isascii():
-                piece = piece.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(piece)]
-        return ids
+        head = vocab[: vocab.index('"vocab"')]
+        self.by_piece = PRETOKEN_OF in head and '"Lowercase"' in head and sys.byteorder == "little"
+        self.pieces = _Pieces(self.library.model, self.width)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or UNUSUAL.search(text):
+        if not self.by_piece or UNUSUAL.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return b"".join(map(self.pieces.__getitem__, PRETOKEN.findall(text.lower())))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -43,7 +43,7 @@ NO_ID = -(2**63)
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 65_536
 DICTIONARY_BYTES = 32 << 10
-#: The dictionary is trained on so many documents, those with the least hashes of their ids.
+#: The dictionary is trained on about so many documents, at most twice as many, chosen by the hashes of their ids.
 DICTIONARY_DOCS = 512
 LEVEL = 3
 
@@ -129,7 +129,9 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int, id_col: str
     common.ship(spark)
     vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), common.text_of(text_col).alias("t"))
-    sample = rows.orderBy(F.xxhash64("i"), "i").limit(DICTIONARY_DOCS).collect()
+    # About DICTIONARY_DOCS rows, chosen by the hashes of their ids.
+    one_in = max(1, docs.count() // DICTIONARY_DOCS)
+    sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(one_in)) == 0).limit(2 * DICTIONARY_DOCS).collect()
     local = encoder(vocab.value)
     dictionary = dictionary_of([local.encode(r.t) for r in sample])
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
