@@ -61,7 +61,7 @@ RULES: tuple[Rule, ...] = (
     Rule("anthropomorphism", "human_verb", "(?i)(?:system|server|program|application|software|tool|file|database|script) (?:thinks|knows|wants|believes|decides|remembers|likes|sees|understands|expects)", "A thing does what people do.", word=True, yes="The server knows the key.", no="The server stores the key."),
     Rule("articles", "a_before_vowel", "(?i)a [aeio][a-z]+", "an before a vowel sound.", word=True, never=("a one", "a once", "a european", "a unique", "a useful", "a usual", "a user"), yes="This is a apple.", no="This is an apple."),
     Rule("articles", "an_before_consonant", "(?i)an [bcdfgjklmnpqrstvwxyz][a-z]+", "a before a consonant sound.", word=True, yes="This is an banana.", no="This is a banana."),
-    Rule("capitalization", "generic", "[a-z,] (?:Server|Database|Network|File|Folder|Cluster|Browser|Application|Internet|Website)", "A generic noun needs no capital.", "low", word=True, status="dormant", yes="Restart the Server now.", no="Restart the server now."),
+    Rule("capitalization", "generic", "[a-z,] (?:Server|Database|Network|File|Folder|Cluster|Browser|Application|Internet|Website)", "A generic noun needs no capital.", "low", after="A-Za-z0-9_", status="dormant", yes="Restart the Server now.", no="Restart the server now."),
     Rule("capitalization", "names", "(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|english|german|french|spanish|europe|linux|python|kubernetes)", "A name needs a capital.", word=True, status="dormant", yes="It ends on monday.", no="It ends on Monday."),
     Rule("conjunctions", "since", "(?i)since (?:the|you|we|it|this|they) ", "because, where a reason is meant.", "low", lacks="[0-9]{4}|(?i)(?:year|month|week|day|version)", yes="Wait, since the job runs.", no="It ran since the year 1990."),
     Rule("conjunctions", "while", "(?i)while (?:the|you|we|it|this|they) ", "although, where no time is meant.", "low", lacks="(?i)(?:during|wait|running)", yes="It is fast, while the other is slow.", no="Wait while the job ends."),
