@@ -84,6 +84,13 @@ def finds(c: str | Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, p), found).otherwise(F.array().cast(SPAN))
 
 
+def finds_sql(text: str, literal: str) -> str:
+    """As `finds`, in SQL text, for a text known to have a find; literal: the pattern as a SQL string."""
+    step = "(a, x) -> struct(a.at + length(x.`0`) + length(x.`1`) AS at, concat(a.out, array(struct(a.at + length(x.`0`) AS start, a.at + length(x.`0`) + length(x.`1`) AS `end`, x.`1` AS hit))) AS out)"
+    hits = f"regexp_extract_all({text}, {literal}, 0)"
+    return f"aggregate(slice(arrays_zip(split({text}, {literal}, -1), {hits}), 1, size({hits})), struct(0 AS at, cast(array() AS {SPAN}) AS out), {step}, a -> a.out)"
+
+
 def before(text: Column, at: Column) -> Column:
     """The character before a 0-based position, or ''."""
     return F.when(at > 0, F.substring(text, at, F.lit(1))).otherwise("")
