@@ -15,7 +15,7 @@ from ..functions import text as T
 from . import duck
 from . import rules as R
 
-RENAMED = (("regexp_like", "regexp_matches"), ("bround", "round_even"), ("size", "len"), ("collect_list", "list"), ("array_join", "array_to_string"))
+RENAMED = (("regexp_like", "regexp_matches"), ("bround", "round_even"), ("size", "len"), ("collect_list", "list"), ("array_join", "array_to_string"), ("explode", "unnest"))
 
 #: Issues of four kinds over the sentences: the input of the merge, score and report queries.
 ISSUES = """
@@ -159,6 +159,47 @@ q("repeated_page_text", "blocks", "SELECT content, count(DISTINCT doc_id) AS pag
 q("changed_blocks", "blocks", "SELECT doc_id, block_idx FROM (SELECT doc_id, block_idx, sha2(concat(content, '|', block_type), 256) AS h FROM blocks) AS n LEFT ANTI JOIN (SELECT sha2(concat(content, '|', block_type), 256) AS h FROM blocks WHERE doc_id % 2 = 0) AS o ON n.h = o.h")
 q("broken_references", "blocks", "SELECT b.doc_id, b.block_idx FROM blocks AS b LEFT ANTI JOIN (SELECT DISTINCT doc_id, level FROM blocks WHERE block_type = 'heading') AS a ON b.doc_id = a.doc_id AND b.level = a.level WHERE b.block_type <> 'heading'")
 
+# -- modules: type by content, then each type's template
+MODULES = """
+shape AS (SELECT doc_id, count(*) AS n, count(CASE WHEN block_type = 'heading' THEN 1 END) AS headings, count(CASE WHEN block_type = 'list_item_ordered' THEN 1 END) AS steps, count(CASE WHEN block_type LIKE 'list_item%' THEN 1 END) AS items,
+          count(CASE WHEN block_type IN ('table_cell', 'dlist') THEN 1 END) AS cells, count(CASE WHEN block_type = 'paragraph' THEN 1 END) AS paragraphs, min_by(content, CASE WHEN block_type = 'heading' THEN block_idx ELSE 1000000 + block_idx END) AS title,
+          min(CASE WHEN block_type = 'heading' THEN block_idx END) AS first_heading, max(level) AS deepest FROM blocks GROUP BY doc_id),
+modules AS (SELECT *, CASE WHEN steps > 0 THEN 'procedure' WHEN cells * 3 >= n THEN 'reference' WHEN headings > 5 THEN 'assembly' ELSE 'concept' END AS module_type FROM shape)"""
+q("module_types", "blocks", "SELECT doc_id, module_type, headings, steps, items, cells, paragraphs FROM modules", MODULES)
+MODULE_CHECKS = {
+    "concept_module": ("concept", (("no_title", "headings = 0"), ("no_introduction", "paragraphs = 0"), ("many_lists", "items * 2 > n"), ("title_gerund", "regexp_like(title, '^[A-Z][a-z]+ing ')"), ("thin", "paragraphs < 2"))),
+    "procedure_module": ("procedure", (("single_step", "steps = 1"), ("many_steps", "steps > 10"), ("title_not_gerund", "NOT regexp_like(title, '^[A-Z][a-z]+ing ')"), ("no_introduction", "paragraphs = 0"), ("subheadings", "headings > 4"))),
+    "reference_module": ("reference", (("little_data", "cells < 4"), ("prose_heavy", "paragraphs > cells"), ("steps", "steps > 0"), ("no_title", "headings = 0"))),
+    "assembly_module": ("assembly", (("nesting", "deepest > 3"), ("no_introduction", "paragraphs = 0"), ("few_modules", "headings < 3"), ("long_title", "length(title) > 80"))),
+}
+for _name, (_type, _checks) in MODULE_CHECKS.items():
+    q(_name, "blocks", " UNION ALL ".join(f"SELECT doc_id, '{c}' AS check_name FROM modules WHERE module_type = '{_type}' AND {w}" for c, w in _checks), MODULES)
+TEMPLATE = "(SELECT 'procedure' AS module_type, 'verif' AS wanted UNION ALL SELECT 'procedure', 'prereq' UNION ALL SELECT 'concept', 'the' UNION ALL SELECT 'assembly', 'resources' UNION ALL SELECT 'reference', 'of')"
+q("template_compliance", "blocks", f"SELECT m.doc_id, m.module_type, t.wanted FROM modules AS m JOIN {TEMPLATE} AS t ON m.module_type = t.module_type LEFT ANTI JOIN (SELECT doc_id, lower(content) AS heading FROM blocks WHERE block_type = 'heading') AS h ON h.doc_id = m.doc_id AND contains(h.heading, t.wanted)", MODULES)
+q("inter_module_analysis", "blocks", "SELECT a.module_type AS from_type, b.module_type AS to_type, count(*) AS pairs FROM modules AS a JOIN modules AS b ON substr(lower(a.title), 1, 3) = substr(lower(b.title), 1, 3) AND a.doc_id < b.doc_id GROUP BY 1, 2", MODULES)
+q("content_distribution", "blocks", "SELECT module_type, count(*) AS docs, round(avg(paragraphs), 6) AS paragraphs, round(avg(headings), 6) AS headings FROM modules GROUP BY ROLLUP (module_type)", MODULES)
+q("heading_case", "blocks", "SELECT doc_id, block_idx FROM blocks WHERE block_type = 'heading' AND regexp_like(content, '^[A-Z][a-z]+( [A-Z][a-z]+){2,}')")
+q("unit_consistency", "blocks", "SELECT b.doc_id, b.block_idx FROM blocks AS b LEFT SEMI JOIN (SELECT DISTINCT doc_id FROM blocks WHERE regexp_like(content, '[0-9] ?(KiB|MiB|GiB)')) AS c ON b.doc_id = c.doc_id WHERE regexp_like(b.content, '[0-9] ?(KB|MB|GB)')")
+q("term_markup", "blocks", "SELECT doc_id, term, min(block_idx) AS first_at FROM (SELECT doc_id, block_idx, explode(regexp_extract_all(content, '([a-z]+_[a-z_]+)', 1)) AS term FROM blocks WHERE block_type <> 'listing') AS t GROUP BY doc_id, term")
+q("admonitions", "blocks", "SELECT doc_id, block_idx FROM blocks WHERE regexp_like(content, '^[A-Z]{3,12}: ') AND NOT regexp_like(content, '^(NOTE|TIP|IMPORTANT|WARNING|CAUTION|ATTENTION|DANGER|FASTPATH|RESTRICTION|REMEMBER|NOTICE|TROUBLE): ')")
+q("paragraph_indent", "blocks", "SELECT doc_id, block_idx FROM blocks WHERE block_type = 'paragraph' AND level > 0")
+q("lite_markers", "blocks", "SELECT doc_id, block_idx, CASE WHEN block_type = 'heading' THEN concat(substr('######', 1, level), ' ', content) WHEN block_type = 'list_item_ordered' THEN concat(CAST(number AS VARCHAR(20)), '. ', content) WHEN block_type = 'list_item_unordered' THEN concat('- ', content) WHEN block_type = 'blockquote' THEN concat('> ', content) ELSE content END AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY block_idx) AS number FROM (SELECT *, sum(CASE WHEN block_type <> 'list_item_ordered' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) * 2 + CASE WHEN block_type = 'list_item_ordered' THEN 1 ELSE 0 END AS island FROM blocks) AS i) AS t")
+q("outline_numbers", "blocks", "SELECT doc_id, block_idx, CAST(h1 AS INT) AS h1, CAST(row_number() OVER (PARTITION BY doc_id, h1 ORDER BY block_idx) - 1 AS INT) AS below FROM (SELECT doc_id, block_idx, level, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) AS h1 FROM blocks WHERE block_type = 'heading') AS t")
+q("consumability", "blocks", """SELECT doc_id, structure, format_score, CAST(floor(0.4e0 * structure + 0.3e0 * content_score + 0.3e0 * format_score) AS INT) AS total, CASE WHEN 0.4e0 * structure + 0.3e0 * content_score + 0.3e0 * format_score >= 60 THEN 'good' ELSE 'needs work' END AS label FROM (
+  SELECT doc_id, CASE WHEN headings > 0 THEN 35 ELSE 0 END + CASE WHEN headings > 2 THEN 25 ELSE 0 END + CASE WHEN items > 0 THEN 20 ELSE 0 END + CASE WHEN paragraphs > 2 THEN 20 ELSE 0 END AS structure,
+    CASE WHEN paragraphs > 0 THEN 30 ELSE 0 END + CASE WHEN items < n THEN 25 ELSE 0 END + 25 AS content_score, CASE WHEN cells > 0 THEN 30 ELSE 0 END + CASE WHEN items > 0 THEN 30 ELSE 0 END + CASE WHEN headings > 0 THEN 20 ELSE 0 END AS format_score FROM modules) AS t""", MODULES)
+q("short_topics", "text", "SELECT doc_id, count(*) AS sentences FROM sentences GROUP BY doc_id HAVING count(*) < 5")
+
+# -- references between pages: an edge table, anchors, broken and mutual references
+LINKS = """
+edges AS (SELECT DISTINCT page_id AS source, lower(target) AS target FROM (SELECT page_id, explode(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) AS e WHERE target <> ''),
+anchors AS (SELECT page_id, concat('/', lower(word)) AS anchor FROM (SELECT page_id, explode(regexp_extract_all(html, '<h1>([A-Za-z]+)', 1)) AS word FROM pages) AS a)"""
+q("references", "pages", "SELECT source, target FROM edges", LINKS)
+q("unresolved_references", "pages", "SELECT e.source, e.target FROM edges AS e LEFT ANTI JOIN anchors AS a ON e.target = a.anchor", LINKS)
+q("resolved_references", "pages", "SELECT e.source, a.page_id AS target_page FROM edges AS e JOIN anchors AS a ON e.target = a.anchor", LINKS)
+q("mutual_references", "pages", "SELECT p.source AS page_a, p.target AS page_b FROM (SELECT DISTINCT e.source, a.page_id AS target FROM edges AS e JOIN anchors AS a ON e.target = a.anchor) AS p JOIN (SELECT DISTINCT e.source, a.page_id AS target FROM edges AS e JOIN anchors AS a ON e.target = a.anchor) AS r ON p.source = r.target AND p.target = r.source WHERE p.source < p.target", LINKS)
+q("reference_format", "pages", "SELECT source, target FROM edges WHERE regexp_like(target, '[.,;]$') OR regexp_like(target, '^https?://[^/]+$')", LINKS)
+
 # -- lifecycle and feedback, over events as the log
 q("latest_status", "events", "SELECT session_id, issue_id, max_by(status, event_id) AS status, count(*) AS changes FROM status_log GROUP BY session_id, issue_id", LIFECYCLE)
 q("feedback_stats", "events", "SELECT rule_type, count(*) AS n, CAST(sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) AS BIGINT) AS thumbs_down, round(sum(CASE WHEN value < 10 THEN 1e0 ELSE 0e0 END) / count(*), 4) AS false_positive_rate FROM status_log GROUP BY rule_type", LIFECYCLE)
@@ -196,7 +237,7 @@ def _views(spark: SparkSession, sf_dir: str, base: str) -> None:
         T.tokens(sents).createOrReplaceTempView("tokens")
     if base == "blocks":
         R.blocks(spark, sf_dir).createOrReplaceTempView("blocks")
-    for t in {"events": ("events",), "star": ("lineitem", "orders", "customer", "nation"), "issues": ("labels",)}.get(base, ()):
+    for t in {"events": ("events",), "star": ("lineitem", "orders", "customer", "nation"), "issues": ("labels",), "pages": ("pages",)}.get(base, ()):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
