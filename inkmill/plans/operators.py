@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merge
+from ..operators import merge, references
 from ..streaming import events
 from . import shared
 
@@ -32,6 +32,13 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
+def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose links lead back to them in up to four steps; a link leads to the pages whose title opens with its word."""
+    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("pages")
+    edges = spark.sql(f"WITH {shared.LINKS} SELECT concat('/', lower(regexp_extract(p.html, '<h1>([A-Za-z]+)', 1))) AS source, e.target FROM edges AS e JOIN pages AS p ON p.page_id = e.source")
+    return references.cycles(edges.where("source <> '/'"))
+
+
 SQL = {
     "hourly_events": "SELECT CAST(date_trunc('hour', ts) AS VARCHAR(30)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "session_windows": "SELECT user_id, CAST(sum(CASE WHEN was IS NULL OR ts - was >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) AS BIGINT) AS sessions, count(*) AS events FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events) GROUP BY user_id",
@@ -39,7 +46,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (greedy_merge, hourly_events, sliding_events, session_windows)}
+    return {f.__name__: f for f in (greedy_merge, hourly_events, sliding_events, session_windows, reference_cycles)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -140,3 +140,11 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_run(spark, f"{tmp_path}/r", "one").count() == 2
     assert sorted(r.v for r in sinks.upsert(spark.createDataFrame([(1, "o"), (2, "p")], "k int, v string"), rows, "k").collect()) == ["a", "p"]
     assert "<h1>90" in sinks.report_html(90, "Excellent", {"style": 2}, ["x"])
+
+
+def test_references(spark):
+    from inkmill.operators import references
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("e", "a"), ("c", "x"), ("f", "g"), ("g", "f")], "source string, target string")
+    assert {(r.node, r.length) for r in references.cycles(edges).collect()} == {("a", 3), ("b", 3), ("c", 3), ("d", 1), ("f", 2), ("g", 2)}
+    assert [r.target for r in references.broken(edges, spark.createDataFrame([(c,) for c in "abcdfg"], "anchor string")).collect()] == ["x"]
