@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -19,6 +21,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 256
 
 _shipped: set[str] = set()
+#: Workspaces that are in use, for `tidy`.
+_made: list[str] = []
 
 
 def workspace(spark: SparkSession) -> str:
@@ -32,7 +36,16 @@ def workspace(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="inkmill-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/inkmill-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/inkmill-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def tidy(spark: SparkSession, keep: str = "") -> None:
+    """Delete all workspaces so far but one. For callers that have written every result that read them."""
+    for path in [p for p in _made if p != keep]:
+        forget(spark, path)
+        _made.remove(path)
+    release(spark)
 
 
 def written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -48,6 +61,14 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside this thread
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, wherever the driver found it; and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -8,12 +8,16 @@ that one is itself removed. Blank lines are neither compared nor removed.
 2. Words are ordered by rarity. The order comes from a sketch of SKETCH counts over all distinct lines, a table of fixed
    size: a word's class is that of its slot's count, ties go by the word's hash. Any total order gives exact results;
    this one makes prefixes selective.
-3. Prefix filter: sets within the threshold share a word among their first n - ceil(0.8 n) + 1. Lines are joined on
-   those words, with the length filter and the positional filter in the join.
-4. The pairs left are verified on the lines' own words, and the later line of each is removed.
+3. Prefix filter: sets within the threshold share a word among their first n - ceil(0.8 n) + 1. Lines meet on those
+   words, with the length filter, the positional filter, and a parity filter: a line's words flip bits of a 128-bit
+   number, and two lines' numbers differ in no more bits than the lines have words apart.
+4. First each line meets only its words' hubs (the word's most copied line): a large group of near copies settles in
+   as many meetings as it has lines. Then the lines that are not settled meet the earlier lines of all their words.
+   Both run in passes over shares of the words, so that only a share of the index lies on disk at a time.
+5. The pairs left are verified on the lines' own words, and the later line of each is removed.
 
-The join's rows are index entries, never all pairs of a group: equal lines, however many, are one entry, and Spark
-splits the lists of frequent words as skewed join partitions.
+The joins' rows are index entries, never all pairs of a group: equal lines, however many, are one entry, hubs settle
+near copies, and Spark splits the lists of frequent words as skewed partitions of the join.
 
 Null and empty texts have no lines and stay as they are; ids may be null (they come first) and repeated (repeated rows
 follow each other in the order of the read); an empty table gives no rows; other columns come back unchanged, whatever
@@ -22,8 +26,12 @@ their names. docs must be the read of a table, since places are numbered by it t
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -32,69 +40,132 @@ UP, DOWN = 4, 5
 SKETCH = 65_536
 #: Rarity classes: so many for each doubling of a slot's count, and below 128 in all.
 CLASSES = 3
+#: The index is dealt by word in so many passes, each of which has its share on disk alone.
+PASSES = 4
+#: Lines of so many pairs at most are picked by a broadcast of their ids.
+BROADCAST_PAIRS = 1_000_000
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("i"), common.text_of(text_col).alias("t"), common.packed(docs).alias("row"))
 
 
-def _lines(numbered: DataFrame) -> DataFrame:
-    lines = numbered.select("k", "i", F.posexplode(F.split("t", "\n")).alias("n", "line"))
-    return lines.where(F.translate("line", common.BLANKS, "") != "")
-
+NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 
-def _set(line: str) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, common.BLANKS, " " * len(common.BLANKS)), " "), ""))
 
-
-def sketch(reps: DataFrame) -> bytes:
-    """A rarity class for each slot, from all words of all distinct lines."""
-    slots = reps.select(F.explode(_set("line")).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).alias("slot"))
-    classes = bytearray(SKETCH)
-    for r in slots.groupBy("slot").agg(F.count("*").alias("n")).collect():
-        classes[r.slot] = min(127, 1 + int(CLASSES * (int(r.n).bit_length() + r.n / 2 ** int(r.n).bit_length())))
-    return bytes(classes)
+def _lines(numbered: DataFrame) -> DataFrame:
+    return numbered.select("k", "i", F.posexplode(F.split("t", "\n")).alias("n", "line")).where(F.col("line").rlike(NOT_BLANK))
 
 
-def _ordered(line: str, classes: bytes) -> Column:
-    """The words' keys in the order of rarity: class in the upper bits, 56 bits of the hash below."""
-    slots = F.lit(bytearray(classes))
+def _words(line: str) -> Column:
+    """A line's words; some may be empty."""
+    plain = F.when(F.col(line).rlike("[\\x09-\\x0D]"), F.translate(line, common.BLANKS, " " * len(common.BLANKS))).otherwise(F.col(line))
+    return F.split(plain, " ")
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        cls = F.ascii(F.substring(slots, F.pmod(h, F.lit(SKETCH)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(cls.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.transform(_set(line), key))
+def sketch(reps: DataFrame) -> list[int]:
+    """A rarity class for each slot, from all words of all distinct lines: so many for each doubling of the count."""
+    slots = reps.select(F.explode(_words("line")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("slot"))
+    classes = [0] * SKETCH
+    for r in slots.groupBy("slot").agg(F.count("*").alias("n")).collect():
+        classes[r.slot] = min(127, int(CLASSES * math.log2(r.n + 1)))
+    return classes
+
+
+def keys(reps: DataFrame, classes: list[int]) -> DataFrame:
+    """(id, copies, doc, n, up, low, prefix): distinct words of each line, their parities, and the keys of its prefix.
+
+    A key has a word's class in the upper bits and 56 bits of its hash below.
+    """
+    hashes = F.array_distinct(F.transform(F.array_remove(_words("line"), ""), lambda w: F.xxhash64(w)))
+    sets = reps.select("id", "copies", F.coalesce("place.i", F.lit(-(2**63))).alias("doc"), hashes.alias("h"))
+    table = f"cast(split('{','.join(str(c << 56) for c in classes)}', ',') AS array<bigint>)"
+    key = f"transform(h, x -> {table}[x & {SKETCH - 1}] | (x & {(1 << 56) - 1}L))"
+    # Bits 63 to 57 of a hash: one of 128 bits, the upper and the lower half by itself.
+    flip = "shiftleft(1L, int(shiftrightunsigned(x, 57)) & 63)"
+    upper, lower = (f"aggregate(filter(h, x -> x {side} 0), 0L, (a, x) -> a ^ {flip})" for side in ("<", ">="))
+    ordered = sets.select("id", "copies", "doc", F.size("h").alias("n"), F.expr(upper).alias("up"), F.expr(lower).alias("low"), F.sort_array(F.expr(key)).alias("keys"))
+    return ordered.select("id", "copies", "doc", "n", "up", "low", F.slice("keys", F.lit(1), F.expr(f"cast(n - (n * {UP} + {DOWN - 1}) div {DOWN} + 1 AS int)")).alias("prefix"))
+
+
+def _index(keyed: DataFrame, of: int, *more: str) -> DataFrame:
+    """Index entries of one pass' words."""
+    entries = keyed.select("id", "n", "up", "low", *more, F.posexplode("prefix").alias("at", "word"))
+    return entries.where(F.pmod(F.col("word"), F.lit(PASSES)) == of)
+
+
+def _by_passes(spark: SparkSession, path: str, meet: Callable[[int], DataFrame]) -> DataFrame:
+    """The pairs (x, y) of all passes; each is written, and its shuffle goes, before the next."""
+    for of in range(PASSES):
+        meet(of).distinct().write.parquet(f"{path}/{of}")
+        common.release(spark)
+    pairs = spark.read.schema("x long, y long").parquet(*[f"{path}/{of}" for of in range(PASSES)])
+    return common.written(pairs.distinct(), f"{path}/all")
+
+
+def _may_match(a: str, b: str) -> str:
+    """SQL: the length, positional and parity filters for index entries a and b of one word."""
+    need = f"(({UP} * ({a}.n + {b}.n) + {UP + DOWN - 1}) div {UP + DOWN})"
+    return f"{a}.n * {UP} <= {b}.n * {DOWN} AND {b}.n * {UP} <= {a}.n * {DOWN} AND least({a}.n - {a}.at, {b}.n - {b}.at) >= {need} AND bit_count({a}.up ^ {b}.up) + bit_count({a}.low ^ {b}.low) <= {a}.n + {b}.n - 2 * {need}"
+
+
+def _later(pairs: DataFrame, reps: DataFrame, path: str) -> DataFrame:
+    """(id) of the later line of each pair (x, y) whose words are similar enough."""
+    picked = reps.select("id", "place", "line")
+    if pairs.count() <= BROADCAST_PAIRS:  # at most 16 MB of ids; beyond that the lines are shuffled by id instead
+        picked = picked.join(F.broadcast(pairs.selectExpr("explode(array(x, y)) AS id").distinct()), "id", "left_semi")
+    else:
+        picked = picked.join(pairs.selectExpr("explode(array(x, y)) AS id").distinct(), "id", "left_semi")
+    picked = common.written(picked, f"{path}/picked")
+    # First on 15-bit hashes: words that share one count once, so a set's loss of members is granted to the overlap.
+    full = F.array_distinct(F.array_remove(_words("line"), ""))
+    brief = picked.select("id", F.size(full).alias("n"), F.array_distinct(F.transform(full, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)).cast("smallint"))).alias("s"))
+    x, y = (brief.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}")) for k in "xy")
+    most = F.size(F.array_intersect("sx", "sy")) + F.col("nx") - F.size("sx")
+    close = pairs.join(x, "x").join(y, "y").where((UP + DOWN) * most >= UP * (F.col("nx") + F.col("ny"))).select("x", "y")
+    left = close.join(picked.select(F.col("id").alias("x"), F.col("place").alias("px"), F.col("line").alias("lx")), "x")
+    both = left.join(picked.select(F.col("id").alias("y"), F.col("place").alias("py"), F.col("line").alias("ly")), "y")
+    sx, sy = (F.array_distinct(F.array_remove(_words(c), "")) for c in ("lx", "ly"))
+    shared = both.select("x", "y", "px", "py", F.size(F.array_intersect(sx, sy)).alias("c"), (F.size(sx) + F.size(sy)).alias("m"))
+    return shared.where(f"{UP + DOWN} * c >= {UP} * m").select(F.when(F.col("px") < F.col("py"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct()
 
 
 def survivors(numbered: DataFrame, path: str) -> DataFrame:
     """(k, n): the places of the lines that stay."""
+    spark = numbered.sparkSession
     lines = _lines(numbered).select(F.struct("i", "k", "n").alias("place"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    first = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"))
-    reps = common.written(first.select(F.monotonically_increasing_id().alias("id"), "place", "line"), f"{path}/lines")
+    first = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.count("*").alias("copies"))
+    reps = common.written(first.select(F.monotonically_increasing_id().alias("id"), "place", "line", "copies"), f"{path}/lines")
+    del lines, first
+    common.release(spark)
+    keyed = common.written(keys(reps, sketch(reps)), f"{path}/keys")
+
+    def to_hubs(of: int) -> DataFrame:
+        # The window holds a word's lines in rows that spill, and passes them on one by one.
+        hub = F.max(F.struct("copies", "id", "n", "at", "up", "low")).over(Window.partitionBy("word")).alias("b")
+        met = _index(keyed, of, "copies").select(F.struct("id", "n", "at", "up", "low").alias("a"), hub).where(f"a.id <> b.id AND {_may_match('a', 'b')}")
+        return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+    settled = common.written(_later(_by_passes(spark, f"{path}/hub-pairs", to_hubs), reps, f"{path}/hubs"), f"{path}/settled")
+
+    flagged = keyed.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("settled", F.col("settled").isNotNull())
 
-    classes = sketch(reps)
-    sized = reps.select("id", _ordered("line", classes).alias("keys")).select("id", "keys", F.size("keys").alias("n"))
-    prefix = F.slice("keys", F.lit(1), F.expr(f"n - (n * {UP} + {DOWN - 1}) div {DOWN} + 1").cast("int"))
-    index = sized.select("id", "n", F.posexplode(prefix).alias("at", "word")).select("word", "id", "n", "at")
-    a, b = index.alias("a"), index.alias("b")
-    need = f"(({UP} * (a.n + b.n) + {UP + DOWN - 1}) div {UP + DOWN})"
-    near = a.join(b, F.expr(f"a.word = b.word AND a.id < b.id AND a.n * {UP} <= b.n * {DOWN} AND b.n * {UP} <= a.n * {DOWN} AND least(a.n - a.at, b.n - b.at) >= {need}"))
-    pairs = near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    def to_earlier(of: int) -> DataFrame:
+        index = _index(flagged, of, "doc", "settled")
+        # One condition on both sides, which Spark leaves above the shuffle: so both sides read the same one.
+        open_ = "CASE WHEN b.settled THEN false ELSE a.doc <= b.doc END"
+        near = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word AND a.id <> b.id AND {open_} AND {_may_match('a', 'b')}"))
+        return near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))  # y is the later one, or of the same document
 
-    left = pairs.join(reps.select(F.col("id").alias("x"), F.col("place").alias("px"), _set("line").alias("sx")), "x")
-    both = left.join(reps.select(F.col("id").alias("y"), F.col("place").alias("py"), _set("line").alias("sy")), "y")
-    shared = both.select("x", "y", "px", "py", F.size(F.array_intersect("sx", "sy")).alias("c"), (F.size("sx") + F.size("sy")).alias("m"))
-    later = shared.where(f"{UP + DOWN} * c >= {UP} * m").select(F.when(F.col("px") < F.col("py"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct()
-    return reps.select("id", "place").join(later, "id", "left_anti").select("place.k", "place.n")
+    more = common.written(_later(_by_passes(spark, f"{path}/pairs", to_earlier), reps, f"{path}/rest"), f"{path}/more")
+    return reps.select("id", "place").join(settled.unionByName(more).distinct(), "id", "left_anti").select("place.k", "place.n")
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(i, n_lines, removed): for each row of docs its id, lines that are not blank, and the numbers of the removed ones from 0."""
     numbered = _numbered(docs, id_col, text_col)
     stay = survivors(numbered, common.workspace(docs.sparkSession)).groupBy("k").agg(F.collect_list("n").alias("stay"))
-    there = F.filter(F.transform(F.split("t", "\n"), lambda line, n: F.when(F.translate(line, common.BLANKS, "") != "", n)), lambda n: n.isNotNull())
+    there = F.array_compact(F.transform(F.split("t", "\n"), lambda line, n: F.when(line.rlike(NOT_BLANK), n)))
     whole = numbered.select("k", "i", there.alias("there")).join(stay, "k", "left")
     return whole.select("i", F.size("there").alias("n_lines"), F.array_except("there", F.coalesce("stay", F.array().cast("array<int>"))).alias("removed"))
 
@@ -105,7 +176,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     stay = survivors(numbered, common.workspace(docs.sparkSession)).groupBy("k").agg(F.collect_list("n").alias("stay"))
     whole = numbered.select("k", "t", "row").join(stay, "k", "left")
     stays = F.coalesce("stay", F.array().cast("array<int>"))
-    kept = F.filter(F.split("t", "\n"), lambda line, n: (F.translate(line, common.BLANKS, "") == "") | F.array_contains(stays, n))
+    kept = F.filter(F.split("t", "\n"), lambda line, n: ~line.rlike(NOT_BLANK) | F.array_contains(stays, n))
     text = F.when(F.col(f"row.{text_col}").isNotNull(), F.array_join(kept, "\n"))
     return whole.select(*[(text.alias(c) if c == text_col else F.col("row")[c].alias(c)) for c in docs.columns])
 
