@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_copies
 from .components import components
 
 RADIUS = 2
@@ -104,15 +104,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that link to one of a lesser id; of rows that repeat the least id, the first read stays.
+    """docs without the rows that are near copies (near_copies.py) of one of a lesser id; of rows that repeat the least id, the first read stays.
 
     Rows of null ids stay only in components without other ids, one of each. docs must be the read of a table.
     """
-    rows = docs.select(common.packed(docs).alias("row"), F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("i"), F.col(text_col))
+    rows = docs.select(common.packed(docs).alias("row"), F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("i"), common.text_of(text_col).alias("t"))
     # Components of the rows' own numbers; the least (id, number) of each is the one that stays.
-    found = near_duplicates(rows, "k", text_col).select(F.col("id").alias("k"), "component_id")
+    found = near_copies.near_copies(rows.select("k", "t"))
     placed = rows.select("k", "i").join(found, "k")
-    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k")).alias("first")).select(F.col("first.k").alias("k"))
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k")).alias("first")).select(F.col("first.k").alias("k"))
     return rows.join(first, "k", "left_semi").select("row.*")
 
 
