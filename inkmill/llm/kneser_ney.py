@@ -164,11 +164,11 @@ def _band() -> Column:
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
-    """(lang, band, most) from the trusted rows' perplexities; a null lang or band holds for all of them."""
+    """(lang, band, most) from the trusted rows' perplexities; a null lang or band holds for all of them, however few."""
     q = F.percentile_approx("perplexity", HIGH, 10000).alias("high")
     known = scored.where("perplexity IS NOT NULL").select(F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"), _band().alias("band"), "perplexity")
     cube = known.groupingSets([["lang", "band"], ["lang"], []], "lang", "band").agg(F.count("*").alias("n"), q)
-    return cube.where(f"n >= {LEAST}").select("lang", "band", (F.col("high") * MARGIN).alias("most"))
+    return cube.where(f"n >= {LEAST} OR (n > 0 AND lang IS NULL)").select("lang", "band", (F.col("high") * MARGIN).alias("most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
