@@ -15,6 +15,7 @@ from .rule_table import RULES, Rule, category
 
 ISSUE = "rule_name string, check string, category string, severity string, start int, `end` int, flagged string, message string"
 NEIGHBOUR = "[\\p{L}\\p{N}_]"
+#: Words of the built-in lexicon's longest term.
 LONGEST_TERM = 5
 
 
@@ -58,9 +59,10 @@ def pattern_issues(sents: DataFrame, rules: tuple[Rule, ...] = RULES, block_type
 
 def lexicon_issues(sents: DataFrame, lexicon: DataFrame, fixed: bool = True) -> DataFrame:
     """sents' columns with rule_name, category, severity, pos (of the first word), flagged and replacement."""
+    longest = lexicon.agg(F.max(F.size(F.split("term", " ")))).head()[0] or 1
     word = sents.withColumn("_w", T.words("sentence"))
     runs = word.select(*sents.columns, "_w", F.posexplode("_w").alias("pos", "_first")).select(
-        *sents.columns, "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_TERM), F.size("_w") - F.col("pos"))), lambda n: F.array_join(F.slice("_w", F.col("pos") + 1, n), " "))).alias("flagged")
+        *sents.columns, "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("_w") - F.col("pos"))), lambda n: F.array_join(F.slice("_w", F.col("pos") + 1, n), " "))).alias("flagged")
     )
     cat = F.when(F.col("rule_type").contains("word_usage"), "word-usage").otherwise("style")
     lex = lexicon.select(F.col("rule_type").alias("rule_name"), cat.alias("category"), "severity", "replacement", "case_sensitive", F.lower("term").alias("_term"), F.col("term").alias("_exact"))
