@@ -37,11 +37,12 @@ from . import common
 
 #: Jaccard threshold as a fraction.
 UP, DOWN = 4, 5
-SKETCH = 65_536
+#: Slots of the sketch, a power of two.
+SKETCH = 1 << 18
 #: Rarity classes: so many for each doubling of a slot's count, and below 128 in all.
 CLASSES = 3
 #: The index is dealt by word in so many passes, each of which has its share on disk alone.
-PASSES = 4
+PASSES = 2
 #: Lines of so many pairs at most are picked by a broadcast of their ids.
 BROADCAST_PAIRS = 1_000_000
 
@@ -64,11 +65,15 @@ def _words(line: str) -> Column:
 
 
 def sketch(reps: DataFrame) -> list[int]:
-    """A rarity class for each slot, from all words of all distinct lines: so many for each doubling of the count."""
+    """A rarity class for each of SKETCH slots, from all words of all distinct lines: so many for each doubling of the count."""
     slots = reps.select(F.explode(_words("line")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("slot"))
-    classes = [0] * SKETCH
-    for r in slots.groupBy("slot").agg(F.count("*").alias("n")).collect():
-        classes[r.slot] = min(127, int(CLASSES * math.log2(r.n + 1)))
+    rarity = F.least(F.lit(127), F.floor(CLASSES * F.log2(F.count("*") + 1)))
+    # As many rows for the driver as there are classes, each with its slots: the table's size is fixed.
+    rows = slots.groupBy("slot").agg(rarity.cast("int").alias("class")).groupBy("class").agg(F.array_join(F.collect_list(F.col("slot").cast("string")), ",").alias("slots"))
+    classes = [1] * SKETCH
+    for r in rows.collect():
+        for slot in r.slots.split(","):
+            classes[int(slot)] = r["class"]
     return classes
 
 
@@ -77,14 +82,14 @@ def keys(reps: DataFrame, classes: list[int]) -> DataFrame:
 
     A key has a word's class in the upper bits and 56 bits of its hash below.
     """
-    hashes = F.array_distinct(F.transform(F.array_remove(_words("line"), ""), lambda w: F.xxhash64(w)))
-    sets = reps.select("id", "copies", F.coalesce("place.i", F.lit(-(2**63))).alias("doc"), hashes.alias("h"))
-    table = f"cast(split('{','.join(str(c << 56) for c in classes)}', ',') AS array<bigint>)"
-    key = f"transform(h, x -> {table}[x & {SKETCH - 1}] | (x & {(1 << 56) - 1}L))"
-    # Bits 63 to 57 of a hash: one of 128 bits, the upper and the lower half by itself.
-    flip = "shiftleft(1L, int(shiftrightunsigned(x, 57)) & 63)"
-    upper, lower = (f"aggregate(filter(h, x -> x {side} 0), 0L, (a, x) -> a ^ {flip})" for side in ("<", ">="))
-    ordered = sets.select("id", "copies", "doc", F.size("h").alias("n"), F.expr(upper).alias("up"), F.expr(lower).alias("low"), F.sort_array(F.expr(key)).alias("keys"))
+    table = f"cast(split('{','.join(map(str, classes))}', ',') AS array<tinyint>)"
+    hashes = F.transform(F.array_remove(_words("line"), ""), lambda w: F.xxhash64(w)).alias("h")
+    # Never null, which lets Spark sort plain numbers.
+    key = f"transform(h, x -> coalesce(shiftleft(cast({table}[x & {SKETCH - 1}] AS bigint), 56), 0L) | (x & {(1 << 56) - 1}L))"
+    sets = reps.select("id", "copies", F.coalesce("place.i", F.lit(-(2**63))).alias("doc"), hashes).select("id", "copies", "doc", F.array_distinct(F.expr(key)).alias("h"))
+    # Bits 55 to 49 of a key: one of 128 bits, the upper and the lower half by itself (a shift takes a number's last 6 bits).
+    upper, lower = (f"aggregate(h, 0L, (a, x) -> CASE WHEN (x & {1 << 55}L) {side} 0 THEN a ^ shiftleft(1L, cast(shiftright(x, 49) AS int)) ELSE a END)" for side in ("<>", "="))
+    ordered = sets.select("id", "copies", "doc", F.size("h").alias("n"), F.expr(upper).alias("up"), F.expr(lower).alias("low"), F.sort_array("h").alias("keys"))
     return ordered.select("id", "copies", "doc", "n", "up", "low", F.slice("keys", F.lit(1), F.expr(f"cast(n - (n * {UP} + {DOWN - 1}) div {DOWN} + 1 AS int)")).alias("prefix"))
 
 
@@ -116,11 +121,11 @@ def _later(pairs: DataFrame, reps: DataFrame, path: str) -> DataFrame:
         picked = picked.join(F.broadcast(pairs.selectExpr("explode(array(x, y)) AS id").distinct()), "id", "left_semi")
     else:
         picked = picked.join(pairs.selectExpr("explode(array(x, y)) AS id").distinct(), "id", "left_semi")
-    picked = common.written(picked, f"{path}/picked")
     # First on 15-bit hashes: words that share one count once, so a set's loss of members is granted to the overlap.
     full = F.array_distinct(F.array_remove(_words("line"), ""))
-    brief = picked.select("id", F.size(full).alias("n"), F.array_distinct(F.transform(full, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)).cast("smallint"))).alias("s"))
-    x, y = (brief.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}")) for k in "xy")
+    brief = F.array_distinct(F.transform("full", lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)).cast("smallint")))
+    picked = common.written(picked.withColumn("full", full).select("id", "place", "line", F.size("full").alias("n"), brief.alias("s")), f"{path}/picked")
+    x, y = (picked.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}")) for k in "xy")
     most = F.size(F.array_intersect("sx", "sy")) + F.col("nx") - F.size("sx")
     close = pairs.join(x, "x").join(y, "y").where((UP + DOWN) * most >= UP * (F.col("nx") + F.col("ny"))).select("x", "y")
     left = close.join(picked.select(F.col("id").alias("x"), F.col("place").alias("px"), F.col("line").alias("lx")), "x")
@@ -142,20 +147,19 @@ def survivors(numbered: DataFrame, path: str) -> DataFrame:
 
     def to_hubs(of: int) -> DataFrame:
         # The window holds a word's lines in rows that spill, and passes them on one by one.
-        hub = F.max(F.struct("copies", "id", "n", "at", "up", "low")).over(Window.partitionBy("word")).alias("b")
-        met = _index(keyed, of, "copies").select(F.struct("id", "n", "at", "up", "low").alias("a"), hub).where(f"a.id <> b.id AND {_may_match('a', 'b')}")
+        entry = _index(keyed, of, "copies").select("word", F.struct("copies", "id", "n", "at", "up", "low").alias("a"))
+        met = entry.select("a", F.max("a").over(Window.partitionBy("word")).alias("b")).where(f"a.id <> b.id AND {_may_match('a', 'b')}")
         return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
 
     settled = common.written(_later(_by_passes(spark, f"{path}/hub-pairs", to_hubs), reps, f"{path}/hubs"), f"{path}/settled")
 
-    flagged = keyed.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("settled", F.col("settled").isNotNull())
+    flagged = keyed.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("due", F.when(F.col("settled"), F.lit(-(2**63))).otherwise(F.col("doc")))
 
     def to_earlier(of: int) -> DataFrame:
-        index = _index(flagged, of, "doc", "settled")
-        # One condition on both sides, which Spark leaves above the shuffle: so both sides read the same one.
-        open_ = "CASE WHEN b.settled THEN false ELSE a.doc <= b.doc END"
-        near = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word AND a.id <> b.id AND {open_} AND {_may_match('a', 'b')}"))
-        return near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))  # y is the later one, or of the same document
+        index = _index(flagged, of, "doc", "due")
+        # A settled line is due before any other. Both sides read the same columns, so that Spark shuffles the index once.
+        near = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word AND {_may_match('a', 'b')} AND a.id < b.id AND (a.doc <= b.due OR b.doc <= a.due)"))
+        return near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
 
     more = common.written(_later(_by_passes(spark, f"{path}/pairs", to_earlier), reps, f"{path}/rest"), f"{path}/more")
     return reps.select("id", "place").join(settled.unionByName(more).distinct(), "id", "left_anti").select("place.k", "place.n")
