@@ -63,10 +63,9 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works beside this thread
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside this thread
 
 
 def ship(spark: SparkSession) -> None:
@@ -98,6 +97,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_GAP), "")
 
 
+def numbered(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The given columns and k, each row's number in the read of docs: the same in every read of one table."""
+    return docs.select(F.monotonically_increasing_id().alias("k"), *[c.alias(name) for name, c in columns.items()])
+
+
 def packed(df: DataFrame) -> Column:
     """Every column of df in one struct, so that names which an operator uses cannot clash with the caller's."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])

@@ -1,66 +1,75 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, thresholded by quantiles of a language.
+"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded by language.
 
-Symbols are UTF-8 bytes, so the model's size has a bound that no corpus passes: ORDER = 3 gives at most 256**3 counts
-(64 MB as 32-bit floats), which is what each Python worker holds and what makes broadcasting it sound. Counts come from
-all trusted rows (labelled quality 1 and not toxic), summed by key before the shuffle; totals, continuation counts and
-probabilities are Spark joins of the count tables, dealt by their keys.
+Tokens are runs of letters, marks and digits, and runs of other signs between blanks. A token's symbol is its hash in
+SYMBOL_BITS bits (0 opens a text), so ORDER symbols and the order fit one 64-bit key, and the table of single symbols has
+a bound that no corpus passes; the tables of longer n-grams grow with the trusted text.
 
-Modified Kneser-Ney: the highest order has raw counts, the lower ones the number of different bytes seen before; three
-discounts for each order from its counts of counts; each order is interpolated with the next lower one, the lowest with
-the uniform distribution.
+Model. The highest order has raw counts, the lower ones the number of different symbols seen before; three discounts for
+each order from its counts of counts; each order is interpolated with the next lower one, the lowest with the uniform
+distribution over the symbols. Counts, totals, discounted shares and probabilities are Spark joins of sharded tables.
 
-A document's perplexity is over all its bytes, each text opened by two start bytes. Short texts scatter more, so a
-document is compared with the trusted documents of its language and of its band of lengths (a power of four of bytes):
-it is rejected above the band's HIGH quantile times MARGIN. A group with fewer than LEAST trusted documents uses those
-of its language, and then all trusted ones; without trusted documents nothing is rejected.
+Scoring. The logarithm of an interpolated probability is a sum over the n-grams that end at a token:
 
-Null and empty texts have no perplexity and are kept; a null language is a language of its own; repeated rows and ties
-score alike; labels count once a document however often they repeat; an empty table gives no rows; the row's other
-columns come back packed, whatever their names.
+    log p(w | context) = base + pred(w) + sum over orders o from 2 of [ctx(context of o) + pred(n-gram of o)]
+
+with ctx the logarithm of what a seen context leaves to the lower order, pred what a seen n-gram adds to that, and 0 for
+unseen ones. So each document's n-grams meet the model in one inner join by key, sharded on both sides, and the values
+are summed by document. The joins run in PASSES shares of the keys; only one share of the n-grams is shuffled at a time.
+The table of single symbols, at most 2**SYMBOL_BITS rows, is broadcast.
+
+Thresholds. The model is trained on one half of the trusted documents (by hash of their ids) and the thresholds come from
+the other half, which it has not seen, as it has not seen unlabelled text. A short text gives little evidence, so a
+document's surprise is shrunk towards its language's median by PRIOR tokens; it is rejected if the shrunk perplexity is
+over the language's HIGH quantile times MARGIN. A language with fewer than LEAST held-out documents takes the quantile of
+all languages, however few documents there are; without held-out documents nothing is rejected.
+
+Texts without tokens (null, empty, blank) have no perplexity and are kept; null and empty languages are languages of
+their own; repeated rows and ties score alike; labels count once a document however often they repeat; an empty table
+gives no rows; the row's other columns come back packed, whatever their names. docs must be the read of a table: rows
+are told apart by their place in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 3
-START = 2
-HIGH = 0.995
-MARGIN = 1.15
+TOKEN = "[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{L}\\p{M}\\p{N}]+"
+SYMBOL_BITS = 20
+ORDER = 2
+PASSES = 4
+HIGH = 0.99
+MARGIN = 1.2
+PRIOR = 20
 LEAST = 100
+MASK = (1 << SYMBOL_BITS) - 1
+ORDER_BIT = 3 * SYMBOL_BITS  # up to three orders fit
+
 
-# bytes a, b before c: key = a << 16 | b << 8 | c
-COUNTS = "key int, n long"
+def symbols(text: str, order: int) -> Column:
+    """A text's symbols after order - 1 openings."""
+    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(MASK)) + 1)
+    return F.concat(F.array_repeat(F.lit(0).cast("long"), order - 1), found)
 
 
-def _keys(text: bytes) -> np.ndarray:
-    """A text's 3-byte keys, one for each byte."""
-    x = np.frombuffer(bytes([START, START]) + text, dtype=np.uint8).astype(np.int32)
-    return x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+def grams(s: str, size: int, order: int) -> str:
+    """SQL: the keys of all n-grams of this size that end at a token; the first of them ends at the first token."""
+    parts = " | ".join(f"shiftleft({s}[i + {order - size + k}], {SYMBOL_BITS * (size - 1 - k)})" for k in range(size))
+    return f"CASE WHEN size({s}) >= {order} THEN transform(sequence(0, size({s}) - {order}), i -> {size << ORDER_BIT}L | {parts}) ELSE array() END"
 
 
-def count(trusted: DataFrame) -> DataFrame:
-    """(key, n) of the column `text`: each task sums its own rows first."""
+def context(key: str, size: int) -> str:
+    """SQL: the key of the first size - 1 symbols."""
+    return f"({(size - 1) << ORDER_BIT}L | shiftright({key} & {(1 << SYMBOL_BITS * size) - 1}L, {SYMBOL_BITS}))"
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 24, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                keys, n = np.unique(_keys(text.encode("utf-8", "surrogatepass")), return_counts=True)
-                total[keys] += n
-        seen = np.flatnonzero(total).astype(np.int32)
-        for k in range(0, len(seen), 1 << 16):
-            part = seen[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["key", "n"])
 
-    return trusted.select(common.text_of("text")).mapInArrow(counts, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+def suffix(key: str, size: int) -> str:
+    """SQL: the key of the last size - 1 symbols."""
+    return f"({(size - 1) << ORDER_BIT}L | ({key} & {(1 << SYMBOL_BITS * (size - 1)) - 1}L))"
 
 
 def discounts(counted: DataFrame) -> list[float]:
@@ -72,130 +81,130 @@ def discounts(counted: DataFrame) -> list[float]:
     return [min(max(d, 0.0), float(k)) for k, d in enumerate(raw, 1)]
 
 
-def _discounted(counted: DataFrame, context: str, d: list[float]) -> tuple[DataFrame, DataFrame]:
-    """Each row's own share `own`, and what each context leaves to the lower order, `rest`."""
-    off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    totals = counted.groupBy(context).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
-    own = counted.join(totals, context).withColumn("own", (F.col("n") - off) / F.col("total"))
-    return own, totals.select(context, (F.col("off") / F.col("total")).alias("rest"))
-
-
 class Model:
-    """log p(c | a, b) for every key, as one dense table."""
-
-    def __init__(self, low: np.ndarray, rest: np.ndarray, keys: np.ndarray, p: np.ndarray):
-        """low: p(c | b), 256 x 256; rest: what context (a, b) leaves to it; keys and p: the counted keys' own shares."""
-        self.low, self.rest, self.keys, self.p = low.astype(np.float32), rest.astype(np.float32), keys, p.astype(np.float32)
-        self._table = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
-
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            t = (self.rest.reshape(256, 256, 1) * self.low.reshape(1, 256, 256)).reshape(-1)
-            t[self.keys] += self.p
-            self._table = np.log(t, out=t)
-        return self._table
-
-    def surprise(self, text: str) -> tuple[int, float]:
-        """Bytes, and the sum of -log p."""
-        data = text.encode("utf-8", "surrogatepass")
-        return len(data), float(-self.table()[_keys(data)].sum(dtype=np.float64)) if data else 0.0
-
-
-def train(trusted: DataFrame) -> Model:
-    """trusted: column `text`."""
-    path = common.workspace(trusted.sparkSession)
-    tri = common.written(count(trusted), f"{path}/order3").select("key", "n", F.expr("key >> 8 AS ab"), F.expr("key & 65535 AS bc"))
-    bi = common.written(tri.groupBy("bc").agg(F.count("*").alias("n")), f"{path}/order2").select("bc", "n", F.expr("bc >> 8 AS b"), F.expr("bc & 255 AS c"))
-    uni = bi.groupBy("c").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    own1, rest1 = _discounted(uni, "all", discounts(uni))
-    own2, rest2 = _discounted(bi, "b", discounts(bi))
-    own3, rest3 = _discounted(tri, "ab", discounts(tri))
-    p1, spare = np.zeros(256), 1.0
-    for r in own1.select("c", "own").collect():
-        p1[r.c] = r.own
-    for r in rest1.collect():
-        spare = r.rest
-    p1 += spare / 256 + (1e-9 if not spare else 0)
-    low, left2 = np.zeros((256, 256)), np.ones(256)
-    for r in rest2.collect():
-        left2[r.b] = r.rest
-    for r in own2.select("bc", "own").collect():
-        low[r.bc >> 8, r.bc & 255] = r.own
-    low += np.maximum(left2, 1e-9)[:, None] * p1[None, :]
-    rest = np.ones(65536)
-    for r in rest3.collect():
-        rest[r.ab] = max(r.rest, 1e-9)
-    seen = own3.select("key", "own").toPandas()
-    return Model(low, rest, seen["key"].to_numpy(dtype=np.int64), seen["own"].to_numpy())
+    """base: log p of a symbol never seen; singles and longer: (key, pred, ctx), by single symbols and by longer n-grams."""
+
+    def __init__(self, order: int, base: float, singles: DataFrame, longer: DataFrame):
+        self.order, self.base, self.singles, self.longer = order, base, singles, longer
+
+
+def train(trusted: DataFrame, path: str, order: int = ORDER) -> Model:
+    """trusted: column `text`. Writes the count and feature tables below path."""
+    spark = trusted.sparkSession
+    keys = trusted.select(common.text_of("text").alias("t")).select(symbols("t", order).alias("s")).select(F.explode(F.expr(grams("s", order, order))).alias("key"))
+    counted = {order: common.written(keys.groupBy("key").agg(F.count("*").alias("n")), f"{path}/counts-{order}")}
+    for o in range(order, 1, -1):
+        counted[o - 1] = common.written(counted[o].groupBy(F.expr(suffix("key", o)).alias("key")).agg(F.count("*").alias("n")), f"{path}/counts-{o - 1}")
+
+    # Order 1: one group.
+    d = discounts(counted[1])
+    off = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    total, left = counted[1].agg(F.sum("n"), F.sum(off(d))).head()
+    spare = max((left or 0.0) / total if total else 1.0, 1e-9) / (1 << SYMBOL_BITS)
+    p = counted[1].select("key", ((F.col("n") - off(d)) / F.lit(total or 1) + F.lit(spare)).alias("p"))
+    pred, ctx = [p.select("key", (F.log("p") - math.log(spare)).alias("pred"), F.lit(0.0).alias("ctx"))], []
+    for o in range(2, order + 1):
+        d = discounts(counted[o])
+        rows = counted[o].select("key", "n", F.expr(context("key", o)).alias("c"), F.expr(suffix("key", o)).alias("s"))
+        totals = rows.groupBy("c").agg(F.sum("n").alias("total"), F.greatest(F.sum(off(d)) / F.sum("n"), F.lit(1e-9)).alias("rest"))
+        lower = p.select(F.col("key").alias("s"), F.col("p").alias("low"))
+        whole = rows.join(totals, "c").join(lower, "s").select("key", "rest", "low", ((F.col("n") - off(d)) / F.col("total") + F.col("rest") * F.col("low")).alias("p"))
+        whole = common.written(whole, f"{path}/shares-{o}")
+        ctx.append(totals.select(F.col("c").alias("key"), F.lit(0.0).alias("pred"), F.log("rest").alias("ctx")))
+        pred.append(whole.select("key", (F.log("p") - F.log("rest") - F.log("low")).alias("pred"), F.lit(0.0).alias("ctx")))
+        p = whole.select("key", "p")
+    every = pred[0]
+    for part in (*pred[1:], *ctx):
+        every = every.unionByName(part)
+    features = every.groupBy("key").agg(F.sum("pred").alias("pred"), F.sum("ctx").alias("ctx"))
+    features = common.written(features.withColumn("single", F.col("key") < F.lit(2 << ORDER_BIT)).repartition("key").sortWithinPartitions("key"), f"{path}/features")
+    return Model(order, math.log(spare), features.where("single").drop("single"), features.where("NOT single").drop("single"))
+
+
+def surprise(rows: DataFrame, model: Model, path: str) -> DataFrame:
+    """(k, n, surprise) of rows (k, t) with tokens: their number, and the sum of -log p over them."""
+    order = model.order
+    marked = rows.select("k", symbols("t", order).alias("s")).where(F.size("s") >= order)
+    number = (F.size("s") - (order - 1)).alias("n")
+
+    def values(size: int) -> Column:
+        """Structs of the n-grams of a size, and whether each one also opens the next token's n-gram as its context."""
+        ends = f"transform({grams('s', size, order)}, (key, i) -> struct(key AS key, i < size(s) - {order} AND {size < order} AS opens))"
+        if size == order:
+            return F.expr(ends)
+        # The n-gram before the first token is a context alone, and has no share as a prediction.
+        first = " | ".join(f"shiftleft(s[{order - 1 - size + k}], {SYMBOL_BITS * (size - 1 - k)})" for k in range(size))
+        return F.expr(f"concat(array(struct({size << ORDER_BIT}L | {first} AS key, true AS opens)), {ends})")
+
+    value = (F.col("pred") + F.when(F.col("opens"), F.col("ctx")).otherwise(0.0)).alias("v")
+    singles = marked.select("k", number, F.explode(values(1)).alias("x")).select("k", "n", "x.key", "x.opens")
+    # At most 2**SYMBOL_BITS + 1 rows of 24 bytes.
+    common.written(singles.join(F.broadcast(model.singles), "key", "left").select("k", "n", value).groupBy("k").agg(F.first("n").alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("v")), f"{path}/sums-0")
+    passes = PASSES if order > 1 else 0
+    for of in range(passes):
+        share = F.pmod(F.xxhash64("key"), F.lit(PASSES)) == of
+        found = F.concat(*[values(size) for size in range(2, order + 1)])
+        each = marked.select("k", F.explode(found).alias("x")).select("k", "x.key", "x.opens").where(share)
+        met = each.join(model.longer.where(share).hint("merge"), "key").select("k", value)
+        met.groupBy("k").agg(F.lit(None).cast("int").alias("n"), F.sum("v").alias("v")).write.parquet(f"{path}/sums-{of + 1}")
+        common.release(rows.sparkSession)
+    sums = rows.sparkSession.read.schema("k long, n int, v double").parquet(*[f"{path}/sums-{of}" for of in range(passes + 1)])
+    return sums.groupBy("k").agg(F.max("n").alias("n"), (-(F.sum("v") + F.max("n") * F.lit(model.base))).alias("surprise"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Documents labelled good and not toxic by all of their labels."""
-    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id")
-
-
-def good_text(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The texts of the trusted documents. A merge join at any size, for labels grow with the documents."""
-    return docs.select(F.col(id_col).alias("_id"), F.col("text").alias("text")).join(trusted.hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("text")
-
-
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The given columns of docs with n_bytes, surprise and perplexity."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    shared = spark.sparkContext.broadcast(model)
-    row = docs.select(F.struct(*columns).alias("row"), common.text_of("text").alias("text"))
-    keep = row.schema["row"].dataType
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.surprise(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], type=pa.int64()), pa.array([f[1] for f in found], type=pa.float64())], names=["row", "n_bytes", "surprise"])
-
-    out = row.mapInArrow(scored, f"row {keep.simpleString()}, n_bytes long, surprise double")
-    return out.withColumn("perplexity", F.expr("CASE WHEN n_bytes > 0 THEN exp(surprise / n_bytes) END"))
-
-
-def _band() -> Column:
-    return F.expr("CASE WHEN n_bytes > 0 THEN least(8, greatest(2, cast(floor(log2(n_bytes) / 2) AS int))) END")
-
-
-def thresholds(scored: DataFrame) -> DataFrame:
-    """(lang, band, most) from the trusted rows' perplexities; a null lang or band holds for all of them, however few."""
-    q = F.percentile_approx("perplexity", HIGH, 10000).alias("high")
-    known = scored.where("perplexity IS NOT NULL").select(F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"), _band().alias("band"), "perplexity")
-    cube = known.groupingSets([["lang", "band"], ["lang"], []], "lang", "band").agg(F.count("*").alias("n"), q)
-    return cube.where(f"n >= {LEAST} OR (n > 0 AND lang IS NULL)").select("lang", "band", (F.col("high") * MARGIN).alias("most"))
+    """Documents labelled good and not toxic by all of their labels: (_trusted, held_out)."""
+    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0")
+    return good.select(F.col("doc_id").cast("long").alias("_trusted"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("held_out"))
+
+
+def thresholds(held_out: DataFrame) -> DataFrame:
+    """(lang, middle, most, n): each language's median surprise of a token and the most that a shrunk perplexity may be.
+
+    held_out: (lang, n, surprise). A row of `every` true holds for all languages.
+    """
+    mean = F.col("surprise") / F.col("n")
+    groups = lambda df, *aggs: df.groupBy("lang").agg(*aggs).withColumn("every", F.lit(False)).unionByName(df.groupBy().agg(*aggs).select(F.lit(None).cast("string").alias("lang"), "*", F.lit(True).alias("every")))
+    middles = groups(held_out, F.percentile_approx(mean, 0.5, 10_000).alias("middle"), F.count("*").alias("n"))
+    apart = F.broadcast(middles.where("NOT every").select(F.col("lang").alias("_lang"), "middle"))
+    shrunk = held_out.join(apart, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("shrunk", _shrunk("middle"))
+    quantile = groups(shrunk, F.percentile_approx("shrunk", HIGH, 10_000).alias("most")).withColumnRenamed("lang", "_lang").withColumnRenamed("every", "_every")
+    both = middles.join(quantile, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("every") == F.col("_every")))
+    return both.select("lang", "every", "n", "middle", (F.exp("most") * MARGIN).alias("most"))
+
+
+def _shrunk(middle: str) -> Column:
+    return (F.col("surprise") + PRIOR * F.col(middle)) / (F.col("n") + PRIOR)
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """Write and return (k, n, perplexity, shrunk, most, kept) for each row of docs, k its number in common.numbered."""
+    rows = common.numbered(docs, {"i": F.col(id_col).cast("long"), "lang": F.col("lang").cast("string"), "t": common.text_of("text")})
+    trusted = trusted_ids(labels)
+    # A merge join at any size, for labels grow with the documents.
+    taught = rows.select("i", "t").join(trusted.where("NOT held_out").hint("merge"), F.col("i") == F.col("_trusted"), "left_semi").select(F.col("t").alias("text"))
+    model = train(taught, f"{path}/model")
+    common.release(docs.sparkSession)
+    found = surprise(rows.select("k", "t"), model, f"{path}/sums")
+    scored = common.written(rows.select("k", "i", "lang").join(found, "k", "left"), f"{path}/scored")
+    held = scored.where("n > 0").join(trusted.where("held_out"), F.col("i") == F.col("_trusted"), "left_semi").select("lang", "n", "surprise")
+    limits = common.written(thresholds(held), f"{path}/thresholds")
+    own = limits.where(f"NOT every AND n >= {LEAST}").select(F.col("lang").alias("_lang"), F.col("middle").alias("own_middle"), F.col("most").alias("own_most"))
+    every = limits.where("every").select("middle", "most").head()  # one row, or none
+    of_all = [F.lit(x).cast("double") for x in (every or (None, None))]
+    judged = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    judged = judged.withColumn("middle", F.coalesce("own_middle", of_all[0])).withColumn("most", F.coalesce("own_most", of_all[1]))
+    judged = judged.withColumn("perplexity", F.exp(F.col("surprise") / F.col("n"))).withColumn("shrunk", F.exp(_shrunk("middle")))
+    return common.written(judged.select("k", "i", "lang", "n", "perplexity", "shrunk", "most", F.coalesce(F.col("shrunk") <= F.col("most"), F.lit(True)).alias("kept")), f"{path}/verdicts")
 
 
 def classify(docs: DataFrame, labels: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Write and return (row, n_bytes, perplexity, most, kept): row has docs' columns; kept is the verdict."""
-    trusted = trusted_ids(labels).withColumnRenamed("doc_id", "_trusted")
-    return judged(docs, trusted, train(good_text(docs, trusted, id_col)), docs.columns, path, id_col)
-
-
-def judged(docs: DataFrame, trusted: DataFrame, model: Model, columns: list[str], path: str, id_col: str = "doc_id") -> DataFrame:
-    """As classify, with a model at hand and the given columns."""
-    scored = common.written(score(docs, model, columns), f"{path}/scored")
-    known = scored.join(trusted, F.col(f"row.{id_col}") == F.col("_trusted"), "left_semi")
-    # Bounded: languages by bands; names beyond the 200 most common languages' share the row for all.
-    rows = thresholds(known).orderBy(F.col("lang").isNotNull(), F.col("band").isNotNull()).collect()
-    by = {(r.lang, r.band): float(r.most) for r in rows}
-    lang = F.coalesce(F.col("row.lang"), F.lit(""))
-    most = F.lit(by.get((None, None))).cast("double")
-    if by:
-        table = F.create_map(*[x for (a, b), v in by.items() for x in (F.lit(f"{a}/{b}"), F.lit(v))])
-        key = lambda band: F.try_element_at(table, F.concat(lang, F.lit("/"), band))
-        most = F.coalesce(key(_band().cast("string")), key(F.lit("None")), most)
-    out = scored.withColumn("most", most)
-    return out.withColumn("kept", F.expr("coalesce(perplexity <= most, true)"))
+    """(row, n_tokens, perplexity, most, kept): row has docs' columns; kept is the verdict."""
+    found = verdicts(docs, labels, path, id_col).select("k", F.col("n").alias("n_tokens"), "perplexity", "most", "kept")
+    rows = common.numbered(docs, {"row": common.packed(docs)})
+    return rows.join(found, "k").select("row", "n_tokens", "perplexity", "most", "kept")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    trusted = trusted_ids(common.table(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "_trusted")
-    found = judged(docs, trusted, train(good_text(docs, trusted)), ["doc_id", "lang"], common.workspace(spark))
-    return found.select("row.doc_id", "row.lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("most", 6).alias("threshold"), "kept")
+    found = verdicts(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), common.workspace(spark))
+    return found.select(F.col("i").alias("doc_id"), "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.round("perplexity", 6).alias("perplexity"), F.round("shrunk", 6).alias("shrunk_perplexity"), F.round("most", 6).alias("threshold"), "kept")
