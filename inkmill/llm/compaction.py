@@ -6,20 +6,25 @@ shards below TARGET bytes, groups them by size tier (powers of FANOUT), and merg
 more into files of about TARGET bytes; smaller tiers wait. A merge reads whole small files and writes them again without
 a shuffle: shards of one tier are alike in size, so as many per task give files alike in size.
 
-A version is committed by renaming a finished manifest folder to its final name, which the file system does at once or
-not at all; of two writers one fails and retries on the newer version. Readers open the newest manifest, and shards
-that no manifest names (from a failed writer) are never read. Lost executors repeat tasks; Spark's own commit keeps one
-copy of each file.
+A version is committed by giving a finished pointer file its final name, which fails if another writer's file has it: on
+a local file system by a hard link, elsewhere by the file system's rename of a file. The loser tries again on top of the
+newer version: an append adds its shards there, a merge replaces its shards there, and gives up (its files are never
+read) if another merge has taken one of them meanwhile. Readers open the newest version's manifest. Lost executors
+repeat tasks; Spark's own commit keeps one copy of each file. As with any scan of files, the driver holds the list of a
+version's shards: one path for TARGET bytes.
 
 Rows keep all of their columns, whatever their names, with nulls, empty and long texts, ties and repeated rows as they
-are; an empty arrival commits a version without new shards.
+are; an empty arrival commits a version without new shards, and a store of empty arrivals reads as an empty table of
+their columns.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +53,47 @@ class Store:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version}")
-
-    def _commit(self, shards: DataFrame, seen: int) -> int:
-        """Make shards version seen + 1; raises if another writer was first."""
-        draft = f"{self.root}/manifest/.draft-{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(draft)
-        target = self._path(f"{self.root}/manifest/v{seen + 1}")
-        if self._fs.exists(target) or not self._fs.rename(self._path(draft), target):
-            raise RuntimeError(f"version {seen + 1} was committed by another writer")
-        return seen + 1
+        stream = self._fs.open(self._path(f"{self.root}/manifest/v{version}"))
+        try:
+            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{name}")
+
+    def _claim(self, version: int, name: str) -> bool:
+        """Point version at the manifest folder `name`; False if the version is there already."""
+        draft, target = self._path(f"{self.root}/manifest/.pointer-{name}-{version}"), self._path(f"{self.root}/manifest/v{version}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        if self._fs.getScheme() == "file":
+            jvm = self.spark._jvm
+            path = lambda p: jvm.java.nio.file.Paths.get(jvm.java.net.URI("file", None, p.toUri().getPath(), None))
+            try:
+                jvm.java.nio.file.Files.createLink(path(target), path(draft))
+            except Py4JJavaError as e:
+                if "FileAlreadyExistsException" not in str(e.java_exception):
+                    raise
+                return False
+            finally:
+                self._fs.delete(draft, False)
+            return True
+        return not self._fs.exists(target) and self._fs.rename(draft, target)
+
+    def _commit(self, change: Callable[[DataFrame, int], DataFrame | None]) -> int:
+        """Commit change(newest manifest, new version) as the next version, again on each newer one until it holds.
+
+        A change of None is given up; the newest version comes back.
+        """
+        while True:
+            seen = self.version()
+            after = change(self.manifest(seen), seen + 1)
+            if after is None:
+                return seen
+            name = f"m-{uuid.uuid4().hex}"
+            after.coalesce(1).write.parquet(f"{self.root}/manifest/{name}")
+            if self._claim(seen + 1, name):
+                return seen + 1
 
     def _written(self, run: str, born: int) -> DataFrame:
         """The shards of a run: name, bytes and rows of each file."""
@@ -68,33 +104,43 @@ class Store:
 
     def append(self, arrivals: DataFrame) -> int:
         """Write arrivals as they are dealt, one small shard a task, and commit them."""
-        seen = self.version()
         run = f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.option("compression", "zstd").parquet(run)
-        return self._commit(self.manifest(seen).unionByName(self._written(run, seen + 1)), seen)
+        return self._commit(lambda before, born: before.unionByName(self._written(run, born)))
 
     def compact(self) -> int:
         """Merge every tier of FANOUT or more shards below TARGET; returns the version, unchanged if nothing merges."""
         seen = self.version()
-        before = self.manifest(seen)
+        small = self.manifest(seen).where(F.col("bytes") < TARGET)
         # A row for each tier: as many as the powers of FANOUT below TARGET.
-        tiers = before.where(F.col("bytes") < TARGET).groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+        tiers = small.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
         tiers = tiers.where(f"n >= {FANOUT} AND ceil(bytes / {TARGET}) < n").orderBy("tier").collect()
-        now = before
+        runs = []
         for t in tiers:
-            chosen = (F.col("tier") == t.tier) & (F.col("bytes") < TARGET)
-            paths = [r.path for r in before.where(chosen).select("path").toLocalIterator()]
-            run = f"{self.root}/data/{uuid.uuid4().hex}"
+            paths = [r.path for r in small.where(F.col("tier") == t.tier).select("path").toLocalIterator()]
+            runs.append(f"{self.root}/data/{uuid.uuid4().hex}")
             merged = self.spark.read.parquet(*paths).coalesce(max(1, math.ceil(t.bytes / TARGET)))
             # Where a task reads more than TARGET, it writes several files.
-            merged.write.option("compression", "zstd").option("maxRecordsPerFile", math.ceil(1.5 * t.rows * TARGET / t.bytes)).parquet(run)
-            now = now.where(~((F.col("tier") == t.tier) & (F.col("bytes") < TARGET) & (F.col("born") <= seen))).unionByName(self._written(run, seen + 1))
-        return self._commit(now, seen) if tiers else seen
+            merged.write.option("compression", "zstd").option("maxRecordsPerFile", math.ceil(1.5 * t.rows * TARGET / t.bytes)).parquet(runs[-1])
+        if not tiers:
+            return seen
+        gone = small.where(F.col("tier").isin([t.tier for t in tiers])).select("path")
+
+        def replaced(before: DataFrame, born: int) -> DataFrame | None:
+            if gone.join(before, "path", "left_anti").head() is not None:
+                return None
+            after = before.join(gone, "path", "left_anti")
+            for run in runs:
+                after = after.unionByName(self._written(run, born))
+            return after
+
+        return self._commit(replaced)
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version with `shard`, the file each one lies in."""
         paths = [r.path for r in self.manifest(version).select("path").toLocalIterator()]
-        return self.spark.read.parquet(*paths).withColumn("shard", F.col("_metadata.file_path"))
+        rows = self.spark.read.parquet(*paths) if paths else self.spark.read.parquet(f"{self.root}/data/*").where("false")
+        return rows.withColumn("shard", F.col("_metadata.file_path"))
 
 
 #: Arrivals of the query: shares of the rows by hash of the id, in 16ths; the first is a backfill.

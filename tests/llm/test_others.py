@@ -1,15 +1,19 @@
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkmill.llm import common, compaction, kneser_ney, media, pii, quality_rules, sentence_pieces
@@ -132,44 +136,6 @@ def test_quality_rules_edges(edges, nothing):
     assert [r.n_repeat_words for r in rows if r.row.doc_id == 6] == [30_000] and quality_rules.score(nothing).count() == 0
 
 
-def slow_model(texts):
-    """p(c | a, b) by the textbook, from dictionaries."""
-    tri = Counter()
-    for t in texts:
-        x = bytes([2, 2]) + t
-        tri.update((x[k - 2], x[k - 1], x[k]) for k in range(2, len(x)))
-    bi = Counter((b, c) for _, b, c in tri)
-    uni = Counter(c for _, c in bi)
-
-    def parts(counts):
-        n = Counter(min(v, 5) for v in counts.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0
-        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0, 2 - 3 * y * n[3] / n[2] if n[2] else 0, 3 - 4 * y * n[4] / n[3] if n[3] else 0]
-        return [min(max(d, 0), k) for k, d in enumerate(raw, 1)]
-
-    def level(counts, lower, key):
-        d, total, off = parts(counts), Counter(), Counter()
-        for k, v in counts.items():
-            total[key(k)] += v
-            off[key(k)] += d[min(v, 3) - 1]
-        return lambda k, low: (max(counts[k] - d[min(counts[k], 3) - 1], 0) / total[key(k)] if k in counts else 0) + (off[key(k)] / total[key(k)] if total[key(k)] else 1) * low
-
-    one = level(uni, None, lambda k: 0)
-    two = level(bi, None, lambda k: k[0])
-    three = level(tri, None, lambda k: k[:2])
-    return lambda a, b, c: three((a, b, c), two((b, c), one(c, 1 / 256)))
-
-
-def test_kneser_ney_against_the_textbook(spark, texts):
-    some = [t for _, t in sorted(texts.items())][:40]
-    common.ship(spark)
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in some], "text string"))
-    want, table = slow_model([t.encode() for t in some]), model.table().reshape(256, 256, 256)
-    for a, b, c in [(2, 2, 84), (116, 104, 101), (101, 32, 97), (120, 121, 122), (0, 0, 0), (195, 169, 32), (32, 97, 110)]:
-        assert math.isclose(math.exp(table[a, b, c]), want(a, b, c), rel_tol=1e-3)
-    assert abs(np.exp(table[116, 104]).sum() - 1) < 1e-3
-
-
 def test_classifier_tells_held_out_junk(spark):
     """Trained on the labels of three of four documents, tested on the rest."""
     sf_dir = "/root/testdata/sf0.01"
@@ -227,6 +193,7 @@ def test_compaction(spark, edges, nothing, tmp_path, monkeypatch):
     assert store.version() == 0 and store.manifest().count() == 0
     for k in range(5):
         assert store.append(edges if k else nothing) == k + 1
+        assert store.read().count() == 9 * k and set(store.read().columns) == {*edges.columns, "shard"}
     before = sorted(map(str, store.read().drop("shard").collect()))
     small = store.manifest().count()
     assert store.compact() == 6 and store.compact() == 6
@@ -234,11 +201,46 @@ def test_compaction(spark, edges, nothing, tmp_path, monkeypatch):
     assert store.read(3).count() == 18 and store.manifest().agg({"rows": "sum"}).head()[0] == 36
 
 
-def test_a_second_writer_fails(spark, edges, tmp_path):
+def test_racing_writers_lose_nothing(spark, edges, tmp_path):
+    """Eight writers at once, each with its own rows: every commit is there, in a version of its own."""
+    stores = [compaction.Store(spark, f"{tmp_path}/s") for _ in range(8)]
+    frames = [edges.withColumn("writer", F.lit(k)) for k in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(lambda x: x[0].append(x[1]), zip(stores, frames, strict=True)))
+    assert sorted(versions) == list(range(1, 9))
+    assert {r.writer: r["count"] for r in stores[0].read().groupBy("writer").count().collect()} == {k: 9 for k in range(8)}
+
+
+def test_a_taken_version_is_refused_and_a_merge_of_merged_shards_given_up(spark, edges, tmp_path):
     store = compaction.Store(spark, f"{tmp_path}/s")
-    store.append(edges)
-    with pytest.raises(RuntimeError, match="another writer"):
-        store._commit(store.manifest(1), 0)
+    for _ in range(4):
+        store.append(edges)
+    assert not store._claim(4, "m-other") and store.version() == 4
+    other, taken = compaction.Store(spark, f"{tmp_path}/s"), []
+    plain = store._commit
+    store._commit = lambda change: (taken.append(other.compact()), plain(change))[1]  # another merge comes first
+    assert store.compact() == 5 and taken == [5] and store.read().count() == 36
+
+
+def test_manifest_against_brute_force(spark, tmp_path, monkeypatch):
+    """Tiers, sizes and rows of the manifest are those of the files; merged files are about the target's size."""
+    monkeypatch.setattr(compaction, "TARGET", 256 << 10)
+    monkeypatch.setattr(compaction, "SMALLEST", 4 << 10)
+    store = compaction.Store(spark, f"{tmp_path}/s")
+    rows = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    for k in range(12):
+        store.append(rows.where(F.col("id") % 12 == k).coalesce(1 + k % 3))
+    while (v := store.version()) != store.compact():
+        pass
+    found = store.manifest().collect()
+    for r in found:
+        file = r.path.removeprefix("file:").removeprefix("//")
+        assert r.bytes == os.path.getsize(file) and r.rows == pq.read_metadata(file).num_rows
+        assert r.tier == max(0, math.floor(math.log(max(r.bytes, 4 << 10) / (4 << 10), 4) + 1e-9))
+    tiers = Counter(r.tier for r in found if r.bytes < 256 << 10)
+    assert all(n < compaction.FANOUT or math.ceil(sum(r.bytes for r in found if r.tier == t and r.bytes < 256 << 10) / (256 << 10)) >= n for t, n in tiers.items())
+    assert max(r.bytes for r in found) < 2 * (256 << 10) and v == store.version()
+    assert sorted(r.id for r in store.read().select("id").collect()) == list(range(60_000))
 
 
 def test_sharding_keeps_every_row(spark, sf_dir, texts):
@@ -246,6 +248,11 @@ def test_sharding_keeps_every_row(spark, sf_dir, texts):
     assert {r.doc_id: r.n_bytes for r in rows} == {k: len(t.encode()) for k, t in texts.items()} and len(rows) == len(texts)
 
 
+def test_sharding_of_an_empty_table(spark, nothing, tmp_path):
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    assert compaction.op8_sharding(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     path, columns, ids = common.workspace(spark), docs.columns, None
