@@ -1,9 +1,10 @@
 """Media columns: 8-bit grey PNG in a binary column, read back with checksum tests, and cosine-transform hashes.
 
 write: bytes, padded with zeros to a positive multiple of 64, become the rows (64 samples each) of a PNG with one IDAT
-chunk; rows take the given filter types in turn. For text type 0 deflates best, and is the default.
+chunk; rows take the given filter types in turn. Unfiltered text deflates best, so three rows of four are of type 0, and
+the fourth ones go through the other types.
 read: chunks are walked, each CRC is tested, IDAT is inflated (its Adler checksum is zlib's own test), the filters are
-undone with numpy, and the pixels must have the size that IHDR names. hash: pixels are averaged to 32 x 32, cosine
+undone with numpy, for all images of a batch at once, and the pixels must have the size that IHDR names. hash: pixels are averaged to 32 x 32, cosine
 transformed, and the 8 x 8 low frequencies are compared with their median (the constant term aside): 64 bits.
 
 Null and empty payloads become one row of zeros; repeated rows and ties give equal values, since nothing depends on the
@@ -27,8 +28,8 @@ from . import common
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
-#: Filter types of the rows in turn, out of 0 (none), 1 (sub) and 2 (up).
-FILTERS = (0,)
+#: Filter types of the rows in turn: 0 none, 1 sub, 2 up, 3 average, 4 Paeth.
+FILTERS = (0, 0, 0, 1, 0, 0, 0, 2, 0, 0, 0, 3, 0, 0, 0, 4)
 LEVEL = 6
 SMALL, LOW = 32, 8
 
@@ -49,10 +50,14 @@ def write_png(data: bytes, filters: tuple[int, ...] = FILTERS) -> bytes:
     rows = np.empty((len(pixels), WIDTH + 1), dtype=np.uint8)
     kinds = rows[:, 0] = np.resize(np.array(filters, dtype=np.uint8), len(pixels))
     rows[:, 1:] = pixels
-    if len(filters) > 1 or filters[0]:
-        above = np.vstack([np.zeros((1, WIDTH), dtype=np.uint8), pixels[:-1]])
-        rows[kinds == 1, 2:] -= pixels[kinds == 1, :-1]
-        rows[kinds == 2, 1:] -= above[kinds == 2]
+    for kind in np.unique(kinds[kinds > 0]):
+        at = np.flatnonzero(kinds == kind)
+        left = np.zeros((len(at), WIDTH), dtype=np.int16)
+        left[:, 1:] = pixels[at, :-1]
+        up = np.where(at[:, None] > 0, pixels[at - 1], 0).astype(np.int16)
+        corner = np.zeros_like(left)
+        corner[:, 1:] = up[:, :-1]
+        rows[at, 1:] -= _guess(int(kind), left, up, corner).astype(np.uint8)
     head = struct.pack(">IIBBBBB", WIDTH, len(pixels), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
@@ -70,34 +75,59 @@ def chunks(png: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + size
 
 
-def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    p = a + b - c
-    pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-    return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+def _guess(kind: int, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What a filter type expects of a sample from its neighbours (16-bit numbers)."""
+    if kind == 1:
+        return left
+    if kind == 2:
+        return up
+    if kind == 3:
+        return (left + up) >> 1
+    by_left, by_up, by_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+    return np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
 
 
-def unfilter(raw: np.ndarray) -> np.ndarray:
-    """raw: rows of a filter type and one byte a sample. Runs of rows of types 0 and 1 are undone at once."""
+def unfilter(raw: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """raw: rows of a filter type and one byte a sample; first: marks the rows that begin an image (none: the very first).
+
+    Types 0 and 1 need no other row. Rows of the other types are undone in waves: those right below a row of type 0 or 1
+    (or the top) at once, then those below them, and so on; a wave's rows go column by column together.
+    """
     kinds, rows = raw[:, 0], raw[:, 1:].copy()
-    if kinds.size and kinds.max() > 4:
+    if not len(rows):
+        return rows
+    if kinds.max() > 4:
         raise ValueError("PNG: filter type")
+    if first is None:
+        first = np.arange(len(rows)) == 0
     sub = kinds == 1
     rows[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint8)
-    for k in np.flatnonzero(kinds >= 2):
-        above = rows[k - 1] if k else np.zeros(rows.shape[1], dtype=np.uint8)
-        if kinds[k] == 2:
-            rows[k] += above
-            continue
-        left = corner = 0
-        for x, up in enumerate(above.astype(int).tolist()):
-            guess = (left + up) // 2 if kinds[k] == 3 else int(_paeth(np.int64(left), np.int64(up), np.int64(corner)))
-            left, corner = (int(rows[k, x]) + guess) & 255, up
-            rows[k, x] = left
+    waiting = kinds >= 2
+    # A row's wave is its place in a run of waiting rows; an image's top opens a run.
+    place = np.arange(len(rows))
+    opens = waiting & (first | ~np.concatenate([[False], waiting[:-1]]))
+    wave = np.where(waiting, place - np.maximum.accumulate(np.where(opens, place, 0)), -1)
+    order = np.argsort(wave, kind="stable")
+    bounds = np.searchsorted(wave[order], np.arange(wave.max() + 2))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        at = order[lo:hi]
+        above = np.where(first[at][:, None], 0, rows[at - 1]).astype(np.int16)
+        for kind in np.unique(kinds[at]):
+            mine = kinds[at] == kind
+            here, up = at[mine], above[mine]
+            if kind == 2:
+                rows[here] += up.astype(np.uint8)
+                continue
+            left = corner = np.zeros(len(here), dtype=np.int16)
+            for x in range(rows.shape[1]):
+                left = (rows[here, x] + _guess(int(kind), left, up[:, x], corner)) & 255
+                corner = up[:, x]
+                rows[here, x] = left
     return rows
 
 
-def read_png(png: bytes) -> np.ndarray:
-    """The pixels of an 8-bit grey PNG, every checksum tested."""
+def inflated(png: bytes) -> np.ndarray:
+    """The filtered rows of an 8-bit grey PNG, every checksum tested."""
     parts = list(chunks(png))
     if not parts or parts[0][0] != b"IHDR" or parts[-1][0] != b"IEND":
         raise ValueError("PNG: order of chunks")
@@ -107,7 +137,28 @@ def read_png(png: bytes) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(b"".join(body for kind, body in parts if kind == b"IDAT")), dtype=np.uint8)
     if raw.size != height * (width + 1):
         raise ValueError("PNG: size of the image data")
-    return unfilter(raw.reshape(height, width + 1))
+    return raw.reshape(height, width + 1)
+
+
+def read_png(png: bytes) -> np.ndarray:
+    """The pixels of an 8-bit grey PNG."""
+    return unfilter(inflated(png))
+
+
+def read_all(pngs: list[bytes]) -> list[np.ndarray]:
+    """The pixels of each PNG; images of one width are unfiltered together."""
+    raws, out = [inflated(p) for p in pngs], [None] * len(pngs)
+    by_width: dict[int, list[int]] = {}
+    for k, raw in enumerate(raws):
+        by_width.setdefault(raw.shape[1], []).append(k)
+    for ks in by_width.values():
+        ends = np.cumsum([len(raws[k]) for k in ks])
+        first = np.zeros(int(ends[-1]), dtype=bool)
+        first[[0, *ends[:-1][ends[:-1] < ends[-1]]]] = len(first) > 0
+        pixels = unfilter(np.concatenate([raws[k] for k in ks]), first)
+        for k, part in zip(ks, np.split(pixels, ends[:-1]), strict=True):
+            out[k] = part
+    return out
 
 
 def _means(x: np.ndarray, n: int) -> np.ndarray:
@@ -150,9 +201,8 @@ def features(media: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for png in batch.column(2):
-                png = png.as_py()
-                pixels = read_png(png)
+            pngs = batch.column(2).to_pylist()
+            for png, pixels in zip(pngs, read_all(pngs), strict=True):
                 data = pixels.tobytes()
                 row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(pixels))
                 for c, v in zip(columns, row, strict=True):
