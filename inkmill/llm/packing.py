@@ -1,11 +1,12 @@
 """Packing of documents into sequences by non-negative least squares.
 
-A document of n ids gives n // L whole sequences (L the sequence length) and one rest shorter than L. The histogram of
-the rests' lengths has fewer than L bins, whatever the corpus. Shallow length combinations that fill a sequence exactly
-are enumerated; non-negative least squares against the histogram gives their repeat counts; these are rounded down to
-what the histogram holds, and the rests take the places so made in the order of their ranks among rests of their
-length. What is left over is packed greedily: laid end to end and cut at sequence boundaries, so that only the last
-sequence of all may need padding.
+A document of n ids gives n // L whole sequences (L the sequence length) and one rest shorter than L. Rests are cut to
+whole grains, L being some 64 grains, so that the histogram of their lengths has as many bins, whatever the corpus; what
+a cut leaves is shorter than a grain. All combinations of up to DEPTH lengths that fill a sequence exactly are
+enumerated; non-negative least squares against the histogram, solved to its optimality conditions, gives their repeat
+counts; these are rounded down to what the histogram holds, and the rests take the places so made in the order of their
+ranks among rests of their length. The residuals (cut ends, and rests without a place) are packed greedily: laid end to
+end and cut at sequence boundaries, so that only the last sequence of all may need padding.
 
 Ranks are counted within each input part and offset by the parts before it, so no length, however common, meets in one
 task. The driver gets the histogram, one total for each part and the combinations, never documents.
@@ -19,7 +20,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -32,41 +32,70 @@ from . import common
 from .encoding import encoder, vocabulary
 
 LENGTH = 4096
-#: Combinations of three take two of their lengths from the so many most common.
-COMMON_LENGTHS = 64
-SWEEPS = 60
+#: Grains of a sequence at least, if its length allows; and lengths in a combination at most.
+GRAINS, DEPTH = 64, 8
 
-ENCODED = "part int, at long, doc_id long, n long, whole_before long, rest int, rest_rank long, ids binary"
+ENCODED = "part int, at long, doc_id long, n long, whole_before long, rest int, grains int, rest_rank long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def combinations(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, ...]]:
-    """Multisets of up to three lengths of the histogram that fill a sequence exactly."""
-    found = {(a, length - a) for a in histogram if a <= length - a and length - a in histogram}
-    often = [a for a, _ in sorted(histogram.items(), key=lambda x: (-x[1], x[0]))[:COMMON_LENGTHS]]
-    for a, b in combinations_with_replacement(sorted(often), 2):
-        if (c := length - a - b) in histogram:
-            found.add(tuple(sorted((a, b, c))))
-    return sorted(found)
+def grain_of(length: int) -> int:
+    """The largest divisor of length that leaves GRAINS grains or more; 1 for short sequences."""
+    return next((g for g in range(length // GRAINS, 1, -1) if length % g == 0), 1)
+
+
+def combinations(lengths: list[int], total: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
+    """All multisets of up to depth of the lengths that add up to total; of up to 3 where there are many lengths."""
+    lengths, out = sorted(lengths), []
+    depth = depth if len(lengths) <= GRAINS else min(depth, 3)
+
+    def extend(chosen: tuple[int, ...], at: int, left: int) -> None:
+        if not left:
+            out.append(chosen)
+        elif len(chosen) < depth:
+            for k in range(at, len(lengths)):
+                # The rest must fit: the chosen lengths rise, and the last one takes all that is left.
+                if lengths[k] == left or 2 * lengths[k] <= left:
+                    extend((*chosen, lengths[k]), k, left - lengths[k])
+
+    extend((), 0, total)
+    return out
 
 
 def least_squares(combos: list[tuple[int, ...]], histogram: dict[int, int]) -> np.ndarray:
-    """min ||A x - h|| with x >= 0 by cyclic coordinate descent; column c of A counts the lengths of combination c."""
-    columns = [list(Counter(c).items()) for c in combos]
-    squares = [sum(m * m for _, m in c) for c in columns]
-    x, rest = [0.0] * len(combos), {k: float(v) for k, v in histogram.items()}
-    for _ in range(SWEEPS):
-        moved = 0.0
-        for c, column in enumerate(columns):
-            step = max(-x[c], sum(m * rest[k] for k, m in column) / squares[c])
-            if step:
-                x[c] += step
-                moved = max(moved, abs(step))
-                for k, m in column:
-                    rest[k] -= m * step
-        if moved < 0.25:
+    """min ||A x - h|| with x >= 0 by active sets; column c of A counts the lengths of combination c.
+
+    Ends when no combination outside of the active set could lessen the error (the conditions of optimality).
+    """
+    if not combos:
+        return np.zeros(0)
+    rows = {k: r for r, k in enumerate(sorted(histogram))}
+    a = np.zeros((len(rows), len(combos)), dtype=np.float32)
+    for c, combo in enumerate(combos):
+        for k in combo:
+            a[rows[k], c] += 1
+    scale = float(max(histogram.values()))
+    h = np.array([histogram[k] for k in sorted(histogram)], dtype=np.float64) / scale
+    x, active = np.zeros(len(combos)), np.zeros(len(combos), dtype=bool)
+    for _ in range(20 * len(rows)):
+        slope = a.T @ (h - a[:, active] @ x[active]).astype(np.float32)
+        slope[active] = -np.inf
+        if slope.max() <= 1e-5:
             break
-    return np.array(x)
+        active[int(np.argmax(slope))] = True
+        while True:
+            at = np.flatnonzero(active)
+            best = np.linalg.lstsq(a[:, at].astype(np.float64), h, rcond=None)[0]
+            if (best > 1e-12).all():
+                x[at] = best
+                break
+            # Go towards the best as far as no count falls below zero; those that reach it leave.
+            low = best <= 1e-12
+            step = np.min(x[at][low] / np.maximum(x[at][low] - best[low], 1e-300))
+            x[at] += step * (best - x[at])
+            gone = at[low & (x[at] <= 1e-12)]
+            x[gone], active[gone] = 0.0, False
+    return x * scale
 
 
 def repeats(combos: list[tuple[int, ...]], histogram: dict[int, int], x: np.ndarray) -> list[int]:
@@ -82,10 +111,11 @@ def repeats(combos: list[tuple[int, ...]], histogram: dict[int, int], x: np.ndar
 
 
 class Plan:
-    """Places for ranked rests: rank r among the rests of a length -> (sequence, offset), or none beyond the plan."""
+    """Places for ranked rests: rank r among the rests of so many grains -> (sequence, offset), or none beyond the plan."""
 
     def __init__(self, histogram: dict[int, int], length: int = LENGTH):
-        combos = combinations(histogram, length)
+        grain = grain_of(length)
+        combos = combinations(list(histogram), length // grain)
         counts = repeats(combos, histogram, least_squares(combos, histogram))
         runs: dict[int, list[tuple[int, int, int]]] = {}  # length -> (ranks before, first sequence, offset)
         used: Counter = Counter()
@@ -96,7 +126,7 @@ class Plan:
                 for k in combo:
                     runs.setdefault(k, []).append((used[k], self.sequences, at))
                     used[k] += n
-                    at += k
+                    at += k * grain
                 self.sequences += n
         self.used = dict(used)
         self.runs = {k: tuple(np.array(v, dtype=np.int64).T) for k, v in runs.items()}
@@ -116,8 +146,8 @@ class Plan:
 def encode(docs: DataFrame, path: str, vocab_path: str, end_id: int, length: int, id_col: str, text_col: str) -> DataFrame:
     """Write the ids of every whole text with end_id, each document numbered within its part and its rest ranked there."""
     spark = docs.sparkSession
-    vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))
-    out = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("whole_before", pa.int64()), ("rest", pa.int32()), ("rest_rank", pa.int64()), ("ids", pa.binary())])
+    vocab, grain = spark.sparkContext.broadcast(vocabulary(vocab_path)), grain_of(length)
+    out = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("whole_before", pa.int64()), ("rest", pa.int32()), ("grains", pa.int32()), ("rest_rank", pa.int64()), ("ids", pa.binary())])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocab.value), TaskContext.get().partitionId()
@@ -128,8 +158,8 @@ def encode(docs: DataFrame, path: str, vocab_path: str, end_id: int, length: int
                 data = enc.encode(text) + end
                 n = len(data) // enc.width.itemsize
                 rest = n % length
-                rows.append((part, at, doc_id, n, whole, rest, seen[rest], data))
-                seen[rest] += 1
+                rows.append((part, at, doc_id, n, whole, rest, rest // grain, seen[rest // grain], data))
+                seen[rest // grain] += 1
                 at += 1
                 whole += n // length
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out) if rows else pa.RecordBatch.from_pylist([], schema=out)
@@ -147,40 +177,40 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int, length: int = LENGTH, id
 
     # Totals by part: as many rows as the write had tasks.
     totals = {r.part: r.whole for r in encoded.groupBy("part").agg(F.sum(F.expr(f"n div {length}")).alias("whole")).collect()}
-    histogram = {r.rest: r.n for r in encoded.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
+    grain = grain_of(length)
+    histogram = {r.grains: r.n for r in encoded.where("grains > 0").groupBy("grains").agg(F.count("*").alias("n")).collect()}
     plan = Plan(histogram, length)
     whole_base, wholes = {}, 0
     for part in sorted(totals):
         whole_base[part] = wholes
         wholes += totals[part]
 
-    by_part = encoded.where("rest > 0").groupBy("part", "rest").agg(F.count("*").alias("n"))
-    before = by_part.select("part", "rest", (F.sum("n").over(Window.partitionBy("rest").orderBy("part")) - F.col("n")).alias("ranks_before"))
-    rests = encoded.select("part", "at", "rest", "rest_rank").where("rest > 0").join(before, ["part", "rest"])
-    ranked = rests.select("part", "at", "rest", (F.col("rest_rank") + F.col("ranks_before")).alias("rank"))
+    by_part = encoded.where("rest > 0").groupBy("part", "grains").agg(F.count("*").alias("n"))
+    before = by_part.select("part", "grains", (F.sum("n").over(Window.partitionBy("grains").orderBy("part")) - F.col("n")).alias("ranks_before"))
+    rests = encoded.select("part", "at", "rest", "grains", "rest_rank").where("rest > 0").join(before, ["part", "grains"])
+    ranked = rests.select("part", "at", "rest", "grains", (F.col("rest_rank") + F.col("ranks_before")).alias("rank"))
 
     shared_plan = spark.sparkContext.broadcast(plan)
-    out = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("rest", pa.int32()), ("sequence", pa.int64()), ("place", pa.int64())])
+    out = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("planned", pa.int32()), ("left", pa.int32()), ("sequence", pa.int64()), ("place", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = shared_plan.value.places(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sequence), pa.array(offset)], schema=out)
+            rest, grains = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            sequence, offset = shared_plan.value.places(grains, batch.column(4).to_numpy())
+            planned = np.where(sequence >= 0, grains * grain, 0)
+            columns = [pa.array(c) for c in (planned.astype(np.int32), (rest - planned).astype(np.int32), sequence, offset)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], schema=out)
 
-    placed = common.written(ranked.mapInArrow(place, "part int, at long, rest int, sequence long, place long"), f"{path}/placed")
+    placed = common.written(ranked.mapInArrow(place, "part int, at long, planned int, left int, sequence long, place long"), f"{path}/placed")
 
-    # Left-over rests end to end: a running sum within each part, on top of the parts before it.
-    left = placed.where("sequence < 0")
+    # Residuals end to end: a running sum within each part, on top of the parts before it.
     base, bases = 0, []
-    for r in left.groupBy("part").agg(F.sum("rest").alias("n")).orderBy("part").collect():
+    for r in placed.groupBy("part").agg(F.sum("left").alias("n")).orderBy("part").collect():
         bases.append((r.part, base))
         base += r.n
     bases = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
-    running = F.sum("rest").over(Window.partitionBy("part").orderBy("at")) - F.col("rest")
-    position = left.select("part", "at", running.alias("run")).join(bases, "part").select("part", "at", (F.col("base") + F.col("run")).alias("position"))
-    places = placed.where("sequence >= 0").select("part", "at", "sequence", "place", F.lit(None).cast("long").alias("position")).unionByName(
-        position.select("part", "at", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("place"), "position")
-    )
+    running = F.sum("left").over(Window.partitionBy("part").orderBy("at")) - F.col("left")
+    places = placed.withColumn("run", running).join(bases, "part").select("part", "at", "planned", "sequence", "place", (F.col("base") + F.col("run")).alias("position"))
     joined = encoded.select("part", "at", "doc_id", "whole_before", "ids").join(places, ["part", "at"], "left")
     first_planned, first_left = wholes, wholes + plan.sequences
     shape = pa.schema([(f.name, pa.int64()) for f in spark.createDataFrame([], PIECES).schema])
@@ -188,18 +218,18 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int, length: int = LENGTH, id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for part, _, doc_id, whole, data, sequence, offset, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, _, doc_id, whole, data, planned, sequence, place, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(data, dtype=width).astype("<u4")
                 n, start = len(ids), 0
                 spans = [(whole_base[part] + whole + k, 0, length) for k in range(n // length)]
-                rest = n % length
-                if sequence is not None:
-                    spans.append((first_planned + sequence, offset, rest))
-                elif position is not None:
-                    head = min(rest, length - position % length)
-                    spans.append((first_left + position // length, position % length, head))
-                    if rest > head:
-                        spans.append((first_left + position // length + 1, 0, rest - head))
+                left = n % length
+                if planned:
+                    spans.append((first_planned + sequence, place, planned))
+                    left -= planned
+                while left:
+                    size = min(left, length - position % length)
+                    spans.append((first_left + position // length, position % length, size))
+                    position, left = position + size, left - size
                 for number, at, size in spans:
                     rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, number, at))
                     start += size
