@@ -37,8 +37,8 @@ from . import common
 
 #: Jaccard threshold as a fraction.
 UP, DOWN = 4, 5
-#: Slots of the sketch, a power of two.
-SKETCH = 1 << 18
+#: Slots of the sketch, a power of two, and how many of them the driver gets in a row.
+SKETCH, BLOCK = 1 << 18, 1024
 #: Rarity classes: so many for each doubling of a slot's count, and below 128 in all.
 CLASSES = 3
 #: The index is dealt by word in so many passes, each of which has its share on disk alone.
@@ -68,12 +68,13 @@ def sketch(reps: DataFrame) -> list[int]:
     """A rarity class for each of SKETCH slots, from all words of all distinct lines: so many for each doubling of the count."""
     slots = reps.select(F.explode(_words("line")).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("slot"))
     rarity = F.least(F.lit(127), F.floor(CLASSES * F.log2(F.count("*") + 1)))
-    # As many rows for the driver as there are classes, each with its slots: the table's size is fixed.
-    rows = slots.groupBy("slot").agg(rarity.cast("int").alias("class")).groupBy("class").agg(F.array_join(F.collect_list(F.col("slot").cast("string")), ",").alias("slots"))
+    # A row for the driver for each BLOCK slots, with their classes: the table's size is fixed.
+    pair = F.concat_ws(":", F.col("slot").cast("string"), F.col("class").cast("string"))
+    rows = slots.groupBy("slot").agg(rarity.cast("int").alias("class")).groupBy(F.expr(f"slot div {BLOCK}")).agg(F.array_join(F.collect_list(pair), ",").alias("pairs"))
     classes = [1] * SKETCH
     for r in rows.collect():
-        for slot in r.slots.split(","):
-            classes[int(slot)] = r["class"]
+        for slot, rare in (x.split(":") for x in r.pairs.split(",")):
+            classes[int(slot)] = int(rare)
     return classes
 
 
@@ -158,7 +159,7 @@ def survivors(numbered: DataFrame, path: str) -> DataFrame:
     def to_earlier(of: int) -> DataFrame:
         index = _index(flagged, of, "doc", "due")
         # A settled line is due before any other. Both sides read the same columns, so that Spark shuffles the index once.
-        near = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word AND {_may_match('a', 'b')} AND a.id < b.id AND (a.doc <= b.due OR b.doc <= a.due)"))
+        near = index.alias("a").join(index.alias("b"), F.expr(f"a.word = b.word AND a.id < b.id AND {_may_match('a', 'b')} AND (a.doc <= b.due OR b.doc <= a.due)"))
         return near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
 
     more = common.written(_later(_by_passes(spark, f"{path}/pairs", to_earlier), reps, f"{path}/rest"), f"{path}/more")
