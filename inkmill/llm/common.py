@@ -8,6 +8,9 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,31 +24,37 @@ BLANKS = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 256
 
 _shipped: set[str] = set()
-#: Workspaces that are in use, for `tidy`.
-_made: list[str] = []
+#: Where set, workspaces are noted, for whoever deletes them.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def workspace(spark: SparkSession) -> str:
     """A fresh folder below the one that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a folder of this machine is chosen and set.
+    Only on a local master, as in tests, a folder of this machine stands in where that setting is absent.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="inkmill-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    _made.append(f"{base.rstrip('/')}/inkmill-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{base.rstrip('/')}/inkmill-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    return path
 
 
-def tidy(spark: SparkSession, keep: str = "") -> None:
-    """Delete all workspaces so far but one. For callers that have written every result that read them."""
-    for path in [p for p in _made if p != keep]:
-        forget(spark, path)
-        _made.remove(path)
-    release(spark)
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Workspaces made inside are added to paths."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
 
 
 def written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -63,9 +72,10 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works beside this thread
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside this thread
 
 
 def ship(spark: SparkSession) -> None:
@@ -87,14 +97,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of this very name, dots, blanks and all."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def text_of(col: str = "text") -> Column:
     """The text column, null as the empty text."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce(named(col).cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words of a text; none for a blank text."""
-    return F.array_remove(F.split(text, WORD_GAP), "")
+    """Array of the words of a text; none for a blank text.
+
+    Texts whose blanks are spaces and line ends only, nearly all, are split at a plain sign, others by way of a translation.
+    """
+    plain = F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def numbered(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -104,4 +123,4 @@ def numbered(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def packed(df: DataFrame) -> Column:
     """Every column of df in one struct, so that names which an operator uses cannot clash with the caller's."""
-    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+    return F.struct(*[named(c).alias(c) for c in df.columns])

@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded by language.
 
-Tokens are runs of letters, marks and digits, and runs of other signs between blanks. A token's symbol is its hash in
-SYMBOL_BITS bits (0 opens a text), so ORDER symbols and the order fit one 64-bit key, and the table of single symbols has
+Tokens are words (runs of characters other than space and U+0009 to U+000D). A token's symbol is its hash in SYMBOL_BITS
+bits (0 also opens a text), so ORDER symbols and the order fit one 64-bit key, and the table of single symbols has
 a bound that no corpus passes; the tables of longer n-grams grow with the trusted text.
 
 Model. The highest order has raw counts, the lower ones the number of different symbols seen before; three discounts for
@@ -38,28 +38,35 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = "[\\p{L}\\p{M}\\p{N}]+|[^\\s\\p{L}\\p{M}\\p{N}]+"
 SYMBOL_BITS = 20
 ORDER = 2
-PASSES = 4
+PASSES = 3
 HIGH = 0.99
-MARGIN = 1.2
+MARGIN = 1.3
 PRIOR = 20
 LEAST = 100
+#: Ids of so many taught documents at most are broadcast (some 32 MB); beyond that texts and ids meet in a merge join.
+BROADCAST_IDS = 2_000_000
 MASK = (1 << SYMBOL_BITS) - 1
 ORDER_BIT = 3 * SYMBOL_BITS  # up to three orders fit
 
 
 def symbols(text: str, order: int) -> Column:
     """A text's symbols after order - 1 openings."""
-    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(MASK)) + 1)
+    found = F.transform(common.words_of(F.col(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(MASK)))
     return F.concat(F.array_repeat(F.lit(0).cast("long"), order - 1), found)
 
 
-def grams(s: str, size: int, order: int) -> str:
-    """SQL: the keys of all n-grams of this size that end at a token; the first of them ends at the first token."""
-    parts = " | ".join(f"shiftleft({s}[i + {order - size + k}], {SYMBOL_BITS * (size - 1 - k)})" for k in range(size))
-    return f"CASE WHEN size({s}) >= {order} THEN transform(sequence(0, size({s}) - {order}), i -> {size << ORDER_BIT}L | {parts}) ELSE array() END"
+def grams(s: Column, size: int) -> Column:
+    """All n-grams of a size in an array of as many symbols or more, without the order in their keys."""
+    found = s
+    for m in range(2, size + 1):
+        found = F.zip_with(F.slice(found, F.lit(1), F.size(s) - (m - 1)), F.slice(s, F.lit(m), F.size(s) - (m - 1)), lambda x, c: F.shiftleft(x, SYMBOL_BITS).bitwiseOR(c))
+    return found
+
+
+def _of_order(key: str, size: int) -> Column:
+    return F.col(key).bitwiseOR(F.lit(size << ORDER_BIT))
 
 
 def context(key: str, size: int) -> str:
@@ -82,16 +89,16 @@ def discounts(counted: DataFrame) -> list[float]:
 
 
 class Model:
-    """base: log p of a symbol never seen; singles and longer: (key, pred, ctx), by single symbols and by longer n-grams."""
+    """base: log p of a symbol never seen; features: for each size of n-grams (key, pred, ctx), as 32-bit floats."""
 
-    def __init__(self, order: int, base: float, singles: DataFrame, longer: DataFrame):
-        self.order, self.base, self.singles, self.longer = order, base, singles, longer
+    def __init__(self, order: int, base: float, features: dict[int, DataFrame]):
+        self.order, self.base, self.features = order, base, features
 
 
 def train(trusted: DataFrame, path: str, order: int = ORDER) -> Model:
-    """trusted: column `text`. Writes the count and feature tables below path."""
-    spark = trusted.sparkSession
-    keys = trusted.select(common.text_of("text").alias("t")).select(symbols("t", order).alias("s")).select(F.explode(F.expr(grams("s", order, order))).alias("key"))
+    """trusted: column `text`; order: 2 or 3. Writes the count and feature tables below path."""
+    texts = trusted.select(common.text_of("text").alias("t")).select(symbols("t", order).alias("s")).where(F.size("s") >= order)
+    keys = texts.select(F.explode(grams(F.col("s"), order)).alias("g")).select(_of_order("g", order).alias("key"))
     counted = {order: common.written(keys.groupBy("key").agg(F.count("*").alias("n")), f"{path}/counts-{order}")}
     for o in range(order, 1, -1):
         counted[o - 1] = common.written(counted[o].groupBy(F.expr(suffix("key", o)).alias("key")).agg(F.count("*").alias("n")), f"{path}/counts-{o - 1}")
@@ -109,46 +116,56 @@ def train(trusted: DataFrame, path: str, order: int = ORDER) -> Model:
         totals = rows.groupBy("c").agg(F.sum("n").alias("total"), F.greatest(F.sum(off(d)) / F.sum("n"), F.lit(1e-9)).alias("rest"))
         lower = p.select(F.col("key").alias("s"), F.col("p").alias("low"))
         whole = rows.join(totals, "c").join(lower, "s").select("key", "rest", "low", ((F.col("n") - off(d)) / F.col("total") + F.col("rest") * F.col("low")).alias("p"))
-        whole = common.written(whole, f"{path}/shares-{o}")
         ctx.append(totals.select(F.col("c").alias("key"), F.lit(0.0).alias("pred"), F.log("rest").alias("ctx")))
         pred.append(whole.select("key", (F.log("p") - F.log("rest") - F.log("low")).alias("pred"), F.lit(0.0).alias("ctx")))
         p = whole.select("key", "p")
-    every = pred[0]
-    for part in (*pred[1:], *ctx):
-        every = every.unionByName(part)
-    features = every.groupBy("key").agg(F.sum("pred").alias("pred"), F.sum("ctx").alias("ctx"))
-    features = common.written(features.withColumn("single", F.col("key") < F.lit(2 << ORDER_BIT)).repartition("key").sortWithinPartitions("key"), f"{path}/features")
-    return Model(order, math.log(spare), features.where("single").drop("single"), features.where("NOT single").drop("single"))
+
+    def featured(size: int) -> DataFrame:
+        """Predictions of n-grams of a size, and what contexts of that size leave: one row a key, in order of the keys."""
+        parts = pred[size - 1] if size > order - 1 else pred[size - 1].unionByName(ctx[size - 1])
+        each = parts.groupBy("key").agg(F.sum("pred").cast("float").alias("pred"), F.sum("ctx").cast("float").alias("ctx"))
+        return common.written(each.repartition("key").sortWithinPartitions("key"), f"{path}/features-{size}")
+
+    model = Model(order, math.log(spare), {size: featured(size) for size in range(1, order + 1)})
+    for o in counted:
+        common.forget(trusted.sparkSession, f"{path}/counts-{o}")
+    common.release(trusted.sparkSession)
+    return model
 
 
 def surprise(rows: DataFrame, model: Model, path: str) -> DataFrame:
     """(k, n, surprise) of rows (k, t) with tokens: their number, and the sum of -log p over them."""
-    order = model.order
+    order, spark = model.order, rows.sparkSession
     marked = rows.select("k", symbols("t", order).alias("s")).where(F.size("s") >= order)
-    number = (F.size("s") - (order - 1)).alias("n")
 
-    def values(size: int) -> Column:
-        """Structs of the n-grams of a size, and whether each one also opens the next token's n-gram as its context."""
-        ends = f"transform({grams('s', size, order)}, (key, i) -> struct(key AS key, i < size(s) - {order} AND {size < order} AS opens))"
+    def met(size: int, share: Column | None = None) -> DataFrame:
+        """(k, n, v): the values of all n-grams of a size. One that opens the next token's n-gram adds its share as a context."""
+        known = model.features[size]
         if size == order:
-            return F.expr(ends)
-        # The n-gram before the first token is a context alone, and has no share as a prediction.
-        first = " | ".join(f"shiftleft(s[{order - 1 - size + k}], {SYMBOL_BITS * (size - 1 - k)})" for k in range(size))
-        return F.expr(f"concat(array(struct({size << ORDER_BIT}L | {first} AS key, true AS opens)), {ends})")
-
-    value = (F.col("pred") + F.when(F.col("opens"), F.col("ctx")).otherwise(0.0)).alias("v")
-    singles = marked.select("k", number, F.explode(values(1)).alias("x")).select("k", "n", "x.key", "x.opens")
-    # At most 2**SYMBOL_BITS + 1 rows of 24 bytes.
-    common.written(singles.join(F.broadcast(model.singles), "key", "left").select("k", "n", value).groupBy("k").agg(F.first("n").alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("v")), f"{path}/sums-0")
-    passes = PASSES if order > 1 else 0
-    for of in range(passes):
-        share = F.pmod(F.xxhash64("key"), F.lit(PASSES)) == of
-        found = F.concat(*[values(size) for size in range(2, order + 1)])
-        each = marked.select("k", F.explode(found).alias("x")).select("k", "x.key", "x.opens").where(share)
-        met = each.join(model.longer.where(share).hint("merge"), "key").select("k", value)
-        met.groupBy("k").agg(F.lit(None).cast("int").alias("n"), F.sum("v").alias("v")).write.parquet(f"{path}/sums-{of + 1}")
-        common.release(rows.sparkSession)
-    sums = rows.sparkSession.read.schema("k long, n int, v double").parquet(*[f"{path}/sums-{of}" for of in range(passes + 1)])
+            each = marked.select("k", F.lit(None).cast("int").alias("n"), F.explode(grams(F.col("s"), size)).alias("g")).withColumn("opens", F.lit(False))
+        else:
+            # From the openings on: the first n-gram is a context alone, the last one a prediction alone.
+            from_ = F.slice("s", F.lit(order - size), F.size("s"))
+            each = marked.select("k", (F.size("s") - (order - 1)).alias("n"), F.posexplode(grams(from_, size)).alias("at", "g")).select("k", "n", "g", (F.col("at") < F.col("n")).alias("opens"))
+        each = each.select("k", "n", _of_order("g", size).alias("key"), "opens")
+        if size == 1:
+            both = each.join(F.broadcast(known), "key", "left")  # at most 2**SYMBOL_BITS + 1 rows
+        else:
+            both = each.where(share).join(known.where(share).hint("merge"), "key")
+        value = F.coalesce(F.col("pred"), F.lit(0.0)) + F.when(F.col("opens"), F.coalesce(F.col("ctx"), F.lit(0.0))).otherwise(0.0)
+        return both.select("k", "n", value.cast("double").alias("v"))
+
+    def summed(df: DataFrame, name: str) -> None:
+        df.groupBy("k").agg(F.max("n").alias("n"), F.sum("v").alias("v")).write.parquet(f"{path}/{name}")
+        common.release(spark)
+        names.append(f"{path}/{name}")
+
+    names: list[str] = []
+    summed(met(1), "1")
+    for size in range(2, order + 1):
+        for of in range(PASSES):
+            summed(met(size, F.pmod(F.xxhash64("key"), F.lit(PASSES)) == of), f"{size}-{of}")
+    sums = spark.read.schema("k long, n int, v double").parquet(*names)
     return sums.groupBy("k").agg(F.max("n").alias("n"), (-(F.sum("v") + F.max("n") * F.lit(model.base))).alias("surprise"))
 
 
@@ -181,8 +198,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, path: str, id_col: str = "doc_i
     """Write and return (k, n, perplexity, shrunk, most, kept) for each row of docs, k its number in common.numbered."""
     rows = common.numbered(docs, {"i": F.col(id_col).cast("long"), "lang": F.col("lang").cast("string"), "t": common.text_of("text")})
     trusted = trusted_ids(labels)
-    # A merge join at any size, for labels grow with the documents.
-    taught = rows.select("i", "t").join(trusted.where("NOT held_out").hint("merge"), F.col("i") == F.col("_trusted"), "left_semi").select(F.col("t").alias("text"))
+    ids = common.written(trusted.where("NOT held_out").select("_trusted"), f"{path}/taught")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    taught = rows.select("i", "t").join(ids, F.col("i") == F.col("_trusted"), "left_semi").select(F.col("t").alias("text"))
     model = train(taught, f"{path}/model")
     common.release(docs.sparkSession)
     found = surprise(rows.select("k", "t"), model, f"{path}/sums")

