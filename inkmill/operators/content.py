@@ -21,16 +21,30 @@ TYPE_VOTES = (
 TYPE_ORDER = ("procedure", "concept", "reference", "assembly", "release_notes")
 
 
-def content_type(text: Column) -> Column:
-    """The type with the most points, 5 at least; ties by TYPE_ORDER; a declared attribute wins; else concept."""
-    lower = F.lower(text)
-    declared = F.regexp_extract(lower, ":_(?:mod-docs-)?content-type:[ ]*([a-z_]+)", 1)
-    score = {t: sum((F.when(lower.rlike(p), n).otherwise(0) for k, p, n in TYPE_VOTES if k == t), F.lit(0)) for t in TYPE_ORDER}
-    best = F.greatest(*score.values())
-    voted = F.lit("concept")
-    for t in reversed(TYPE_ORDER):
-        voted = F.when((score[t] == best) & (best >= 5), t).otherwise(voted)
-    return F.when(declared != "", declared).otherwise(voted)
+def _voted(votes: tuple, order: tuple[str, ...], text: str) -> dict[str, Column]:
+    """Points of each kind, each pattern tested once."""
+    return {t: sum((F.when(F.col(text).rlike(p), n).otherwise(0) for k, p, n in votes if k == t), F.lit(0)) for t in order}
+
+
+def _best(points: dict[str, str], least: int, default: str) -> Column:
+    """The kind with the most points, `least` at least; ties by order."""
+    best = F.greatest(*[F.col(c) for c in points.values()])
+    voted = F.lit(default)
+    for t, c in reversed(points.items()):
+        voted = F.when((F.col(c) == best) & (best >= least), t).otherwise(voted)
+    return voted
+
+
+def with_content_type(docs: DataFrame, text: str = "text", name: str = "content_type") -> DataFrame:
+    """docs with a type: the one with the most points, 5 at least; ties by TYPE_ORDER; a declared attribute wins; else concept.
+
+    Three projections, each over the columns of the one before: the lower-cased text, the points, the choice.
+    """
+    lowered = docs.select("*", F.lower(text).alias("_lower"))
+    declared = F.regexp_extract("_lower", ":_(?:mod-docs-)?content-type:[ ]*([a-z_]+)", 1).alias("_declared")
+    scored = lowered.select(*docs.columns, declared, *[c.alias(f"_{t}") for t, c in _voted(TYPE_VOTES, TYPE_ORDER, "_lower").items()])
+    voted = _best({t: f"_{t}" for t in TYPE_ORDER}, 5, "concept")
+    return scored.select(*docs.columns, F.when(F.col("_declared") != "", F.col("_declared")).otherwise(voted).alias(name))
 
 
 #: Votes for a file format: (format, pattern on the text, points); an extension gives 3 more.
@@ -45,18 +59,17 @@ FORMAT_ORDER = ("asciidoc", "markdown", "dita", "html", "xml")
 EXTENSIONS = {"adoc": "asciidoc", "asciidoc": "asciidoc", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "xml": "xml", "dita": "dita", "txt": "plaintext", "pdf": "pdf", "docx": "docx"}
 
 
-def file_format(text: Column, filename: Column | None = None) -> Column:
-    """The format with the most votes; without any, plaintext. Binary formats go by their extension."""
-    ext = F.lower(F.regexp_extract(filename, "[.]([A-Za-z]+)$", 1)) if filename is not None else F.lit("")
+def with_file_format(docs: DataFrame, text: str = "text", filename: str | None = None, name: str = "file_type") -> DataFrame:
+    """docs with a format: the one with the most votes; without any, plaintext. Binary formats go by their extension."""
+    ext = F.lower(F.regexp_extract(F.col(filename), "[.]([A-Za-z]+)$", 1)) if filename else F.lit("")
     by_name = F.lit("")
     for e, f in EXTENSIONS.items():
         by_name = F.when(ext == e, f).otherwise(by_name)
-    score = {t: sum((F.when(text.rlike(p), n).otherwise(0) for k, p, n in FORMAT_VOTES if k == t), F.when(by_name == t, 3).otherwise(0)) for t in FORMAT_ORDER}
-    best = F.greatest(*score.values())
-    voted = F.lit("plaintext")
-    for t in reversed(FORMAT_ORDER):
-        voted = F.when((score[t] == best) & (best > 0), t).otherwise(voted)
-    return F.when(by_name.isin("pdf", "docx"), by_name).otherwise(voted)
+    named = docs.select("*", by_name.alias("_named"))
+    votes = {t: c + F.when(F.col("_named") == t, 3).otherwise(0) for t, c in _voted(FORMAT_VOTES, FORMAT_ORDER, text).items()}
+    scored = named.select(*docs.columns, "_named", *[c.alias(f"_{t}") for t, c in votes.items()])
+    voted = _best({t: f"_{t}" for t in FORMAT_ORDER}, 1, "plaintext")
+    return scored.select(*docs.columns, F.when(F.col("_named").isin("pdf", "docx"), F.col("_named")).otherwise(voted).alias(name))
 
 
 def greedy_chunks(sizes: Column, limit: int) -> Column:

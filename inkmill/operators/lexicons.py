@@ -11,7 +11,7 @@ SCHEMA = "rule_type string, term string, replacement string, severity string, ca
 
 #: A to Z word lists: wrong|right pairs; the first word's letter names the rule.
 WORD_USAGE = """
-a lot|many; abort|stop; above-mentioned|this; actioned|done; ad hoc|custom; afterwards|later; amongst|among; and|plus
+a lot|many; abort|stop; above-mentioned|this; actioned|done; ad hoc|custom; afterwards|later; amongst|among
 back-end|backend; bear in mind|note; blow away|remove; by means of|with; bug fix|correction
 can not|cannot; carry out|do; checkbox list|list; cons|drawbacks; currently|now
 data base|database; deselect|clear; drill down|open; due to the fact that|because
@@ -25,41 +25,104 @@ keep in mind|note; kick off|start; kill|end; know-how|knowledge
 last but not least|; lets|let us; leverage|use; like|such as; log in to|log into
 make sure|check; master|main; may be able to|can; must have|requirement
 native|built-in; nice to have|optional; note that|; nuke|delete
-of|from; off-line|offline; on the fly|at run time; on-line|online; out of the box|by default
+off-line|offline; on the fly|at run time; on-line|online; out of the box|by default
 per|for each; pain point|problem; plug in|plugin; prior to|before; pros|advantages
 quantum leap|advance; quite|; queue up|queue
 rather|; real time|real-time; regardless of|despite; respective|own
 sanity check|check; set-up|setup; simply|; slave|replica; some of the|some; sunset|retire
-that|which; tear down|remove; thru|through; time-out|timeout; type in|enter; the|this
+tear down|remove; thru|through; time-out|timeout; type in|enter
 upon|on; use case|case; user-friendly|simple; utilize|use
 versus|compared with; very|; via|through; vice versa|the reverse
-want to|can; web-site|website; whether or not|whether; whilst|while; with|by; wish|want
+want to|can; web-site|website; whether or not|whether; whilst|while; wish|want
 x-ref|reference; xerox|copy
 year over year|yearly; yet another|another
 zero out|clear; zip up|compress
+above|earlier; access|open; adopter|user; advise|suggest; afterward|later; aka|also called; allows you to|lets you; alright|all right; anyways|anyway; appears|is shown; application program|application; as well as|and
+backward compatible|compatible with earlier versions; below|following; bleeding edge|newest; boot up|start; bottom line|result; brain dump|notes; breakdown|failure; bring up|open
+cancel out|cancel; canned|predefined; catalog out|list; cutting edge|newest; close out|close; combo|combination; come up with|find; comprised of|made up of; crash|fail; cut over|switch
+deep dive|close look; depress|press; desire|want; dialogue|dialog; disallow|prevent; due to|because of; dump|copy
+easy|; effectuate|do; eliminate|remove; ensure that|make sure that; etcetera|; ever|; execute|run; exit out|exit
+fall back|return; figure out|find; finalize|finish; foolproof|reliable; forthcoming|next; functionality|function
+gotcha|problem; gotten|got; greenfield|new; grep for|search for; guesstimate|estimate
+hack|change; hands-on|practical; head over to|go to; heads up|notice; hopefully|; hover over|point to
+illegal|not valid; impact|affect; impacted|affected; input|enter; in lieu of|instead of; in the process of|; internet-based|online; irregardless|regardless; issue|problem
+jumpstart|start; justify|explain
+kludge|workaround; kill off|end
+launch|start; lever|use; lightning fast|fast; look and feel|appearance; login|log in
+mandatory|required; mash up|mix; may|can; mouse click|click; mission critical|essential; moving forward|from now on
+nice|; noob|beginner; nowadays|now; numeric digits|digits
+obsoleted|made obsolete; off of|from; okay|OK; on the other hand|but; once|after; one-off|single; orientate|orient; over|more than
+perform|do; pinpoint|find; please|; power up|turn on; pre-built|built-in; press down|press; previous to|before; proactively|early; punch in|enter
+queue|line; quick and dirty|rough; quirk|behavior
+refer back|see; reboot up|restart; right-click on|right-click; rip out|remove; roll out|release; run into|meet
+seamless|smooth; segue|move; shoot|send; since|because; spin up|start; straightforward|; super|; surf|browse
+tap on|tap; tick|select; toggle|switch; towards|toward; trivial|; tweak|change; turnkey|ready
+ultimately|; uncheck|clear; under the hood|internally; until such time as|until; usage of|use of
+vanilla|standard; verbiage|text; vulnerable to|open to
+whizzy|; wizard-driven|guided; workaround for|way around; world-class|; worst case|at worst
+x-axis line|x-axis
+yank|remove; you should|
+zap|delete; zero in on|focus on; zoom by|zoom
 """
 
-SIMPLE = "accomplish|do; additional|more; approximately|about; assistance|help; commence|start; component|part; demonstrate|show; endeavor|try; facilitate|help; initiate|start; modification|change; numerous|many; objective|goal; obtain|get; purchase|buy; regarding|about; remainder|rest; subsequently|later; sufficient|enough; terminate|end; utilization|use; are|exist; was|existed"
-SPELLING = "analyse|analyze; behaviour|behavior; catalogue|catalog; centre|center; colour|color; defence|defense; favour|favor; grey|gray; honour|honor; labelled|labeled; licence|license; metre|meter; modelling|modeling; organise|organize; programme|program; realise|realize; travelled|traveled; in|inside"
-TERMINOLOGY = "dialogue box|dialog; drop-down|list; hard drive|disk; home page|start page; pop-up window|dialog; pull-down menu|menu; radio button|option; screen shot|image; thumb drive|USB drive; tool tip|hint; it|this"
-INCLUSIVE = "blacklist|blocklist|high; whitelist|allowlist|high; man hours|person hours|medium; manpower|workforce|medium; grandfathered|legacy|medium; dummy|placeholder|low; cripple|disable|medium; sanity test|check|medium; chairman|chair|medium; to|toward|low"
-DO_NOT_USE = "and so on|; as appropriate|; at this point in time|now; basically|; etc|; in the near future|soon; obviously|; of course|; or|otherwise; should be able to|can"
-COMPOUND = "back up copy|backup copy; check box|checkbox; command-line interface|command line interface; data set|dataset; file name|filename; host name|hostname; key board|keyboard; life cycle|lifecycle; name space|namespace; pass word|password; run time|runtime; time stamp|timestamp; user name|username; web page|webpage; is to|is-to"
-CONVERSATIONAL = "ascertain|find out; cease|stop; endeavour|try; furthermore|also; henceforth|from now on; inquire|ask; notwithstanding|despite; peruse|read; therein|in it; for|because"
-GEOGRAPHIC = "america|the United States; england|the United Kingdom; holland|the Netherlands"
+SIMPLE = """
+accomplish|do; accordingly|so; additional|more; adequate|enough; advantageous|helpful; aggregate|total; allocate|assign; alleviate|ease; ameliorate|improve
+anticipate|expect; apparent|clear; approximately|about; ascertain|find out; assistance|help; attain|reach; attempt|try; augment|increase; beneficial|useful
+cognizant|aware; commence|start; component|part; comprise|include; concerning|about; consequently|so; constitute|make up; demonstrate|show; depart|leave
+designate|name; determine|find; discontinue|stop; disseminate|spread; elucidate|explain; employ|use; encounter|meet; endeavor|try; enumerate|list
+equitable|fair; erroneous|wrong; exhibit|show; expedite|speed up; expenditure|cost; facilitate|help; forward|send; furnish|give; identical|same; illustrate|show
+implement|do; inception|start; indicate|show; initiate|start; magnitude|size; maintain|keep; methodology|method; modification|change; necessitate|need
+numerous|many; objective|goal; obtain|get; operate|run; optimum|best; participate|take part; permit|let; portion|part; possess|have; preclude|prevent
+proficiency|skill; provided that|if; purchase|buy; regarding|about; reimburse|pay back; relinquish|give up; remainder|rest; request|ask; reside|live
+select|choose; subsequently|later; substantiate|prove; sufficient|enough; terminate|end; transmit|send; utilization|use; validate|check; viable|workable; visualize|picture
+"""
+#: British spellings come from stems by rule: (endings, stems).
+SPELLING = (
+    ("ise|ize ised|ized ises|izes ising|izing isation|ization", "organ real recogn custom final general initial local maxim minim normal optim priorit special standard summar synchron visual author categor central character emphas formal harmon item modern monet neutral organ parallel random serial token vector virtual"),
+    ("yse|yze ysed|yzed yses|yzes ysing|yzing", "anal paral catal"),
+    ("our|or ours|ors oured|ored ouring|oring", "behavi col fav hon lab neighb hum rum harb endeav flav vap"),
+    ("re|er res|ers", "cent met theat lit fib calib"),
+    ("lled|led lling|ling ller|ler", "trave cance mode labe signa channe leve fue pane tota"),
+    ("ence|ense", "def lic off"),
+    ("ogue|og ogues|ogs", "catal dial anal"),
+)
+SPELLING_MORE = "grey|gray; programme|program; ageing|aging; artefact|artifact; cheque|check; enrol|enroll; fulfil|fulfill; judgement|judgment; sceptical|skeptical; storey|story; tyre|tire"
+TERMINOLOGY = "dialogue box|dialog; drop-down|list; hard drive|disk; home page|start page; pop-up window|dialog; pull-down menu|menu; radio button|option; screen shot|image; thumb drive|USB drive; tool tip|hint; combo box|list; command prompt|terminal; context menu|shortcut menu; desktop icon|icon; file extension|extension; hash sign|number sign; login screen|sign-in page; memory stick|USB drive; menu option|menu item; mouse over|point to; scroll bar|scrollbar; spin box|field; start up disk|boot disk; tick box|checkbox; web browser|browser"
+INCLUSIVE = "blacklist|blocklist|high; whitelist|allowlist|high; man hours|person hours|medium; manpower|workforce|medium; grandfathered|legacy|medium; dummy|placeholder|low; cripple|disable|medium; sanity test|check|medium; chairman|chair|medium; mankind|people|medium; man-made|artificial|medium; middleman|intermediary|medium; housekeeping|maintenance|low; native feature|built-in feature|low; salesman|salesperson|medium; spokesman|spokesperson|medium; tribal knowledge|shared knowledge|medium; white hat|ethical|low; black hat|malicious|low; master branch|main branch|medium"
+DO_NOT_USE = "and so on|; as appropriate|; at this point in time|now; basically|; etc|; in the near future|soon; obviously|; of course|; should be able to|can; and/or|or; as per|as in; be advised that|; for the reason that|because; in close proximity to|near; in the event that|if; it should be noted that|; needless to say|; on a regular basis|regularly; please be aware that|; the fact that|; with the exception of|except"
+#: Closed compounds, by their parts; the open and the hyphenated forms are flagged.
+COMPOUNDS = "back|space base|line check|box check|point check|sum code|base dash|board data|base data|set drop|down file|name fire|wall frame|work hand|shake hard|ware head|line host|name hyper|link key|board key|word land|scape life|cycle light|weight load|time look|up lower|case main|frame meta|data middle|ware mile|stone mother|board name|space net|work note|book over|flow over|head over|write pass|phrase pass|word pay|load play|back play|book port|folio road|map run|time screen|saver script|let snap|shot soft|ware source|book spread|sheet stake|holder stand|alone store|front sub|net table|space task|bar time|line time|out time|stamp tool|bar tool|box tool|kit touch|screen trouble|shoot type|face upper|case user|name walk|through web|page web|site white|space wild|card work|around work|flow work|load work|place work|space work|station"
+COMPOUND_MORE = "back up copy|backup copy; command-line interface|command line interface"
+CONVERSATIONAL = "cease|stop; endeavour|try; furthermore|also; henceforth|from now on; hereafter|from now on; hereby|; herein|here; heretofore|until now; hitherto|until now; inasmuch as|because; inquire|ask; moreover|also; nevertheless|but; nonetheless|but; notwithstanding|despite; peruse|read; pursuant to|under; shall|must; thereafter|then; thereby|so; therefore|so; therein|in it; thereof|of it; thus|so; whereas|while; whereby|by which; whereupon|then; whosoever|whoever"
+GEOGRAPHIC = "america|the United States; england|the United Kingdom; holland|the Netherlands; burma|Myanmar; czech republic|Czechia; swaziland|Eswatini; bombay|Mumbai; calcutta|Kolkata; peking|Beijing; the ukraine|Ukraine"
 
 
 def _pairs(text: str) -> list[list[str]]:
     return [[part.strip() for part in entry.split("|")] for entry in text.replace("\n", ";").split(";") if entry.strip()]
 
 
+def spellings() -> list[list[str]]:
+    """Pairs of a British spelling and the American one, each once."""
+    found = {}
+    for endings, stems in SPELLING:
+        for wrong, right in (e.split("|") for e in endings.split()):
+            found |= {stem + wrong: stem + right for stem in stems.split()}
+    return [list(p) for p in (found | dict(_pairs(SPELLING_MORE))).items()]
+
+
+def compounds() -> list[list[str]]:
+    parts = [c.split("|") for c in COMPOUNDS.split()]
+    return [[f"{a}{gap}{b}", a + b] for a, b in parts for gap in (" ", "-")] + _pairs(COMPOUND_MORE)
+
+
 def rows() -> list[tuple]:
-    """The built-in lexicon: under a thousand rows, fixed."""
+    """The built-in lexicon: under two thousand rows, fixed."""
     out = [(f"word_usage_{e[0][0]}", e[0], e[1], "medium", False) for e in _pairs(WORD_USAGE)]
-    for rule, text, severity in (("simple_words", SIMPLE, "low"), ("spelling", SPELLING, "medium"), ("terminology", TERMINOLOGY, "medium"), ("do_not_use", DO_NOT_USE, "high"), ("compound_words", COMPOUND, "medium"), ("conversational_style", CONVERSATIONAL, "low"), ("geographic_terms", GEOGRAPHIC, "medium")):
-        out += [(rule, e[0], e[1], severity, False) for e in _pairs(text)]
+    lists = (("simple_words", _pairs(SIMPLE), "low"), ("spelling", spellings(), "medium"), ("terminology", _pairs(TERMINOLOGY), "medium"), ("do_not_use", _pairs(DO_NOT_USE), "high"), ("compound_words", compounds(), "medium"), ("conversational_style", _pairs(CONVERSATIONAL), "low"), ("geographic_terms", _pairs(GEOGRAPHIC), "medium"))
+    for rule, pairs, severity in lists:
+        out += [(rule, e[0], e[1], severity, False) for e in pairs]
     out += [("inclusive_language", e[0], e[1], e[2], False) for e in _pairs(INCLUSIVE)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def builtin(spark: SparkSession) -> DataFrame:

@@ -1,19 +1,25 @@
 """Order-dependent merging: greedy acceptance of issues, first wins.
 
-Within a document issues come in `ord`; one is dropped if its category group is that of an accepted one and their texts
+Within a sentence issues come in `ord`; one is dropped if its category group is that of an accepted one and their texts
 agree or their spans overlap by more than half of the shorter. A dropped issue suppresses nothing, which no anti-join
-tells, so a document's issues are folded in order. Only documents with overlapping issues need the fold; `merge` lets
-the others pass it by. A document's issues are bounded by its length.
+tells, so the issues of a sentence and group are folded in order, in one expression over their array. A group is bounded
+by its sentence; one of a single issue, as most are, is not collected at all.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
-BROAD = {"word-usage": "style", "grammar": "grammar", "punctuation": "punctuation"}
+#: Broad groups of categories; any other category is a group of its own.
+BROAD = {"word-usage": "style", "style": "style", "grammar": "grammar", "structure": "structure", "punctuation": "punctuation"}
+
+
+def group(category: Column) -> Column:
+    found = category
+    for name, broad in BROAD.items():
+        found = F.when(category == name, broad).otherwise(found)
+    return found
 
 
 def overlap(a: tuple[int, int], b: tuple[int, int]) -> float:
@@ -22,28 +28,18 @@ def overlap(a: tuple[int, int], b: tuple[int, int]) -> float:
     return max(0, shared) / shorter if shorter > 0 else 0.0
 
 
-def accept(rows: list[tuple]) -> list[int]:
-    """Indices of accepted rows (category, normalised text, sentence, start, end), in order."""
-    kept: list[int] = []
-    by_sentence: dict[tuple, list[int]] = {}
-    for k, (category, text, sentence, start, end) in enumerate(rows):
-        group = by_sentence.setdefault((sentence, BROAD.get(category, category)), [])
-        if all(rows[j][1] != text and overlap(rows[j][3:5], (start, end)) <= 0.5 for j in group):
-            group.append(k)
-            kept.append(k)
-    return kept
-
-
 def merge(issues: DataFrame) -> DataFrame:
     """Accepted issues. Columns doc_id, ord, category, flagged, sent_idx, start_pos, end_pos are read, all come back."""
-    schema = ST.StructType(issues.schema.fields)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        rows = list(zip(pdf.category, pdf.flagged.fillna("").str.strip().str.lower(), pdf.sent_idx, pdf.start_pos, pdf.end_pos, strict=True))
-        return pdf.iloc[accept(rows)]
-
-    return issues.groupBy("doc_id").applyInPandas(fold, schema)
+    marked = issues.withColumn("_group", group(F.col("category"))).withColumn("_text", F.lower(F.trim(F.coalesce("flagged", F.lit("")))))
+    keys = ["doc_id", "sent_idx", "_group"]
+    counted = marked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    row = F.struct("ord", "_text", "start_pos", "end_pos", F.struct(*issues.columns).alias("row"))
+    listed = counted.where("_n > 1").groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("all"))
+    fold = """aggregate(all, filter(all, x -> false), (kept, x) -> CASE WHEN exists(kept, a -> a._text = x._text
+        OR 2 * (least(a.end_pos, x.end_pos) - greatest(a.start_pos, x.start_pos)) > least(a.end_pos - a.start_pos, x.end_pos - x.start_pos)
+           AND least(a.end_pos - a.start_pos, x.end_pos - x.start_pos) > 0) THEN kept ELSE concat(kept, array(x)) END)"""
+    folded = listed.select(F.explode(F.expr(fold)).alias("x")).select("x.row.*")
+    return counted.where("_n = 1").select(*issues.columns).unionByName(folded)
 
 
 def demote(issues: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ RULES: tuple[Rule, ...] = (
     Rule("highlighting", "caps", "[A-Z]{6,}", "No capitals for emphasis.", "low", word=True, lacks=CODE, never=("https", "README"), yes="It is FORBIDDEN here.", no="It is forbidden here."),
     Rule("highlighting", "camel", "[a-z]+[A-Z][A-Za-z]*[a-z]", "Set code in code font.", "low", word=True, lacks=CODE, never=("iphone", "ebay", "macos", "javascript"), yes="Set maxSize to 4.", no="Set `maxSize` to 4."),
     Rule("highlighting", "bold_code", "\\*\\*?`[^`]+`\\*\\*?", "Code needs no bold.", yes="Run **`ls`** now.", no="Run `ls` now."),
-    Rule("indentation", "mixed", "^(?: +\\t|\\t+ )", "Tabs and spaces are mixed.", yes=" \tIndented line.", no="Plain line."),
+    Rule("indentation", "mixed", "^(?: +\\t|\\t+ )", "Tabs and spaces are mixed.", blocks=("paragraph",), yes=" \tIndented line.", no="Plain line."),
     Rule("list_consistency", "period", "^[A-Z][^.!?:]*(?: [a-z]+){3,}[a-z]$", "A list item that is a sentence ends with a period.", "low", blocks=ITEM, has="(?i) (?:is|are|has|have|can|must|should|runs|opens) ", yes="The host is up and well now", no="The host is up and well now."),
     Rule("list_parallelism", "passive", f"(?i){BE} {PARTICIPLE}", "List items take the active voice.", blocks=ITEM, word=True, yes="The file is deleted", no="Delete the file"),
     Rule("list_punctuation", "comma", ",$", "No comma after a list item.", "low", blocks=ITEM, yes="a red lamp,", no="a red lamp"),

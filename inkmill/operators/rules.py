@@ -1,8 +1,7 @@
 """Rule execution: all pattern checks in one pass over the sentences, all word lists in one join.
 
 `pattern_issues` builds one array expression for all the checks asked for and explodes it once, so the sentences are
-scanned once however many rules run. `lexicon_issues` explodes word runs up to the lexicon's longest term and joins
-the lexicon; the built-in one is broadcast (its size is fixed), any other one as Spark decides.
+scanned once however many rules run. `lexicon_issues` explodes the words once and joins them with the terms' first words; the built-in one is broadcast (its size is fixed), any other one as Spark decides.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from .rule_table import RULES, Rule, category
 
 ISSUE = "rule_name string, check string, category string, severity string, start int, `end` int, flagged string, message string"
 NEIGHBOUR = "[\\p{L}\\p{N}_]"
-#: Words of the built-in lexicon's longest term.
-LONGEST_TERM = 5
 
 
 EMPTY = f"cast(array() AS array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in ISSUE.split(','))}>>)"
@@ -58,16 +55,24 @@ def pattern_issues(sents: DataFrame, rules: tuple[Rule, ...] = RULES, block_type
 
 
 def lexicon_issues(sents: DataFrame, lexicon: DataFrame, fixed: bool = True) -> DataFrame:
-    """sents' columns with rule_name, category, severity, pos (of the first word), flagged and replacement."""
-    longest = lexicon.agg(F.max(F.size(F.split("term", " ")))).head()[0] or 1
-    word = sents.withColumn("_w", T.words("sentence"))
-    runs = word.select(*sents.columns, "_w", F.posexplode("_w").alias("pos", "_first")).select(
-        *sents.columns, "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("_w") - F.col("pos"))), lambda n: F.array_join(F.slice("_w", F.col("pos") + 1, n), " "))).alias("flagged")
-    )
+    """sents' columns with rule_name, category, severity, pos (of the first word), start, end, flagged and replacement.
+
+    Each word meets the terms that open with it, and the terms' other words are compared on those few rows alone. A term
+    is flagged where its words follow each other, whatever stands between them; the flagged text has them spaced.
+    """
     cat = F.when(F.col("rule_type").contains("word_usage"), "word-usage").otherwise("style")
-    lex = lexicon.select(F.col("rule_type").alias("rule_name"), cat.alias("category"), "severity", "replacement", "case_sensitive", F.lower("term").alias("_term"), F.col("term").alias("_exact"))
-    joined = runs.join(F.broadcast(lex) if fixed else lex, F.lower("flagged") == F.col("_term"))
-    return joined.where("NOT case_sensitive OR flagged = _exact").drop("_term", "_exact", "case_sensitive")
+    term = F.split(F.lower("term"), " ")
+    lex = lexicon.select(F.col("rule_type").alias("rule_name"), cat.alias("category"), "severity", "replacement", "case_sensitive", F.lower("term").alias("_term"), F.col("term").alias("_exact"), F.size(term).alias("_n"), F.element_at(term, 1).alias("_first"))
+    words = sents.withColumn("_w", T.words("sentence"))
+    each = words.select("*", F.posexplode("_w").alias("pos", "_word"))
+    joined = each.join(F.broadcast(lex) if fixed else lex, F.lower("_word") == F.col("_first"))
+    flagged = joined.withColumn("flagged", F.array_join(F.slice("_w", F.col("pos") + 1, F.col("_n")), " "))
+    found = flagged.where("lower(flagged) = _term AND (NOT case_sensitive OR flagged = _exact)").withColumn("_gaps", F.split("sentence", T.WORD, -1))
+    # Before word k lie k + 1 gaps and k words.
+    size = lambda array, n: F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    last = F.col("pos") + F.col("_n")
+    spans = found.withColumn("start", size("_gaps", F.col("pos") + 1) + size("_w", F.col("pos"))).withColumn("end", size("_gaps", last) + size("_w", last))
+    return spans.select(*sents.columns, "pos", "start", "end", "flagged", "rule_name", "category", "severity", "replacement")
 
 
 def excepted(issues: DataFrame, exceptions: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of operators that SQL cannot tell: the greedy merge and streaming jobs."""
+"""Queries of the greedy merge, of streaming jobs' plans and of reference cycles, with SQL written apart from theirs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge, references
 from ..streaming import events
-from . import shared
+from . import duck, shared
 
 
 def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,21 @@ def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.cycles(edges.where("source <> '/'"))
 
 
+def greedy_merge_sql() -> str:
+    """The fold as a reduction of one-element lists."""
+    head = shared.sql("issue_ids")
+    head = head[: head.rindex("SELECT doc_id, ord, sha256")]
+    broad = "CASE category " + " ".join(f"WHEN {duck.lit(a)} THEN {duck.lit(b)}" for a, b in merge.BROAD.items()) + " ELSE category END"
+    clash = "a.t = y[1].t OR (2 * (least(a.e, y[1].e) - greatest(a.s, y[1].s)) > least(a.e - a.s, y[1].e - y[1].s) AND least(a.e - a.s, y[1].e - y[1].s) > 0)"
+    return f"""{head} SELECT doc_id, kept.ord AS ord, kept.category AS category, kept.rule_name AS rule_name, kept.flagged AS flagged, sent_idx, kept.s AS start_pos, kept.e AS end_pos FROM (
+      SELECT doc_id, sent_idx, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda a: {clash})) > 0 THEN acc ELSE list_concat(acc, y) END)) AS kept FROM (
+        SELECT doc_id, sent_idx, {broad} AS grp, list({{'ord': ord, 't': lower(trim(flagged)), 's': start_pos, 'e': end_pos, 'category': category, 'rule_name': rule_name, 'flagged': flagged}} ORDER BY ord) AS l
+        FROM issues GROUP BY doc_id, sent_idx, grp))"""
+
+
 SQL = {
+    "greedy_merge": greedy_merge_sql(),
+    "sliding_events": "SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) - off AS VARCHAR(30)) AS window_start, event_type, count(*) AS n FROM events, (VALUES (INTERVAL 0 MINUTE), (INTERVAL 15 MINUTE), (INTERVAL 30 MINUTE), (INTERVAL 45 MINUTE)) AS o(off) GROUP BY 1, 2",
     "hourly_events": "SELECT CAST(date_trunc('hour', ts) AS VARCHAR(30)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "session_windows": "SELECT user_id, CAST(sum(CASE WHEN was IS NULL OR ts - was >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) AS BIGINT) AS sessions, count(*) AS events FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events) GROUP BY user_id",
 }

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import lexicons
 from ..operators.rule_table import RULE_TYPES, RULES, Rule, category
-from ..operators.rules import LONGEST_TERM, lexicon_issues, pattern_issues
+from ..operators.rules import lexicon_issues, pattern_issues
 from ..sources import html
-from . import duck
+from . import duck, fixtures
 
 SPECIMENS = [(-1 - k, s) for k, s in enumerate(s for r in RULES if not r.blocks for s in (r.yes, r.no))]
-BLOCK_SPECIMENS = [(-1 - k, 0, b, 0, s) for k, (b, s) in enumerate((r.blocks[0], s) for r in RULES if r.blocks for s in (r.yes, r.no))]
+BLOCK_SPECIMENS = [(-1 - k, 0, b, 0, s) for k, (b, s) in enumerate((r.blocks[0], s) for r in RULES if r.blocks for s in (r.yes, r.no))] + fixtures.structure_rows()
+PROSE_SPECIMENS = list(fixtures.PROSE.items())
 OUT = ("doc_id", "sent_idx", "check", "start", "end", "flagged", "severity")
 
 
@@ -28,6 +29,32 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(spark.createDataFrame(SPECIMENS, "doc_id long, text string"))
 
 
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.unionByName(spark.createDataFrame(PROSE_SPECIMENS, "doc_id long, text string"))
+
+
+#: The review profile: the rules whose finds are scored, merged and reported on.
+PROFILE = ("abbreviations", "accessibility", "capitalization", "contractions", "ellipses", "exclamation_points", "numbers_general", "punctuation_and_symbols", "quotation_marks", "second_person", "semicolons", "slashes", "spacing", "tone")
+
+
+def profile_issues(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, rule_name, category, severity, start_pos, end_pos, flagged): finds of the profile's rules and of all word lists."""
+    keys = sents.select("doc_id", "sent_idx", "sentence")
+    by_pattern = pattern_issues(keys, tuple(r for r in RULES if r.rule_type in PROFILE and not r.blocks))
+    by_term = lexicon_issues(keys, lexicons.builtin(sents.sparkSession))
+    names = ("doc_id", "sent_idx", "rule_name", "category", "severity", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "flagged")
+    return by_pattern.select(*names).unionByName(by_term.select(*names)).distinct()
+
+
+def profile_issues_sql() -> str:
+    """As profile_issues, from sentences and w0."""
+    each = [f"SELECT doc_id, sent_idx, {duck.lit(r.rule_type)} AS rule_name, {duck.lit(category(r.rule_type))} AS category, severity, start AS start_pos, \"end\" AS end_pos, flagged FROM ({check_sql(r)})" for r in RULES if r.rule_type in PROFILE and not r.blocks]
+    lex = [r[:4] for r in lexicons.rows()]
+    terms = f"SELECT doc_id, sent_idx, rule_type, CASE WHEN contains(rule_type, 'word_usage') THEN 'word-usage' ELSE 'style' END, severity, start, \"end\", flagged FROM ({lexicon_sql(lex)})"
+    return "\nUNION\n".join([*each, terms])
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sentences(corpus(spark, sf_dir))
 
@@ -59,7 +86,13 @@ def word_list(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = lexicons.builtin(spark).where(F.col("rule_type") == name)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     own = spark.createDataFrame(_term_specimens(name), "doc_id long, text string")
-    return lexicon_issues(T.sentences(docs.unionByName(own)), lex).select("doc_id", "sent_idx", "pos", "flagged", "replacement", "severity")
+    return lexicon_issues(T.sentences(docs.unionByName(own)), lex).select("doc_id", "sent_idx", "pos", "start", "end", "flagged", "replacement", "severity")
+
+
+def all_word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word list in one scan of documents: finds by rule and term."""
+    found = lexicon_issues(T.sentences(prose(spark, sf_dir)), lexicons.builtin(spark))
+    return found.groupBy("rule_name", F.lower("flagged").alias("term"), "severity").agg(F.count("*").alias("n_issues"), F.countDistinct("doc_id").alias("n_docs"), F.sum("start").alias("sum_start"))
 
 
 def _term_specimens(name: str) -> list[tuple]:
@@ -73,6 +106,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 CORPUS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM {_values(SPECIMENS, 'doc_id, text')})"
 SENTENCES_SQL = duck.SENTENCES.replace("FROM documents", f"FROM {CORPUS_SQL}")
+PROSE_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM {_values(PROSE_SPECIMENS, 'doc_id, text')})"
 BLOCKS_SQL = f"{duck.blocks()},\nblocks AS (SELECT doc_id, block_idx, block_type, level, content FROM html_blocks UNION ALL SELECT doc_id::BIGINT, block_idx::INTEGER, block_type, level::INTEGER, content FROM {_values(BLOCK_SPECIMENS, 'doc_id, block_idx, block_type, level, content')})"
 
 
@@ -107,15 +141,29 @@ def all_rules_sql() -> str:
     return f"WITH {SENTENCES_SQL} SELECT rule_name, \"check\", category, severity, count(*) AS n_issues, sum(start)::BIGINT AS sum_start FROM ({' UNION ALL '.join(each)}) GROUP BY ALL"
 
 
+def lexicon_sql(lex: list[tuple]) -> str:
+    """SELECT of the finds of a lexicon (rule_type, term, replacement, severity) from w0: runs of words by their length and text."""
+    longest = max(len(r[1].split(" ")) for r in lex)
+    sizes = lambda array, n: f"coalesce(list_sum(list_transform({array}[1:{n}], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, sent_idx, (p - 1)::INTEGER AS pos, ({sizes('gaps', 'p')} + {sizes('words', 'p - 1')})::INTEGER AS start, ({sizes('gaps', 'p + n - 1')} + {sizes('words', 'p + n - 1')})::INTEGER AS "end", flagged, rule_type, replacement, severity FROM
+      (SELECT r.*, l.*, string_split_regex(sentence, '{duck.WORD}') AS gaps FROM
+        (SELECT doc_id, sent_idx, sentence, words, p, n, array_to_string(words[p:p + n - 1], ' ') AS flagged FROM
+          (SELECT doc_id, sent_idx, sentence, words, p, unnest(range(1, least({longest}, len(words) - p + 1) + 1)) AS n FROM
+            (SELECT doc_id, sent_idx, sentence, words, unnest(range(1, len(words) + 1)) AS p FROM w0))) AS r
+        JOIN {_values(lex, 'rule_type, term, replacement, severity')} AS l ON lower(r.flagged) = l.term)"""
+
+
 def word_list_sql(name: str) -> str:
     lex = [r[:4] for r in lexicons.rows() if r[0] == name]
     docs = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM {_values(_term_specimens(name), 'doc_id, text')})"
-    return f"""WITH {duck.TOKENS.replace('FROM documents', f'FROM {docs}')},
-    runs AS (SELECT doc_id, sent_idx, p - 1 AS pos, array_to_string(words[p:p + n - 1], ' ') AS flagged FROM
-      (SELECT doc_id, sent_idx, words, p, unnest(range(1, least({LONGEST_TERM}, len(words) - p + 1) + 1)) AS n FROM
-        (SELECT doc_id, sent_idx, words, unnest(range(1, len(words) + 1)) AS p FROM w0)))
-    SELECT doc_id, sent_idx, pos::INTEGER AS pos, flagged, replacement, severity FROM runs
-    JOIN {_values(lex, 'rule_type, term, replacement, severity')} ON lower(flagged) = term"""
+    return f"""WITH {duck.TOKENS.replace('FROM documents', f'FROM {docs}')}
+    SELECT doc_id, sent_idx, pos, start, "end", flagged, replacement, severity FROM ({lexicon_sql(lex)})"""
+
+
+def all_word_lists_sql() -> str:
+    lex = [r[:4] for r in lexicons.rows()]
+    return f"""WITH {duck.TOKENS.replace('FROM documents', f'FROM {PROSE_SQL}')} SELECT rule_type AS rule_name, lower(flagged) AS term, severity, count(*) AS n_issues, count(DISTINCT doc_id) AS n_docs, sum(start)::BIGINT AS sum_start
+    FROM ({lexicon_sql(lex)}) GROUP BY ALL"""
 
 
 WORD_LISTS = tuple(dict.fromkeys(r[0] for r in lexicons.rows()))
@@ -124,10 +172,10 @@ WORD_LISTS = tuple(dict.fromkeys(r[0] for r in lexicons.rows()))
 def queries() -> dict:
     found = {f"rule_{n}": partial(rule, n) for n in RULE_TYPES}
     found |= {f"words_{n}": partial(word_list, n) for n in WORD_LISTS}
-    return found | {"all_pattern_rules": all_rules}
+    return found | {"all_pattern_rules": all_rules, "all_word_lists": all_word_lists}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {f"rule_{n}": rule_sql(n) for n in RULE_TYPES}
     found |= {f"words_{n}": word_list_sql(n) for n in WORD_LISTS}
-    return found | {"all_pattern_rules": all_rules_sql()}
+    return found | {"all_pattern_rules": all_rules_sql(), "all_word_lists": all_word_lists_sql()}

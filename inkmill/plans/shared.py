@@ -12,31 +12,27 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import text as T
+from ..operators import lexicons
 from . import duck
 from . import rules as R
 
 RENAMED = (("regexp_like", "regexp_matches"), ("bround", "round_even"), ("size", "len"), ("collect_list", "list"), ("array_join", "array_to_string"), ("explode", "unnest"))
 
-#: Issues of four kinds over the sentences: the input of the merge, score and report queries.
-ISSUES = """
-raw_issues AS (
-  SELECT doc_id, sent_idx, 0 AS pos, 'sentence_length' AS rule_name, 'style' AS category, substr(sentence, 1, 20) AS flagged,
-         CASE WHEN words > 40 THEN 'high' WHEN words > 30 THEN 'medium' ELSE 'low' END AS severity, 0 AS start_pos, length(sentence) AS end_pos, 'ibm_style' AS guide
-  FROM sentence_words WHERE words > 25
-  UNION ALL
-  SELECT doc_id, sent_idx, pos, 'repeated_words', 'grammar', concat(token, ' ', token), 'medium', 10 * pos, 10 * pos + 12, 'red_hat'
-  FROM (SELECT doc_id, sent_idx, pos, token, lag(lower(token)) OVER (PARTITION BY doc_id, sent_idx ORDER BY pos) AS was FROM tokens) AS t WHERE was = lower(token)
-  UNION ALL
-  SELECT doc_id, sent_idx, pos, 'word_usage_o', 'word-usage', token, 'low', 10 * pos, 10 * pos + length(token), 'ibm_style' FROM tokens WHERE lower(token) IN ('of', 'des', 'von', 'del')
-  UNION ALL
-  SELECT doc_id, sent_idx, pos, 'capitalization', 'punctuation', token, 'high', 10 * pos + 2, 10 * pos + 2 + length(token), 'accessibility'
-  FROM tokens WHERE regexp_like(token, '^[A-Z]+$') AND length(token) > 5
-),
+#: Each guide with its categories, and how many rules stand behind it.
+GUIDES = "(VALUES ('house', 'style', 50), ('house', 'grammar', 50), ('terms', 'word-usage', 25), ('accessible', 'punctuation', 15), ('modular', 'structure', 20), ('modular', 'references', 20)) AS g(guide, category, rules)"
+#: Rules whose finds stand for those of an outside checker and of a model, the tiers below our own. Both are providers that give nothing by default.
+TIERS = "(VALUES ('spelling', 'checker'), ('compound_words', 'checker'), ('punctuation_and_symbols', 'checker'), ('exclamation_points', 'checker'), ('tone', 'model'), ('simple_words', 'model'), ('conversational_style', 'model'), ('second_person', 'model')) AS t(rule_name, source)"
+#: Decisions of an earlier review, by rule and flagged text; all other issues are open.
+DECISIONS = "(VALUES ('exclamation_points', '!!', 'dismissed'), ('abbreviations', 'e.g.', 'accepted'), ('simple_words', 'the fact that', 'dismissed'), ('spelling', 'grey', 'dismissed')) AS d(rule_name, flagged, status)"
+#: The profile's finds with their spans, tier, status, and confidence by kind of rule.
+ISSUES = f"""
 issues AS (
-  SELECT doc_id, CAST(ord AS INT) AS ord, CASE WHEN ord % 5 = 4 THEN 'llm' WHEN ord % 3 = 2 THEN 'languagetool' ELSE 'deterministic' END AS source, category, rule_name, flagged, severity,
-         sent_idx, start_pos, end_pos, guide, CASE WHEN ord % 7 = 6 THEN 'dismissed' WHEN ord % 11 = 10 THEN 'accepted' ELSE 'open' END AS status, CAST((ord % 10) / 10.0 AS DOUBLE) AS confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, pos, rule_name) AS ord FROM raw_issues) AS o
+  SELECT o.doc_id, CAST(o.ord AS INT) AS ord, coalesce(t.source, 'rules') AS source, o.category, o.rule_name, o.flagged, o.severity, o.sent_idx, o.start_pos, o.end_pos,
+         coalesce(g.guide, 'house') AS guide, coalesce(d.status, 'open') AS status, CASE WHEN o.category = 'word-usage' THEN 9e-1 WHEN t.source = 'model' THEN 5e-1 WHEN t.source = 'checker' THEN 7e-1 ELSE 8e-1 END AS confidence
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, start_pos, end_pos, rule_name, severity) AS ord FROM raw_issues) AS o
+  LEFT JOIN {TIERS} ON t.rule_name = o.rule_name LEFT JOIN {DECISIONS} ON d.rule_name = o.rule_name AND d.flagged = lower(o.flagged) LEFT JOIN (SELECT guide, category FROM {GUIDES}) AS g ON g.category = o.category
 )"""
+RANK = "CASE {c}.source WHEN 'rules' THEN 1 WHEN 'checker' THEN 2 ELSE 3 END"
 
 SENTENCE_WORDS = "sentence_words AS (SELECT doc_id, sent_idx, sentence, CAST(size(regexp_extract_all(sentence, '[^ ]+'{all})) AS INT) AS words FROM sentences)"
 STATS = """
@@ -53,7 +49,7 @@ scores AS (SELECT t.doc_id, t.words, coalesce(p.open_issues, 0) AS open_issues,
            FROM stats AS t LEFT JOIN penalties AS p ON t.doc_id = p.doc_id)"""
 #: Block runs: consecutive blocks of a kind, by gaps and islands.
 LIFECYCLE = """
-status_log AS (SELECT event_id, user_id AS session_id, event_id % 97 AS issue_id, CASE event_type WHEN 'error' THEN 'dismissed' WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'resolved' ELSE 'open' END AS status, event_type AS rule_type, value, ts FROM events)"""
+status_log AS (SELECT event_id, user_id AS session_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS issue_id, CASE event_type WHEN 'error' THEN 'dismissed' WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'resolved' ELSE 'open' END AS status, event_type AS rule_type, value, ts FROM events)"""
 
 NEEDS = {
     "sentence_words": ("sentences",),
@@ -61,6 +57,13 @@ NEEDS = {
     "raw": ("sentence_words", "tokens"),
 }
 
+#: "Full Name (ABC)", the last one of a document wins.
+DEFINITIONS = """
+definitions AS (SELECT doc_id, sent, regexp_extract(hit, '[(]([A-Z]{2,6})[)]$', 1) AS acronym, regexp_extract(hit, '^(.*[a-z]) [(]', 1) AS full_name
+  FROM (SELECT doc_id, sent_idx AS sent, explode(regexp_extract_all(sentence, '((?:[A-Z][a-z]+ ){1,6}[(][A-Z]{2,6}[)])', 1)) AS hit FROM sentences WHERE sentence LIKE '%(%') AS h)"""
+#: Words of the built-in lexicon's right forms: the registry of known terms.
+KNOWN = "(VALUES " + ", ".join(f"({duck.lit(w)})" for w in sorted({w.lower() for r in lexicons.rows() for w in r[2].split()})) + ") AS v(known)"
+
 # name: (base views, common tables, select)
 Q: dict[str, tuple[str, str, str]] = {}
 
@@ -70,16 +73,16 @@ def q(name: str, base: str, select: str, tables: str = "") -> None:
 
 
 # -- rows and projections
-q("sentence_length", "text", "SELECT doc_id, sent_idx, words, CASE WHEN words > 40 THEN 'high' WHEN words > 30 THEN 'medium' ELSE 'low' END AS severity FROM sentence_words WHERE words > 25 AND NOT regexp_like(sentence, '.*/.*/.*/.*/') AND NOT regexp_like(sentence, '`.*`.*`')")
+q("sentence_length", "text", "SELECT doc_id, sent_idx, words, CASE WHEN words > 40 THEN 'high' WHEN words > 30 THEN 'medium' ELSE 'low' END AS severity FROM sentence_words WHERE words > 25 AND length(sentence) - length(replace(sentence, '/', '')) < 4 AND length(sentence) - length(replace(sentence, '`', '')) < 4")
 q("repeated_words", "text", "SELECT doc_id, sent_idx, pos, token FROM (SELECT doc_id, sent_idx, pos, token, lag(lower(token)) OVER (PARTITION BY doc_id, sent_idx ORDER BY pos) AS was FROM tokens) AS t WHERE was = lower(token) AND lower(token) NOT IN ('that', 'had')")
 q("document_stats", "text", "SELECT doc_id, sentences, words, unique_words, round(unique_words / CAST(CASE WHEN words = 0 THEN 1 ELSE words END AS DOUBLE), 4) AS ttr, round(words / CAST(sentences AS DOUBLE), 2) AS avg_words, round(syllables / CAST(CASE WHEN words = 0 THEN 1 ELSE words END AS DOUBLE), 2) AS avg_syllables FROM stats", STATS)
 q("readability", "text", """SELECT doc_id,
-  CASE WHEN words < 3 THEN 0.0 ELSE round(206.835 - 1.015 * words / sentences - 84.6 * syllables / words, 2) END AS flesch,
-  CASE WHEN words < 3 THEN 0.0 ELSE round(0.39 * words / sentences + 11.8 * syllables / words - 15.59, 2) END AS flesch_kincaid,
-  CASE WHEN words < 3 THEN 0.0 ELSE round(0.4 * (CAST(words AS DOUBLE) / sentences + 100.0 * complex / words), 2) END AS gunning_fog,
-  CASE WHEN words < 3 THEN 0.0 ELSE round(0.0588 * (100.0 * letters / words) - 0.296 * (100.0 * sentences / words) - 15.8, 2) END AS coleman_liau,
-  CASE WHEN words < 3 THEN 0.0 ELSE round(1.043 * sqrt(complex * 30.0 / sentences) + 3.1291, 2) END AS smog,
-  CASE WHEN words < 3 THEN 0.0 ELSE round(4.71 * letters / words + 0.5 * words / sentences - 21.43, 2) END AS ari FROM (SELECT doc_id, CAST(words AS DOUBLE) AS words, CAST(sentences AS DOUBLE) AS sentences, CAST(syllables AS DOUBLE) AS syllables, CAST(letters AS DOUBLE) AS letters, CAST(complex AS DOUBLE) AS complex FROM stats) AS d""", STATS)
+  CASE WHEN words < 3 THEN 0.0 ELSE round(206.835 - 1.015 * words / sentences - 84.6 * syllables / words, 6) END AS flesch,
+  CASE WHEN words < 3 THEN 0.0 ELSE round(0.39 * words / sentences + 11.8 * syllables / words - 15.59, 6) END AS flesch_kincaid,
+  CASE WHEN words < 3 THEN 0.0 ELSE round(0.4 * (CAST(words AS DOUBLE) / sentences + 100.0 * complex / words), 6) END AS gunning_fog,
+  CASE WHEN words < 3 THEN 0.0 ELSE round(0.0588 * (100.0 * letters / words) - 0.296 * (100.0 * sentences / words) - 15.8, 6) END AS coleman_liau,
+  CASE WHEN words < 3 THEN 0.0 ELSE round(1.043 * sqrt(complex * 30.0 / sentences) + 3.1291, 6) END AS smog,
+  CASE WHEN words < 3 THEN 0.0 ELSE round(4.71 * letters / words + 0.5 * words / sentences - 21.43, 6) END AS ari FROM (SELECT doc_id, CAST(words AS DOUBLE) AS words, CAST(sentences AS DOUBLE) AS sentences, CAST(syllables AS DOUBLE) AS syllables, CAST(letters AS DOUBLE) AS letters, CAST(complex AS DOUBLE) AS complex FROM stats) AS d""", STATS)
 q("readability_bands", "text", """SELECT band, count(*) AS docs FROM (SELECT doc_id, CASE WHEN f >= 90 THEN 'very easy' WHEN f >= 80 THEN 'easy' WHEN f >= 70 THEN 'fairly easy' WHEN f >= 60 THEN 'standard' WHEN f >= 50 THEN 'fairly hard' WHEN f >= 30 THEN 'hard' ELSE 'very hard' END AS band
   FROM (SELECT doc_id, round(206.835 - 1.015 * words / CAST(sentences AS DOUBLE) - 84.6 * syllables / CAST(words AS DOUBLE), 6) AS f FROM stats WHERE words >= 3) AS a) AS b GROUP BY band""", STATS)
 q("grade_levels", "text", "SELECT doc_id, grade, CASE WHEN g < 6 THEN 'elementary' WHEN g < 9 THEN 'middle' WHEN g < 13 THEN 'high school' ELSE 'college' END AS level, g BETWEEN 9 AND 11 AS on_target FROM (SELECT doc_id, round(0.39 * words / CAST(sentences AS DOUBLE) + 11.8 * syllables / CAST(words AS DOUBLE) - 15.59, 1) AS grade, round(0.39 * words / CAST(sentences AS DOUBLE) + 11.8 * syllables / CAST(words AS DOUBLE) - 15.59, 6) AS g FROM stats WHERE words >= 3) AS a", STATS)
@@ -94,10 +97,10 @@ q("top_words", "text", "SELECT doc_id, word, n, CAST(r AS INT) AS rank FROM (SEL
 q("voice_and_adverbs", "text", "SELECT doc_id, count(CASE WHEN lower(token) IN ('i', 'we', 'us', 'our', 'my') THEN 1 END) AS first_person, count(CASE WHEN lower(token) IN ('you', 'your') THEN 1 END) AS second_person, count(CASE WHEN lower(token) IN ('he', 'she', 'it', 'they', 'their') THEN 1 END) AS third_person, round(100e0 * count(CASE WHEN regexp_like(lower(token), '[a-z]{2,}ly$') THEN 1 END) / count(*), 6) AS adverb_percent FROM tokens GROUP BY doc_id")
 q("technical_predicates", "text", "SELECT doc_id, sent_idx, regexp_like(sentence, 'https?://') AS has_url, regexp_like(sentence, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.]') AS has_address, regexp_like(sentence, '[a-z]_[a-z]') AS has_snake FROM sentences WHERE regexp_like(sentence, 'https?://|[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.]|[a-z]_[a-z]')")
 q("context_sentences", "text", "SELECT doc_id, sent_idx, CAST(sum(length(sentence)) OVER w AS BIGINT) AS context_chars, count(*) OVER w AS context_sentences FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
-q("acronyms", "text", "SELECT doc_id, acronym, max(sent_idx) AS last_at, min(sent_idx) AS first_at, count(*) AS n FROM (SELECT doc_id, sent_idx, token AS acronym FROM tokens WHERE regexp_like(token, '^[A-Z]{2,6}$')) AS t GROUP BY doc_id, acronym")
-q("undefined_acronyms", "text", "SELECT a.doc_id, a.acronym, a.first_at FROM (SELECT doc_id, token AS acronym, min(sent_idx) AS first_at FROM tokens WHERE regexp_like(token, '^[A-Z]{3,5}s?$') GROUP BY doc_id, token) AS a LEFT ANTI JOIN (SELECT doc_id, token FROM tokens WHERE token IN ('URL', 'API', 'HTTP', 'THE', 'AND')) AS d ON a.doc_id = d.doc_id AND a.acronym = d.token")
+q("acronyms", "text", "SELECT doc_id, acronym, max_by(full_name, sent) AS full_name, count(*) AS n FROM definitions GROUP BY doc_id, acronym", "{definitions}")
+q("undefined_acronyms", "text", "SELECT a.doc_id, a.acronym, a.first_at FROM (SELECT doc_id, token AS acronym, min(sent_idx) AS first_at FROM tokens WHERE regexp_like(token, '^[A-Z]{3,5}$') GROUP BY doc_id, token) AS a LEFT ANTI JOIN (SELECT doc_id, acronym FROM definitions) AS d ON a.doc_id = d.doc_id AND a.acronym = d.acronym LEFT ANTI JOIN (SELECT known FROM (VALUES ('URL'), ('HTTP'), ('HTML'), ('JSON'), ('XML')) AS k(known)) AS k ON a.acronym = k.known", "{definitions}")
 q("expletive_unions", "text", "SELECT lower(token) AS term FROM tokens WHERE regexp_like(token, '^[A-Z]{2,4}$') UNION SELECT lower(token) FROM tokens WHERE regexp_like(token, '^[0-9]{2,4}$')")
-q("new_headwords", "text", "SELECT lower(token) AS term FROM tokens WHERE doc_id % 10 = 3 EXCEPT SELECT lower(token) FROM tokens WHERE doc_id % 10 <> 3")
+q("new_headwords", "text", "SELECT term, count(*) AS n FROM (SELECT lower(token) AS term FROM tokens) AS t LEFT ANTI JOIN (SELECT known FROM {known}) AS k ON t.term = k.known GROUP BY term")
 q("term_coverage", "text", "SELECT letter, count(*) AS terms, count(CASE WHEN n > 5 THEN 1 END) AS covered, round(100e0 * count(CASE WHEN n > 5 THEN 1 END) / count(*), 4) AS percent FROM (SELECT substr(lower(token), 1, 1) AS letter, lower(token) AS term, count(*) AS n FROM tokens GROUP BY 1, 2) AS t GROUP BY ROLLUP (letter)")
 q("proximity", "text", "SELECT a.doc_id, a.sent_idx, a.pos AS pos_a, b.pos AS pos_b FROM (SELECT * FROM tokens WHERE lower(token) IN ('of', 'des')) AS a JOIN (SELECT * FROM tokens WHERE lower(token) IN ('that', 'der', 'que')) AS b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND abs(a.pos - b.pos) <= 5")
 
@@ -107,15 +110,16 @@ q("confident_issues", "issues", "SELECT doc_id, ord, rule_name, confidence FROM
 q("sorted_issues", "issues", "SELECT doc_id, ord, sent_idx, start_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, start_pos, ord) AS INT) AS place FROM issues")
 q("dedup_block", "issues", "SELECT doc_id, ord, rule_name, flagged FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_name, lower(flagged) ORDER BY ord) AS r FROM issues) AS t WHERE r = 1")
 q("dedup_full", "issues", "SELECT doc_id, ord, rule_name, flagged, sent_idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_name, lower(flagged), sent_idx ORDER BY ord) AS r FROM issues) AS t WHERE r = 1")
-q("merge_block_and_full", "issues", "SELECT doc_id, ord, rule_name, flagged FROM issues WHERE sent_idx % 2 = 0 UNION ALL SELECT f.doc_id, f.ord, f.rule_name, f.flagged FROM (SELECT * FROM issues WHERE sent_idx % 2 = 1) AS f LEFT ANTI JOIN (SELECT * FROM issues WHERE sent_idx % 2 = 0) AS b ON f.doc_id = b.doc_id AND f.rule_name = b.rule_name AND lower(f.flagged) = lower(b.flagged)")
-q("merge_tiers", "issues", """SELECT l.doc_id, l.ord, l.source, l.rule_name FROM issues AS l LEFT ANTI JOIN issues AS h
-  ON l.doc_id = h.doc_id AND l.sent_idx = h.sent_idx AND l.category = h.category AND CASE l.source WHEN 'deterministic' THEN 1 WHEN 'languagetool' THEN 2 ELSE 3 END > CASE h.source WHEN 'deterministic' THEN 1 WHEN 'languagetool' THEN 2 ELSE 3 END
-  AND (least(l.end_pos, h.end_pos) - greatest(l.start_pos, h.start_pos)) * 2 > least(l.end_pos - l.start_pos, h.end_pos - h.start_pos)""")
+q("merge_block_and_full", "issues", "SELECT doc_id, ord, rule_name, flagged, 'block' AS pass FROM block_issues UNION ALL SELECT f.doc_id, f.ord, f.rule_name, f.flagged, 'full' FROM (SELECT * FROM issues WHERE source <> 'model') AS f LEFT ANTI JOIN block_issues AS b ON f.doc_id = b.doc_id AND f.rule_name = b.rule_name AND lower(f.flagged) = lower(b.flagged)",
+  "block_issues AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_name, lower(flagged) ORDER BY ord) AS r FROM issues WHERE source <> 'checker') AS t WHERE r = 1)")
+q("merge_tiers", "issues", f"""SELECT l.doc_id, l.ord, l.source, l.rule_name FROM issues AS l LEFT ANTI JOIN issues AS h
+  ON l.doc_id = h.doc_id AND l.sent_idx = h.sent_idx AND {RANK.format(c='l')} > {RANK.format(c='h')}
+  AND (lower(l.flagged) = lower(h.flagged) OR (least(l.end_pos, h.end_pos) - greatest(l.start_pos, h.start_pos)) * 2 > least(l.end_pos - l.start_pos, h.end_pos - h.start_pos))""")
 q("span_overlaps", "issues", "SELECT a.doc_id, a.ord AS ord_a, b.ord AS ord_b FROM issues AS a JOIN issues AS b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.ord < b.ord AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos AND (least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) * 5 > least(a.end_pos - a.start_pos, b.end_pos - b.start_pos) * 4")
 q("priority_suppression", "issues", "SELECT a.doc_id, a.ord FROM issues AS a LEFT ANTI JOIN issues AS b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos AND CASE b.severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END > CASE a.severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END")
-q("judge_keeps", "issues", "SELECT i.doc_id, i.ord, i.batch FROM (SELECT doc_id, ord, rule_name, CAST(floor((row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) / 25.0) AS INT) AS batch FROM issues) AS i LEFT SEMI JOIN (SELECT DISTINCT doc_id FROM issues WHERE severity = 'high') AS k ON i.doc_id = k.doc_id")
+q("judge_keeps", "issues", "SELECT i.doc_id, i.ord, i.batch FROM (SELECT doc_id, ord, CAST(floor((row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) / 25.0) AS INT) AS batch FROM issues) AS i LEFT SEMI JOIN (SELECT doc_id, ord FROM issues WHERE source <> 'model' OR severity <> 'low') AS k ON i.doc_id = k.doc_id AND i.ord = k.ord")
 q("examples_per_rule", "issues", "SELECT rule_name, doc_id, ord FROM (SELECT rule_name, doc_id, ord, row_number() OVER (PARTITION BY rule_name ORDER BY doc_id, ord) AS r FROM issues) AS t WHERE r <= 3")
-q("citations", "issues", "SELECT i.doc_id, i.ord, g.guide, g.priority FROM issues AS i LEFT JOIN (SELECT rule_name, guide, priority FROM (SELECT rule_name, guide, CASE guide WHEN 'ibm_style' THEN 1 WHEN 'red_hat' THEN 2 WHEN 'accessibility' THEN 3 ELSE 4 END AS priority, row_number() OVER (PARTITION BY rule_name ORDER BY CASE guide WHEN 'ibm_style' THEN 1 WHEN 'red_hat' THEN 2 WHEN 'accessibility' THEN 3 ELSE 4 END) AS r FROM (SELECT DISTINCT rule_name, guide FROM issues) AS d) AS p WHERE r = 1) AS g ON i.rule_name = g.rule_name")
+q("citations", "issues", f"SELECT i.doc_id, i.ord, g.guide, g.rules FROM issues AS i LEFT JOIN {GUIDES} ON i.category = g.category")
 q("penalty", "issues", "SELECT doc_id, round(CAST(penalty AS DOUBLE), 4) AS penalty, open_issues FROM penalties", STATS + "," + SCORES)
 q("document_scores", "issues", "SELECT doc_id, words, open_issues, penalty, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Needs Work' ELSE 'Poor' END AS label FROM scores", STATS + "," + SCORES)
 q("score_distribution", "issues", "SELECT CASE WHEN score >= 90 THEN 'green' WHEN score >= 75 THEN 'blue' WHEN score >= 60 THEN 'orange' ELSE 'red' END AS colour, count(*) AS docs, min(score) AS lowest, max(score) AS highest FROM scores GROUP BY 1", STATS + "," + SCORES)
@@ -123,13 +127,13 @@ q("category_counts", "issues", "SELECT doc_id, category, count(*) AS n FROM issu
 q("category_severity_cube", "issues", "SELECT category, severity, count(*) AS n FROM issues GROUP BY CUBE (category, severity)")
 q("error_metrics", "issues", "SELECT rule_name, severity, count(*) AS n, round(avg(confidence), 6) AS confidence FROM issues GROUP BY GROUPING SETS ((rule_name), (severity), ())")
 q("severity_pivot", "issues", "SELECT doc_id, count(CASE WHEN severity = 'high' THEN 1 END) AS high, count(CASE WHEN severity = 'medium' THEN 1 END) AS medium, count(CASE WHEN severity = 'low' THEN 1 END) AS low FROM issues GROUP BY doc_id HAVING count(*) > 3")
-q("compliance_by_citation", "issues", "SELECT t.doc_id, g.guide, round(greatest(0.0, 1.0 - coalesce(i.n, 0) / CAST(greatest(t.words, 1) AS DOUBLE)), 4) AS compliance FROM stats AS t JOIN (SELECT 1 AS one, 'ibm_style' AS guide UNION ALL SELECT 1, 'red_hat' UNION ALL SELECT 1, 'accessibility' UNION ALL SELECT 1, 'modular_docs') AS g ON g.one = 1 LEFT JOIN (SELECT doc_id, guide, count(*) AS n FROM issues WHERE status = 'open' GROUP BY doc_id, guide) AS i ON i.doc_id = t.doc_id AND i.guide = g.guide", STATS)
-q("compliance_by_category", "issues", "SELECT d.doc_id, g.guide, round(greatest(0.0, 1.0 - coalesce(sum(i.n), 0) / CAST(max(g.rules) AS DOUBLE)), 4) AS compliance FROM (SELECT DISTINCT doc_id FROM issues) AS d JOIN (SELECT 'style' AS category, 'ibm_style' AS guide, 50 AS rules UNION ALL SELECT 'grammar', 'ibm_style', 50 UNION ALL SELECT 'word-usage', 'red_hat', 25 UNION ALL SELECT 'punctuation', 'accessibility', 15 UNION ALL SELECT 'structure', 'modular_docs', 20) AS g ON true LEFT JOIN (SELECT doc_id, category, count(*) AS n FROM issues GROUP BY doc_id, category) AS i ON i.doc_id = d.doc_id AND i.category = g.category GROUP BY d.doc_id, g.guide")
+q("compliance_by_citation", "issues", "SELECT t.doc_id, t.guide, round(greatest(0e0, 1e0 - coalesce(i.n, 0) / CAST(greatest(t.words, 1) AS DOUBLE)), 4) AS compliance FROM (SELECT doc_id, words, explode(split('house,terms,accessible,modular', ',')) AS guide FROM stats) AS t LEFT JOIN (SELECT doc_id, guide, count(*) AS n FROM issues WHERE status = 'open' GROUP BY doc_id, guide) AS i ON i.doc_id = t.doc_id AND i.guide = t.guide", STATS)
+q("compliance_by_category", "issues", f"SELECT i.doc_id, g.guide, round(greatest(0e0, 1e0 - sum(i.n) / CAST(max(g.rules) AS DOUBLE)), 4) AS compliance FROM (SELECT doc_id, category, count(*) AS n FROM issues GROUP BY doc_id, category) AS i JOIN {GUIDES} ON i.category = g.category GROUP BY i.doc_id, g.guide")
 q("priority_actions", "issues", "SELECT doc_id, rule_name, n, CAST(r AS INT) AS place FROM (SELECT doc_id, rule_name, n, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, rule_name) AS r FROM (SELECT doc_id, rule_name, count(*) AS n, sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS weight FROM issues WHERE status = 'open' GROUP BY doc_id, rule_name) AS t) AS p WHERE r <= 5")
 q("excerpt_budget", "issues", "SELECT doc_id, rule_name, tokens FROM (SELECT doc_id, rule_name, tokens, sum(tokens) OVER (PARTITION BY doc_id ORDER BY n DESC, rule_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM (SELECT doc_id, rule_name, count(*) AS n, CAST(ceil(0.25 * sum(length(flagged))) AS INT) AS tokens FROM issues GROUP BY doc_id, rule_name) AS t) AS u WHERE used <= 40")
 q("overall_metrics", "issues", "SELECT s.doc_id, round(0.25 * s.score + 0.20 * least(100.0, 1000.0 * t.unique_words / CAST(greatest(t.words, 1) AS DOUBLE) / 10) + 0.15 * greatest(0.0, 100.0 - s.open_issues), 4) AS overall FROM scores AS s JOIN stats AS t ON s.doc_id = t.doc_id", STATS + "," + SCORES)
 q("label_scores", "issues", "SELECT l.quality, count(*) AS docs, round(avg(s.score), 6) AS avg_score FROM scores AS s JOIN labels AS l ON s.doc_id = l.doc_id GROUP BY l.quality", STATS + "," + SCORES)
-q("carried_status", "issues", "SELECT n.doc_id, n.ord, coalesce(o.status, 'open') AS status FROM issues AS n LEFT JOIN (SELECT doc_id, ord, status FROM issues WHERE status <> 'open') AS o ON n.doc_id = o.doc_id AND n.ord = o.ord")
+q("carried_status", "issues", f"SELECT n.doc_id, n.ord, n.rule_name, coalesce(d.status, 'open') AS status FROM issues AS n LEFT JOIN {DECISIONS} ON d.rule_name = n.rule_name AND d.flagged = lower(n.flagged)")
 q("issue_ids", "issues", "SELECT doc_id, ord, sha2(concat(CAST(doc_id AS VARCHAR(20)), '|', rule_name, '|', CAST(start_pos AS VARCHAR(20)), '|', CAST(end_pos AS VARCHAR(20))), 256) AS issue_id FROM issues")
 
 # -- blocks: document-level state machines as windows
@@ -139,24 +143,29 @@ q("block_type_counts", "blocks", "SELECT doc_id, block_type, count(*) AS n, CAST
 q("heading_level_skip", "blocks", f"SELECT doc_id, block_idx, level, was FROM (SELECT doc_id, block_idx, level, lag(level) OVER {W} AS was FROM blocks WHERE block_type = 'heading') AS t WHERE level > was + 1")
 q("empty_section", "blocks", f"SELECT doc_id, block_idx, content FROM (SELECT doc_id, block_idx, block_type, content, lead(block_type) OVER {W} AS next_type FROM blocks) AS t WHERE block_type = 'heading' AND next_type = 'heading'")
 ISLANDS = "(SELECT doc_id, block_idx, {kind} AS hit, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) - row_number() OVER (PARTITION BY doc_id, {kind} ORDER BY block_idx) AS island FROM blocks) AS t"
-q("procedure_step_count", "blocks", f"SELECT doc_id, min(block_idx) AS first_block, count(*) AS steps FROM {ISLANDS.format(kind='''block_type = 'list_item_unordered' ''')} WHERE hit GROUP BY doc_id, island HAVING count(*) > 3")
-q("admonition_stacking", "blocks", f"SELECT doc_id, min(block_idx) AS first_block, count(*) AS run FROM {ISLANDS.format(kind='''block_type IN ('blockquote', 'table_cell') ''')} WHERE hit GROUP BY doc_id, island HAVING count(*) >= 2")
-q("admonition_placement", "blocks", f"SELECT doc_id, block_idx FROM (SELECT doc_id, block_idx, block_type, max(CASE WHEN block_type = 'heading' THEN block_idx END) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) AS heading, row_number() OVER {W} AS r FROM blocks) AS t WHERE block_type IN ('blockquote', 'list_item_unordered') AND heading IS NULL")
-q("prerequisites_position", "blocks", "SELECT doc_id, prereq, steps FROM (SELECT doc_id, min(CASE WHEN lower(content) LIKE '%the%' THEN block_idx END) AS prereq, min(CASE WHEN lower(content) LIKE '%of%' THEN block_idx END) AS steps FROM blocks WHERE block_type = 'heading' GROUP BY doc_id) AS t WHERE prereq > steps")
-q("verification_section", "blocks", "SELECT doc_id FROM blocks GROUP BY doc_id HAVING max(CASE WHEN block_type = 'heading' AND lower(content) LIKE '%verif%' THEN 1 ELSE 0 END) = 0")
-q("single_step_procedure", "blocks", "SELECT doc_id, section, count(*) AS items FROM (SELECT doc_id, block_type, CAST(sum(CASE WHEN block_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM blocks) AS t WHERE block_type LIKE 'list_item%' GROUP BY doc_id, section HAVING count(*) = 1")
-q("where_list", "blocks", f"SELECT doc_id, block_idx FROM (SELECT doc_id, block_idx, block_type, lag(content) OVER {W} AS was FROM blocks) AS t WHERE block_type LIKE 'list_item%' AND regexp_like(was, '[.:]$')")
+q("procedure_step_count", "blocks", f"SELECT doc_id, min(block_idx) AS first_block, count(*) AS steps FROM {ISLANDS.format(kind="block_type = 'list_item_ordered'")} WHERE hit GROUP BY doc_id, island HAVING count(*) > 10")
+q("admonition_stacking", "blocks", f"SELECT doc_id, min(block_idx) AS first_block, count(*) AS run FROM {ISLANDS.format(kind="block_type = 'admonition'")} WHERE hit GROUP BY doc_id, island HAVING count(*) >= 2")
+q("admonition_placement", "blocks", """SELECT doc_id, min(block_idx) AS block_idx FROM (SELECT doc_id, block_idx, block_type, max(CASE WHEN block_type = 'heading' THEN block_idx END) OVER w AS heading, max(CASE WHEN block_type = 'paragraph' THEN block_idx END) OVER w AS paragraph, count(CASE WHEN block_type = 'heading' THEN 1 END) OVER w AS headings
+  FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING)) AS t WHERE block_type = 'admonition' AND (headings = 0 OR (headings = 1 AND coalesce(paragraph, -1) < heading)) GROUP BY doc_id""")
+q("prerequisites_position", "blocks", "SELECT doc_id, prereq, steps FROM (SELECT doc_id, min(CASE WHEN block_type = 'heading' AND lower(content) LIKE 'prerequisite%' THEN block_idx END) AS prereq, min(CASE WHEN block_type = 'heading' AND lower(content) LIKE 'procedure%' THEN block_idx END) AS steps FROM blocks GROUP BY doc_id) AS t WHERE prereq > steps")
+q("verification_section", "blocks", "SELECT doc_id FROM blocks GROUP BY doc_id HAVING max(CASE WHEN block_type = 'list_item_ordered' OR (block_type = 'heading' AND lower(content) LIKE 'procedure%') THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN block_type = 'heading' AND lower(content) LIKE 'verif%' THEN 1 ELSE 0 END) = 0")
+q("single_step_procedure", "blocks", f"SELECT doc_id, min(block_idx) AS block_idx FROM {ISLANDS.format(kind="block_type = 'list_item_ordered'")} WHERE hit GROUP BY doc_id, island HAVING count(*) = 1")
+q("where_list", "blocks", "SELECT doc_id, block_idx, content FROM (SELECT doc_id, block_idx, block_type, content, max(CASE WHEN block_type <> 'list_item_unordered' THEN block_idx END) OVER w AS last_other, max(CASE WHEN block_type = 'paragraph' AND lower(content) = 'where:' THEN block_idx END) OVER w AS last_where FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING)) AS t WHERE block_type = 'list_item_unordered' AND last_where = last_other AND regexp_like(content, '^`[^`]+`:? Specify ')")
 q("abstracts", "blocks", "SELECT b.doc_id, min_by(b.content, b.block_idx) AS abstract FROM blocks AS b JOIN (SELECT doc_id, min(block_idx) AS h FROM blocks WHERE block_type = 'heading' GROUP BY doc_id) AS f ON b.doc_id = f.doc_id WHERE b.block_type = 'paragraph' AND b.block_idx > f.h GROUP BY b.doc_id")
 q("outline", "blocks", "SELECT doc_id, block_idx, level, CAST(row_number() OVER (PARTITION BY doc_id, level ORDER BY block_idx) AS INT) AS number FROM blocks WHERE block_type = 'heading'")
 q("section_lengths", "blocks", "SELECT doc_id, section, CAST(sum(length(content)) AS BIGINT) AS chars, count(*) AS n FROM (SELECT doc_id, content, block_type, CAST(sum(CASE WHEN block_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM blocks) AS t WHERE block_type <> 'heading' GROUP BY doc_id, section")
-q("admonition_content", "blocks", "SELECT doc_id, block_idx, sentences FROM (SELECT doc_id, block_idx, CAST(length(content) - length(replace(content, '. ', ' ')) + 1 AS INT) AS sentences FROM blocks WHERE block_type IN ('paragraph', 'blockquote')) AS t WHERE sentences > 3")
+q("admonition_content", "blocks", "SELECT doc_id, block_idx, sentences FROM (SELECT doc_id, block_idx, CAST(length(content) - length(replace(content, '. ', ' ')) + 1 AS INT) AS sentences FROM blocks WHERE block_type IN ('admonition', 'blockquote')) AS t WHERE sentences > 3")
 q("consumability_structure", "blocks", """SELECT doc_id, round(list_items / CAST(n AS DOUBLE), 6) AS list_ratio, round(paragraph_chars / CAST(greatest(paragraphs, 1) AS DOUBLE), 4) AS avg_paragraph,
   CAST(35 * (headings > 0) + 25 * (list_items > 0) + 20 * (paragraphs > 2) + 20 AS INT) AS structure FROM (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN block_type LIKE 'list_item%' THEN 1 ELSE 0 END) AS BIGINT) AS list_items,
   CAST(sum(CASE WHEN block_type = 'paragraph' THEN length(content) ELSE 0 END) AS BIGINT) AS paragraph_chars, CAST(sum(CASE WHEN block_type = 'paragraph' THEN 1 ELSE 0 END) AS BIGINT) AS paragraphs, CAST(sum(CASE WHEN block_type = 'heading' THEN 1 ELSE 0 END) AS BIGINT) AS headings FROM blocks GROUP BY doc_id) AS t""".replace("(headings > 0)", "CASE WHEN headings > 0 THEN 1 ELSE 0 END").replace("(list_items > 0)", "CASE WHEN list_items > 0 THEN 1 ELSE 0 END").replace("(paragraphs > 2)", "CASE WHEN paragraphs > 2 THEN 1 ELSE 0 END"))
-q("span_crosses_blocks", "blocks", "SELECT a.doc_id, a.block_idx FROM (SELECT doc_id, block_idx, start_pos + 5 AS s, end_pos + 5 AS e FROM placed) AS a LEFT SEMI JOIN placed AS b ON a.doc_id = b.doc_id AND b.end_pos > a.s AND b.end_pos < a.e", "placed AS (SELECT doc_id, block_idx, sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) - length(content) - 1 AS start_pos, sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) - 1 AS end_pos FROM blocks)")
-q("nearest_occurrence", "blocks", "SELECT doc_id, min_by(block_idx, abs(block_idx - 20) * 1000 + block_idx) AS nearest FROM blocks WHERE lower(content) LIKE '%the%' GROUP BY doc_id")
+q("span_crosses_blocks", "blocks", "SELECT a.doc_id, a.block_idx, a.word FROM doubled AS a LEFT SEMI JOIN placed AS b ON a.doc_id = b.doc_id AND b.end_pos >= a.s AND b.end_pos < a.e",
+  """placed AS (SELECT doc_id, block_idx, content, sum(length(content) + 1) OVER w - length(content) - 1 AS start_pos, sum(length(content) + 1) OVER w - 1 AS end_pos FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING)),
+edges AS (SELECT *, lower(regexp_extract(content, '([A-Za-z]+)$', 1)) AS last_word, lower(regexp_extract(lead(content) OVER (PARTITION BY doc_id ORDER BY block_idx), '^([A-Za-z]+)', 1)) AS next_word FROM placed),
+doubled AS (SELECT doc_id, block_idx, last_word AS word, end_pos - length(last_word) AS s, end_pos + 1 + length(next_word) AS e FROM edges WHERE last_word <> '' AND last_word = next_word)""")
+q("nearest_occurrence", "issues", """SELECT doc_id, ord, CASE WHEN before IS NULL OR after - sent_idx < sent_idx - before THEN after ELSE before END AS nearest FROM (
+  SELECT doc_id, ord, sent_idx, lag(sent_idx) OVER w AS before, lead(sent_idx) OVER w AS after FROM issues WINDOW w AS (PARTITION BY doc_id, rule_name, lower(flagged) ORDER BY ord)) AS t WHERE before IS NOT NULL OR after IS NOT NULL""")
 q("repeated_page_text", "blocks", "SELECT content, count(DISTINCT doc_id) AS pages FROM blocks GROUP BY content HAVING count(DISTINCT doc_id) >= 3")
-q("changed_blocks", "blocks", "SELECT doc_id, block_idx FROM (SELECT doc_id, block_idx, sha2(concat(content, '|', block_type), 256) AS h FROM blocks) AS n LEFT ANTI JOIN (SELECT sha2(concat(content, '|', block_type), 256) AS h FROM blocks WHERE doc_id % 2 = 0) AS o ON n.h = o.h")
+q("changed_blocks", "blocks", "SELECT n.doc_id, n.block_idx FROM hashed AS n LEFT ANTI JOIN hashed AS o ON o.doc_id = n.doc_id - 1 AND o.h = n.h", "hashed AS (SELECT doc_id, block_idx, sha2(concat(content, '|', block_type), 256) AS h FROM blocks)")
 q("broken_references", "blocks", "SELECT b.doc_id, b.block_idx FROM blocks AS b LEFT ANTI JOIN (SELECT DISTINCT doc_id, level FROM blocks WHERE block_type = 'heading') AS a ON b.doc_id = a.doc_id AND b.level = a.level WHERE b.block_type <> 'heading'")
 
 # -- modules: type by content, then each type's template
@@ -174,13 +183,17 @@ MODULE_CHECKS = {
 }
 for _name, (_type, _checks) in MODULE_CHECKS.items():
     q(_name, "blocks", " UNION ALL ".join(f"SELECT doc_id, '{c}' AS check_name FROM modules WHERE module_type = '{_type}' AND {w}" for c, w in _checks), MODULES)
-TEMPLATE = "(SELECT 'procedure' AS module_type, 'verif' AS wanted UNION ALL SELECT 'procedure', 'prereq' UNION ALL SELECT 'concept', 'the' UNION ALL SELECT 'assembly', 'resources' UNION ALL SELECT 'reference', 'of')"
+TEMPLATE = "(SELECT 'procedure' AS module_type, 'verif' AS wanted UNION ALL SELECT 'procedure', 'prereq' UNION ALL SELECT 'procedure', 'procedure' UNION ALL SELECT 'assembly', 'resources' UNION ALL SELECT 'assembly', 'next steps')"
 q("template_compliance", "blocks", f"SELECT m.doc_id, m.module_type, t.wanted FROM modules AS m JOIN {TEMPLATE} AS t ON m.module_type = t.module_type LEFT ANTI JOIN (SELECT doc_id, lower(content) AS heading FROM blocks WHERE block_type = 'heading') AS h ON h.doc_id = m.doc_id AND contains(h.heading, t.wanted)", MODULES)
-q("inter_module_analysis", "blocks", "SELECT a.module_type AS from_type, b.module_type AS to_type, count(*) AS pairs FROM modules AS a JOIN modules AS b ON substr(lower(a.title), 1, 3) = substr(lower(b.title), 1, 3) AND a.doc_id < b.doc_id GROUP BY 1, 2", MODULES)
+q("inter_module_analysis", "blocks", """SELECT from_type, to_type, CAST(sum(n) AS BIGINT) AS pairs FROM (
+  SELECT 'assembly' AS from_type, module_type AS to_type, assemblies AS n FROM earlier UNION ALL SELECT 'concept', module_type, concepts FROM earlier
+  UNION ALL SELECT 'procedure', module_type, procedures FROM earlier UNION ALL SELECT 'reference', module_type, refs FROM earlier) AS e WHERE n > 0 GROUP BY from_type, to_type""", MODULES + """,
+earlier AS (SELECT module_type, count(CASE WHEN module_type = 'assembly' THEN 1 END) OVER w AS assemblies, count(CASE WHEN module_type = 'concept' THEN 1 END) OVER w AS concepts, count(CASE WHEN module_type = 'procedure' THEN 1 END) OVER w AS procedures, count(CASE WHEN module_type = 'reference' THEN 1 END) OVER w AS refs
+  FROM modules WINDOW w AS (PARTITION BY lower(title) ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 q("content_distribution", "blocks", "SELECT module_type, count(*) AS docs, round(avg(paragraphs), 6) AS paragraphs, round(avg(headings), 6) AS headings FROM modules GROUP BY ROLLUP (module_type)", MODULES)
 q("heading_case", "blocks", "SELECT doc_id, block_idx FROM blocks WHERE block_type = 'heading' AND regexp_like(content, '^[A-Z][a-z]+( [A-Z][a-z]+){2,}')")
-q("unit_consistency", "blocks", "SELECT b.doc_id, b.block_idx FROM blocks AS b LEFT SEMI JOIN (SELECT DISTINCT doc_id FROM blocks WHERE regexp_like(content, '[0-9] ?(KiB|MiB|GiB)')) AS c ON b.doc_id = c.doc_id WHERE regexp_like(b.content, '[0-9] ?(KB|MB|GB)')")
-q("term_markup", "blocks", "SELECT doc_id, term, min(block_idx) AS first_at FROM (SELECT doc_id, block_idx, explode(regexp_extract_all(content, '([a-z]+_[a-z_]+)', 1)) AS term FROM blocks WHERE block_type <> 'listing') AS t GROUP BY doc_id, term")
+q("unit_consistency", "blocks", "SELECT b.doc_id, b.block_idx FROM (SELECT * FROM blocks WHERE block_type <> 'listing' AND regexp_like(content, '[0-9] ?(KB|MB|GB|TB)($|[^A-Za-z])')) AS b LEFT SEMI JOIN (SELECT doc_id FROM blocks WHERE block_type = 'listing' AND regexp_like(content, '[0-9] ?(KiB|MiB|GiB|TiB)')) AS c ON b.doc_id = c.doc_id")
+q("term_markup", "blocks", "SELECT doc_id, term, min(block_idx) AS first_at FROM (SELECT doc_id, block_idx, explode(regexp_extract_all(regexp_replace(content, '`[^`]*`', ' '{g}), '([a-z]+_[a-z_]+)', 1)) AS term FROM blocks WHERE block_type <> 'listing') AS t GROUP BY doc_id, term")
 q("admonitions", "blocks", "SELECT doc_id, block_idx FROM blocks WHERE regexp_like(content, '^[A-Z]{3,12}: ') AND NOT regexp_like(content, '^(NOTE|TIP|IMPORTANT|WARNING|CAUTION|ATTENTION|DANGER|FASTPATH|RESTRICTION|REMEMBER|NOTICE|TROUBLE): ')")
 q("paragraph_indent", "blocks", "SELECT doc_id, block_idx FROM blocks WHERE block_type = 'paragraph' AND level > 0")
 q("lite_markers", "blocks", "SELECT doc_id, block_idx, CASE WHEN block_type = 'heading' THEN concat(substr('######', 1, level), ' ', content) WHEN block_type = 'list_item_ordered' THEN concat(CAST(number AS VARCHAR(20)), '. ', content) WHEN block_type = 'list_item_unordered' THEN concat('- ', content) WHEN block_type = 'blockquote' THEN concat('> ', content) ELSE content END AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY block_idx) AS number FROM (SELECT *, sum(CASE WHEN block_type <> 'list_item_ordered' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) * 2 + CASE WHEN block_type = 'list_item_ordered' THEN 1 ELSE 0 END AS island FROM blocks) AS i) AS t")
@@ -207,7 +220,7 @@ q("feedback_summary", "events", "SELECT rule_type, status, count(*) AS n FROM st
 q("feedback_insights", "events", "SELECT CASE WHEN value >= 20 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n, count(DISTINCT session_id) AS sessions FROM status_log GROUP BY 1", LIFECYCLE)
 q("feedback_by_day", "events", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS day, count(*) AS n, count(DISTINCT session_id) AS sessions FROM status_log GROUP BY 1", LIFECYCLE)
 q("feedback_by_hour", "events", "SELECT CAST(EXTRACT(HOUR FROM ts) AS BIGINT) AS hour_of_day, count(*) AS n FROM status_log GROUP BY 1", LIFECYCLE)
-q("violations_with_feedback", "events", "SELECT v.rule_type, f.status, count(*) AS n FROM (SELECT * FROM status_log WHERE value >= 15) AS v JOIN (SELECT * FROM status_log WHERE value < 2) AS f ON v.session_id = f.session_id AND v.issue_id = f.issue_id GROUP BY v.rule_type, f.status", LIFECYCLE)
+q("violations_with_feedback", "events", "SELECT v.rule_type, f.status, CAST(sum(v.n * f.n) AS BIGINT) AS n FROM (SELECT session_id, issue_id, rule_type, count(*) AS n FROM status_log WHERE status = 'open' GROUP BY session_id, issue_id, rule_type) AS v JOIN (SELECT session_id, issue_id, status, count(*) AS n FROM status_log WHERE status <> 'open' GROUP BY session_id, issue_id, status) AS f ON v.session_id = f.session_id AND v.issue_id = f.issue_id GROUP BY v.rule_type, f.status", LIFECYCLE)
 q("superseded_runs", "events", "SELECT session_id, event_id, event_id < last_run AS cancelled FROM (SELECT session_id, event_id, max(event_id) OVER (PARTITION BY session_id) AS last_run FROM status_log) AS t", LIFECYCLE)
 q("rate_limits", "events", "SELECT session_id, CAST(date_trunc('hour', ts) AS VARCHAR(30)) AS window_start, count(*) AS requests FROM status_log GROUP BY 1, 2 HAVING count(*) > 1", LIFECYCLE)
 q("session_expiry", "events", "SELECT session_id, CAST(sum(CASE WHEN was IS NULL OR event_id - was > 200 THEN 1 ELSE 0 END) AS BIGINT) AS sessions FROM (SELECT session_id, event_id, lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id) AS was FROM status_log) AS t GROUP BY session_id", LIFECYCLE)
@@ -215,7 +228,7 @@ q("two_phase_results", "events", "SELECT session_id, min_by(status, event_id) AS
 
 # -- relational shapes that the catalogue of operators lists, over the star schema
 q("price_summary", "star", "SELECT l_returnflag, l_linestatus, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
-q("customers_without_orders", "star", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey")
+q("customers_without_orders", "star", "SELECT c_custkey FROM customer LEFT ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS o ON c_custkey = o_custkey")
 q("nation_revenue", "star", "SELECT n_name, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 q("top_orders", "star", "SELECT o_custkey, o_orderkey, CAST(r AS INT) AS place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) AS t WHERE r <= 3")
 
@@ -232,9 +245,11 @@ SYLLABLES = "token_syllables AS (SELECT doc_id, sent_idx, pos, token, greatest(1
 
 def _views(spark: SparkSession, sf_dir: str, base: str) -> None:
     if base in ("text", "issues"):
-        sents = T.sentences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+        sents = T.sentences(R.prose(spark, sf_dir))
         sents.createOrReplaceTempView("sentences")
         T.tokens(sents).createOrReplaceTempView("tokens")
+    if base == "issues":
+        R.profile_issues(sents).createOrReplaceTempView("raw_issues")
     if base == "blocks":
         R.blocks(spark, sf_dir).createOrReplaceTempView("blocks")
     for t in {"events": ("events",), "star": ("lineitem", "orders", "customer", "nation"), "issues": ("labels",), "pages": ("pages",)}.get(base, ()):
@@ -243,21 +258,22 @@ def _views(spark: SparkSession, sf_dir: str, base: str) -> None:
 
 def _tables(base: str, tables: str, all_: str) -> str:
     own = {"text": [SENTENCE_WORDS, SYLLABLES], "issues": [SENTENCE_WORDS, SYLLABLES, ISSUES]}.get(base, [])
-    return ",\n".join([x.replace("{all}", all_) for x in own] + ([tables] if tables else []))
+    return ",\n".join([x.replace("{all}", all_) for x in own] + ([tables.replace("{definitions}", DEFINITIONS)] if tables else []))
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     base, tables, select = Q[name]
     _views(spark, sf_dir, base)
     head = _tables(base, tables, ", 0")
-    return spark.sql((f"WITH {head}\n" if head else "") + select)
+    return spark.sql((f"WITH {head}\n" if head else "") + select.replace("{known}", KNOWN).replace("{g}", ""))
 
 
 def sql(name: str) -> str:
     base, tables, select = Q[name]
-    ctes = {"text": duck.TOKENS, "issues": duck.TOKENS, "blocks": R.BLOCKS_SQL}.get(base, "")
+    text = duck.TOKENS.replace("FROM documents", f"FROM {R.PROSE_SQL}")
+    ctes = {"text": text, "issues": f"{text},\nraw_issues AS ({R.profile_issues_sql()})" if base == "issues" else "", "blocks": R.BLOCKS_SQL}.get(base, "")
     head = ",\n".join(x for x in (ctes, _duck(_tables(base, tables, ""))) if x)
-    return (f"WITH {head}\n" if head else "") + _duck(select)
+    return (f"WITH {head}\n" if head else "") + _duck(select).replace("{known}", KNOWN).replace("{g}", ", 'g'")
 
 
 def queries() -> dict:

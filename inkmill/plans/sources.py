@@ -18,11 +18,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("page").alias("kind"))
-    return pages.unionByName(_docs(spark, sf_dir).withColumn("kind", F.lit("document"))).select("kind", "doc_id", content.file_format(F.col("text")).alias("file_type"))
+    return pages.unionByName(_docs(spark, sf_dir).withColumn("kind", F.lit("document"))).transform(content.with_file_format).select("kind", "doc_id", "file_type")
 
 
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", content.content_type(F.col("text")).alias("content_type"))
+    return content.with_content_type(_docs(spark, sf_dir)).select("doc_id", "content_type")
 
 
 def plaintext_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,7 +300,7 @@ def plaintext(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
 def files(spark, path: str, most: int = 10 << 20) -> DataFrame:
     """(path, length, content) of files up to a size, with the format by name."""
-    from ..operators.content import file_format
+    from ..operators.content import with_file_format
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most)
-    return found.select("path", "length", "content", file_format(F.lit(""), F.col("path")).alias("file_type"))
+    return with_file_format(found.withColumn("_text", F.lit("")), "_text", "path").select("path", "length", "content", "file_type")

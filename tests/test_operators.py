@@ -33,10 +33,13 @@ def test_finds(spark):
         ([("style", "a", 0, 0, 4), ("grammar", "a", 0, 0, 4)], [0, 1]),
         ([("style", "a", 0, 0, 4), ("word-usage", "a", 0, 9, 12), ("style", "a", 1, 0, 4)], [0, 2]),
         ([], []),
+        ([("other", "x y", 0, 0, 3), ("other", "y x", 0, 1, 3), ("other", "X Y ", 0, 9, 12), ("other", "", 0, 4, 4)], [0, 3]),
     ],
 )
-def test_accept(rows, kept):
-    assert merge.accept(rows) == kept
+def test_accept(spark, rows, kept):
+    schema = "doc_id long, ord int, category string, flagged string, sent_idx int, start_pos int, end_pos int"
+    issues = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], schema)
+    assert sorted(r.ord for r in merge.merge(issues).collect()) == kept
 
 
 def test_merge_and_demote(spark):
@@ -56,9 +59,9 @@ def test_resolve_and_suggestions(spark):
 
 def test_formats_and_types(spark):
     rows = spark.createDataFrame([("= Title\n\n:attr: x\n", "a.adoc"), ("# T\n\n```\nx\n```", ""), ("<!DOCTYPE html><p>x", ""), ("plain", "x.txt"), ("", "f.pdf"), ("<!DOCTYPE task><task><taskbody/></task>", "")], "t string, f string")
-    assert [r[0] for r in rows.select(content.file_format(F.col("t"), F.col("f"))).collect()] == ["asciidoc", "markdown", "html", "plaintext", "pdf", "dita"]
+    assert [r[0] for r in content.with_file_format(rows, "t", "f").select("file_type").collect()] == ["asciidoc", "markdown", "html", "plaintext", "pdf", "dita"]
     types = spark.createDataFrame([("1. Click it\n2. Go",), ("An overview of it",), ("| a | b |",), ("",), (":_content-type: reference",)], "t string")
-    assert [r[0] for r in types.select(content.content_type(F.col("t"))).collect()] == ["procedure", "concept", "reference", "concept", "reference"]
+    assert [r[0] for r in content.with_content_type(types, "t").select("content_type").collect()] == ["procedure", "concept", "reference", "concept", "reference"]
 
 
 def test_chunks(spark):
