@@ -141,13 +141,12 @@ def surprise(rows: DataFrame, model: Model, path: str) -> DataFrame:
     def met(size: int, share: Column | None = None) -> DataFrame:
         """(k, n, v): the values of all n-grams of a size. One that opens the next token's n-gram adds its share as a context."""
         known = model.features[size]
-        if size == order:
-            each = marked.select("k", F.lit(None).cast("int").alias("n"), F.explode(grams(F.col("s"), size)).alias("g")).withColumn("opens", F.lit(False))
-        else:
-            # From the openings on: the first n-gram is a context alone, the last one a prediction alone.
-            from_ = F.slice("s", F.lit(order - size), F.size("s"))
-            each = marked.select("k", (F.size("s") - (order - 1)).alias("n"), F.posexplode(grams(from_, size)).alias("at", "g")).select("k", "n", "g", (F.col("at") < F.col("n")).alias("opens"))
-        each = each.select("k", "n", _of_order("g", size).alias("key"), "opens")
+        if size == order:  # only the keys are shuffled, and none is a context
+            each = marked.select("k", F.explode(grams(F.col("s"), size)).alias("g")).select("k", _of_order("g", size).alias("key"))
+            return each.where(share).join(known.where(share).select("key", "pred").hint("merge"), "key").select("k", F.lit(None).cast("int").alias("n"), F.col("pred").cast("double").alias("v"))
+        # From the openings on: the first n-gram is a context alone, the last one a prediction alone.
+        from_ = F.slice("s", F.lit(order - size), F.size("s"))
+        each = marked.select("k", (F.size("s") - (order - 1)).alias("n"), F.posexplode(grams(from_, size)).alias("at", "g")).select("k", "n", _of_order("g", size).alias("key"), (F.col("at") < F.col("n")).alias("opens"))
         if size == 1:
             both = each.join(F.broadcast(known), "key", "left")  # at most 2**SYMBOL_BITS + 1 rows
         else:
