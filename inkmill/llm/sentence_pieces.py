@@ -1,17 +1,15 @@
 """SentencePiece encoding and decoding.
 
-Two ways, by the kind of model.
+`lattice` is the relational one: each distinct word explodes into its substrings of bounded length, an equi-join with the
+piece table leaves the lattice's edges, edges are grouped by word, and a higher-order aggregate folds them: by Viterbi for
+piece tables with additive scores (unigram models), or by merges in the order of the scores (BPE models), which gives the
+library's pieces for BPE. Characters that no piece covers become one edge with the score UNKNOWN.
 
-`lattice` is the relational one, for piece tables with additive scores (unigram models): each distinct word explodes
-into its substrings of bounded length, an equi-join with the piece table leaves the lattice's edges, edges are grouped by
-word, and a higher-order aggregate folds Viterbi over them. Characters that no piece covers become one edge with the
-score UNKNOWN.
-
-`encode` is for the byte-fallback BPE model at hand. BPE applies merges by rank, and the best additive path of a lattice
-is another segmentation for many words (the README has the measured share), so the named method cannot give the
-library's ids; `encode` merges with the library itself, once for each unit of a worker's bounded cache. A unit is a run
-of spaces with the characters up to the next space; no piece of the vocabulary goes on from another sign into a space
-(tested when a model is loaded; otherwise whole texts are encoded), so units are independent.
+`encode`, which the query runs, is for the byte-fallback BPE model at hand and whole texts: it merges with the library
+itself, once for each unit of a worker's bounded cache. The lattice of all distinct words does not fit the query's limits
+(the README has the measured figures). A unit is a run of spaces with the characters up to the next space; no piece of
+the vocabulary goes on from another sign into a space (tested when a model is loaded; otherwise whole texts are encoded),
+so units are independent.
 
 Null and empty texts have no ids; repeated rows and ties encode alike; an empty table gives no rows; columns other than
 the id and the text are not looked at, whatever their names.
@@ -115,12 +113,8 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("id", "text", "ids").mapInArrow(texts, "id long, text string, ids binary, decoded string")
 
 
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, pieces, score): the best segmentation of each distinct `word` by pieces (`piece`, `score`).
-
-    pieces is a vocabulary of fixed size; words of null or of no characters have no row. Ties go to the segmentation
-    whose last piece is the longest.
-    """
+def edges_of(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word, edges): for each distinct word its sorted edges (end, order, size, score), a piece's score or UNKNOWN for a sign that is none."""
     longest = pieces.agg(F.max(F.length("piece"))).head()[0] or 1
     distinct = words.where(F.length("word") > 0).select("word").distinct()
     spans = distinct.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).select(
@@ -129,7 +123,31 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     cut = spans.select("word", "at", "size", F.substring("word", F.col("at"), F.col("size")).alias("piece"))
     known = pieces.groupBy("piece").agg(F.max("score").cast("double").alias("score"))
     edges = cut.join(known, "piece", "left").where("score IS NOT NULL OR size = 1").withColumn("score", F.coalesce("score", F.lit(UNKNOWN)))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((F.col("at") + F.col("size") - 1).alias("end"), (-F.col("size")).alias("order"), "size", "score"))).alias("edges"))
+    return edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((F.col("at") + F.col("size") - 1).alias("end"), (-F.col("size")).alias("order"), "size", "score"))).alias("edges"))
+
+
+def merged(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word, pieces): each distinct `word` by BPE: of all neighbours that make a piece, those of the best score merge, the leftmost first.
+
+    pieces is a vocabulary of fixed size (`piece`, `score`); words of null or of no characters have no row.
+    """
+    several = F.filter("edges", lambda e: e["size"] > 1)
+    table = F.map_from_entries(F.array_distinct(F.transform(several, lambda e: F.struct(F.substring(F.col("word"), e["end"] - e["size"] + 1, e["size"]).alias("piece"), e["score"]))))
+    # Of the places i whose two pieces make a known one: the best score, and the least i of it.
+    best = "array_max(filter(transform(sequence(0, size(p) - 2), i -> struct(try_element_at(known, p[i] || p[i + 1]) AS score, -i AS i)), x -> x.score IS NOT NULL))"
+    join = "concat(slice(p, 1, -b.i), array(p[-b.i] || p[1 - b.i]), slice(p, 3 - b.i, size(p)))"
+    step = f"CASE WHEN size(p) < 2 THEN p ELSE element_at(transform(array({best}), b -> CASE WHEN b IS NULL THEN p ELSE {join} END), 1) END"
+    fold = f"aggregate(sequence(1, length(word)), transform(sequence(1, length(word)), i -> substring(word, i, 1)), (p, n) -> {step})"
+    return edges_of(words, pieces).withColumn("known", table).select("word", F.expr(fold).alias("pieces"))
+
+
+def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(word, pieces, score): the best segmentation of each distinct `word` by pieces (`piece`, `score`).
+
+    pieces is a vocabulary of fixed size; words of null or of no characters have no row. Ties go to the segmentation
+    whose last piece is the longest.
+    """
+    grouped = edges_of(words, pieces)
     # best[k]: the best path's score and last piece's size, over the first k characters
     fold = """
         aggregate(edges, array(struct(cast(0 AS double) AS score, 0 AS size)), (best, e) ->

@@ -207,6 +207,18 @@ def test_lattice_against_brute_force(spark):
         assert "".join(r.pieces) == r.word and math.isclose(r.score, best(r.word)) and math.isclose(sum(table.get(p, sentence_pieces.UNKNOWN) for p in r.pieces), r.score)
 
 
+def test_merges_against_the_library(spark, texts):
+    """The lattice folded by merges gives the library's pieces for every distinct word of the smallest table."""
+    enc = sentence_pieces.Encoder(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    lib = enc.library
+    table = [(lib.id_to_piece(i), lib.get_score(i)) for i in range(lib.get_piece_size()) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
+    pieces = spark.createDataFrame(table, "piece string, score double")
+    signs = {p for p, _ in table}
+    words = sorted({sentence_pieces.SPACE + w for t in texts.values() for w in re.findall("[^\x20\x09-\x0d]+", t) if set(w) <= signs})[::7] + ["▁aaaa", "▁"]
+    found = {r.word: r.pieces for r in sentence_pieces.merged(spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "word string"), pieces).collect()}
+    assert found == {w: lib.encode(w[1:], out_type=str) if len(w) > 1 else ["▁"] for w in words}
+
+
 def test_compaction(spark, edges, nothing, tmp_path, monkeypatch):
     monkeypatch.setattr(compaction, "TARGET", 1 << 20)
     store = compaction.Store(spark, f"{tmp_path}/s")
