@@ -43,8 +43,10 @@ NO_ID = -(2**63)
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 65_536
 DICTIONARY_BYTES = 32 << 10
-#: The dictionary is trained on about so many documents, at most twice as many, chosen by the hashes of their ids.
+#: The dictionary is trained on about so many documents, at most twice as many, chosen by the hashes of their ids and texts.
 DICTIONARY_DOCS = 512
+#: Of each, the dictionary sees the ids' first so many bytes.
+SAMPLE_BYTES = 32 << 10
 LEVEL = 3
 
 SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, start long, n_ids long, dictionary_sha256 string, data binary"
@@ -129,11 +131,16 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int, id_col: str
     common.ship(spark)
     vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), common.text_of(text_col).alias("t"))
-    # About DICTIONARY_DOCS rows, chosen by the hashes of their ids.
+    # About DICTIONARY_DOCS rows, chosen by the hashes of their ids and texts; the driver gets SAMPLE_BYTES of each at most.
     one_in = max(1, docs.count() // DICTIONARY_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(one_in)) == 0).limit(2 * DICTIONARY_DOCS).collect()
-    local = encoder(vocab.value)
-    dictionary = dictionary_of([local.encode(r.t) for r in sample])
+    chosen = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(one_in)) == 0).limit(2 * DICTIONARY_DOCS)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocab.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([enc.encode(t)[:SAMPLE_BYTES] for t in batch.column(0).to_pylist()], type=pa.binary())], names=["ids"])
+
+    dictionary = dictionary_of(sorted(bytes(r.ids) for r in chosen.select("t").mapInArrow(heads, "ids binary").collect()))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     out = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("dictionary_sha256", pa.string()), ("data", pa.binary())])
@@ -148,7 +155,8 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int, id_col: str
         if last := writer.close():
             yield _batch([{"part": part, **last}], out)
 
-    ordered = rows.repartitionByRange("i").sortWithinPartitions("i")
+    # Ranges of id and text: the rows of one id, or of none, need not lie in one task.
+    ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("i", "h").sortWithinPartitions("i", "h").select("i", "t")
     ordered.mapInArrow(shards, SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
