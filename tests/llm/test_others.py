@@ -183,6 +183,28 @@ def test_sentence_pieces_against_the_library(spark, sf_dir, texts):
         assert r.ids_crc32 == zlib.crc32(np.array(enc.library.encode(texts[r.doc_id]), dtype="<i4").tobytes())
 
 
+def test_sentence_pieces_edges(edges, nothing):
+    """Null and empty texts have no ids; a very long text and one long word come back; extra columns are not looked at."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sentence_pieces.decode(sentence_pieces.encode(edges.withColumn("ids", F.lit("x")).withColumn("a.b", F.lit(1)), path), path).collect()
+    assert len(rows) == 9 and all(r.decoded == r.text for r in rows)
+    assert sorted(len(r.ids) for r in rows if r.id in (2, 3)) == [0, 0] and len({bytes(r.ids) for r in rows if r.id in (1, 5)}) == 1
+    assert sentence_pieces.decode(sentence_pieces.encode(nothing, path), path).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)  # noqa: N815
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.workspace(Session)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab é\n\t▁日", max_size=30))
 def test_units(text):
