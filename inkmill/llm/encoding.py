@@ -7,6 +7,7 @@ its pieces in turn. Pieces of plain Latin text go straight to the library's BPE
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import sys
@@ -85,3 +86,9 @@ def encoder(vocab: str) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(vocab)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop this process' encoders and their caches: for steps that follow in the same worker and encode nothing."""
+    _encoders.clear()
+    gc.collect()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .encoding import encoder, vocabulary
+from .encoding import encoder, forget, vocabulary
 
 LENGTH = 4096
 #: Grains of a sequence at least, if its length allows; and lengths in a combination at most.
@@ -194,6 +194,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int, length: int = LENGTH, id
     out = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("planned", pa.int32()), ("left", pa.int32()), ("sequence", pa.int64()), ("place", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rest, grains = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             sequence, offset = shared_plan.value.places(grains, batch.column(4).to_numpy())
@@ -216,6 +217,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int, length: int = LENGTH, id
     shape = pa.schema([(f.name, pa.int64()) for f in spark.createDataFrame([], PIECES).schema])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows: list[tuple] = []
             for part, _, doc_id, whole, data, planned, sequence, place, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
