@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, kneser_ney, line_dedup, media, packing, pii, quality_rules, sentence_pieces, simhash, token_store
+from . import compaction, conversation_trie, kneser_ney, line_dedup, media, packing, pii, quality_rules, sentence_pieces, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         compaction.op8_sharding,
         kneser_ney.op9_quality_classifier,
         quality_rules.op10_quality_rules,
+        conversation_trie.op12_conversation_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**quality_rules.SQL}
+    return {**quality_rules.SQL, **conversation_trie.SQL}
