@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, conversation_trie, kneser_ney, line_dedup, media, packing, pii, quality_rules, sentence_pieces, simhash, token_store
+from . import compaction, conversation_trie, kneser_ney, line_dedup, media, packing, pii, quality_rules, resampling, sentence_pieces, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         kneser_ney.op9_quality_classifier,
         quality_rules.op10_quality_rules,
         conversation_trie.op12_conversation_trie,
+        resampling.op13_resampling,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**quality_rules.SQL, **conversation_trie.SQL}
+    return {**quality_rules.SQL, **conversation_trie.SQL, **resampling.SQL}
