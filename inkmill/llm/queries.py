@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, conversation_trie, kneser_ney, line_dedup, media, packing, pii, quality_rules, resampling, sentence_pieces, simhash, token_store
+from . import compaction, conversation_trie, kneser_ney, line_dedup, media, packing, pii, quality_rules, resampling, sentence_pieces, signature_trees, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         compaction.op8_sharding,
         kneser_ney.op9_quality_classifier,
         quality_rules.op10_quality_rules,
+        signature_trees.op11_signature_trees,
         conversation_trie.op12_conversation_trie,
         resampling.op13_resampling,
     )
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**quality_rules.SQL, **conversation_trie.SQL, **resampling.SQL}
+    return {**quality_rules.SQL, **signature_trees.SQL, **conversation_trie.SQL, **resampling.SQL}
