@@ -148,10 +148,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, path: str)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["k", "s"])
 
+    common.release(rows.sparkSession)
     whole = common.written(texts.mapInArrow(sets, "k long, s array<long>"), f"{path}-sets")
     met = likely.join(whole.selectExpr("k AS x", "s AS sx"), "x").join(whole.selectExpr("k AS y", "s AS sy"), "y")
     shared = met.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("c"), (F.size("sx") + F.size("sy")).alias("m"))
-    return common.written(shared.where(f"{UP + DOWN} * c >= {UP} * m").select("x", "y"), f"{path}-links")
+    found = common.written(shared.where(f"{UP + DOWN} * c >= {UP} * m").select("x", "y"), f"{path}-links")
+    for table in ("likely", "picked", "sets"):
+        common.forget(rows.sparkSession, f"{path}-{table}")
+    common.release(rows.sparkSession)
+    return found
 
 
 def _level(below: DataFrame, bits: int) -> DataFrame:
@@ -194,10 +199,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grouped = marked.where("n > 0").groupBy("c").agg(F.min(F.struct("i", "th")).alias("one"), F.min(F.when(F.col("i") != NO_ID, F.col("i"))).alias("least"), F.count("*").alias("copies"), *facts)
     # Numbered and written at once: the numbers hold from here on.
     classes = common.written(grouped.select(F.monotonically_increasing_id().alias("k"), "c", "one.i", "one.th", "least", "copies", *[F.col(x) for x in ("n", "prefix", "bitmap", "beyond", "least_hash")]), f"{path}/classes")
+    common.release(spark)
 
     posted = classes.select("k", "n", "copies", F.posexplode("prefix").alias("at", "w"))
     hubs = posted.groupBy("w").agg(F.count("*").alias("sets"), F.max(F.struct("copies", "k", "n", "at")).alias("hub")).where("sets > 1").select("w", "hub")
     index = common.written(posted.join(hubs, "w").select("k", "n", "at", "w", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), f"{path}/index")
+    common.release(spark)
     fits = f"k <> hub AND {_sizes_fit('n', 'hub_n')} AND least(n - at, hub_n - hub_at) >= {_need('n', 'hub_n')}"
     to_hub = index.where(fits).select(F.col("k").alias("x"), F.col("hub").alias("y")).distinct()
     links = _verified(common.written(to_hub, f"{path}/hub-pairs"), rows, classes, f"{path}/hub")
@@ -206,6 +213,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = index.join(settled.withColumnRenamed("node", "k"), "k", "left").select("k", "n", "at", "w", "hub", F.coalesce("component", "k").alias("component"))
     of_hub = settled.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
     placed = common.written(placed.join(of_hub, "hub", "left").select("k", "n", "at", "w", "component", (F.col("component") != F.coalesce("of_hub", "hub")).alias("outside")), f"{path}/placed")
+    common.forget(spark, f"{path}/index")
+    common.release(spark)
     # Trees whose sets are all in the hub's component have nothing left to find.
     growing = placed.where("outside").select("w").distinct()
     about = classes.select("k", "beyond", F.col("least_hash").alias("p"), *[F.col("bitmap")[j].alias(b) for j, b in enumerate(BITMAP)])
@@ -214,7 +223,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.col("n") - F.col("at")).alias("rest"), "beyond", F.col("component").alias("first"), F.col("component").alias("last"), *BITMAP,
     )
     found = traverse(common.written(entries, f"{path}/entries"), f"{path}/tree")
-    more = _verified(common.written(found.distinct(), f"{path}/pairs"), rows, classes, f"{path}/rest")
+    pairs = common.written(found.distinct(), f"{path}/pairs")
+    for table in ("placed", "entries", *(f"tree-level-{j}" for j in range(len(LEVELS)))):
+        common.forget(spark, f"{path}/{table}")
+    common.release(spark)
+    more = _verified(pairs, rows, classes, f"{path}/rest")
 
     linked = components(links.unionByName(more).toDF("a", "b")).select(F.col("node").alias("k"), "component")
     rooted = classes.select("c", "k", "least").join(linked, "k", "left").select("c", "least", F.coalesce("component", "k").alias("root"))
