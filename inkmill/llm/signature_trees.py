@@ -8,7 +8,7 @@ there are fewer), each as a 64-bit hash. A text without words has the empty set
    say in the result), and sets enter the trees of their first n - ceil(0.9 n) + 1 shingles. Sets within the threshold
    share at least one of these, so no pair is lost between trees, and none meets at a shingle that most sets have.
 3. Each set meets the hub (most copied set) of its trees first. A large group of near copies is linked by as many meetings
-   as it has sets.
+   as it has sets. Hubs are done with then; shingles of two sets need no tree.
 4. Trees: a leaf holds sets of one size class with like min-hash bits; nodes above hold 16 nodes each, up to the size
    class and the shingle. A node has the OR of its sets' bitmaps, their size range, the most shingles that a set has beyond
    its bits, and whether all are of one component. The dual traversal begins with the pairs of size classes and goes down
@@ -202,15 +202,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common.release(spark)
 
     posted = classes.select("k", "n", "copies", F.posexplode("prefix").alias("at", "w"))
-    hubs = posted.groupBy("w").agg(F.count("*").alias("sets"), F.max(F.struct("copies", "k", "n", "at")).alias("hub")).where("sets > 1").select("w", "hub")
-    index = common.written(posted.join(hubs, "w").select("k", "n", "at", "w", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), f"{path}/index")
+    hubs = posted.groupBy("w").agg(F.count("*").alias("sets"), F.max(F.struct("copies", "k", "n", "at")).alias("hub")).where("sets > 1").select("w", "hub", "sets")
+    index = common.written(posted.join(hubs, "w").select("k", "n", "at", "w", "sets", F.col("hub.k").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), f"{path}/index")
     common.release(spark)
     fits = f"k <> hub AND {_sizes_fit('n', 'hub_n')} AND least(n - at, hub_n - hub_at) >= {_need('n', 'hub_n')}"
     to_hub = index.where(fits).select(F.col("k").alias("x"), F.col("hub").alias("y")).distinct()
     links = _verified(common.written(to_hub, f"{path}/hub-pairs"), rows, classes, f"{path}/hub")
 
     settled = common.written(components(links.toDF("a", "b")), f"{path}/settled")
-    placed = index.join(settled.withColumnRenamed("node", "k"), "k", "left").select("k", "n", "at", "w", "hub", F.coalesce("component", "k").alias("component"))
+    # A hub has met all sets of its trees: the others meet each other, if there are two of them.
+    placed = index.where("sets > 2 AND k <> hub").join(settled.withColumnRenamed("node", "k"), "k", "left").select("k", "n", "at", "w", "hub", F.coalesce("component", "k").alias("component"))
     of_hub = settled.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
     placed = common.written(placed.join(of_hub, "hub", "left").select("k", "n", "at", "w", "component", (F.col("component") != F.coalesce("of_hub", "hub")).alias("outside")), f"{path}/placed")
     common.forget(spark, f"{path}/index")
