@@ -1,11 +1,11 @@
 """Every registered query of the library's own operators, and its SQL."""
 
-from . import operators, rules, shared, sources, spans
+from . import operators, rules, shared, sources, spans, structure
 
 
 def queries() -> dict:
-    return shared.queries() | rules.queries() | operators.queries() | sources.queries() | spans.queries()
+    return shared.queries() | rules.queries() | operators.queries() | sources.queries() | spans.queries() | structure.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return shared.oracle_sql() | rules.oracle_sql() | operators.oracle_sql() | sources.oracle_sql() | spans.oracle_sql()
+    return shared.oracle_sql() | rules.oracle_sql() | operators.oracle_sql() | sources.oracle_sql() | spans.oracle_sql() | structure.oracle_sql()
