@@ -40,6 +40,8 @@ WINDOW = 3
 UP, DOWN = 9, 10
 #: Words of a bitmap, 64 bits each.
 WORDS = 8
+#: As many for the pairs that the trees leave.
+WIDE = 64
 #: Bits of the min-hash that the levels below the size class take; each level has 16 children.
 LEVELS = (0, 4, 8, 12)
 #: One text in so many is looked at for the order of the shingles; so many common ones are told apart at most.
@@ -146,14 +148,28 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, path: str)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["k", "s"])
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            maps, beyond = [], []
+            for s in found:
+                bits = np.zeros(64 * WIDE, dtype=bool)
+                bits[s >> np.uint64(20) & np.uint64(64 * WIDE - 1)] = True
+                maps.append(np.packbits(bits).view(np.int64))
+                beyond.append(len(s) - int(bits.sum()))
+            long_lists = pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array([s.view(np.int64) for s in found], long_lists), pa.array([len(s) for s in found], pa.int32()), pa.array(maps, long_lists), pa.array(beyond, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "n", "wide", "beyond"])
 
     common.release(rows.sparkSession)
-    whole = common.written(texts.mapInArrow(sets, "k long, s array<long>"), f"{path}-sets")
-    met = likely.join(whole.selectExpr("k AS x", "s AS sx"), "x").join(whole.selectExpr("k AS y", "s AS sy"), "y")
+    whole = common.written(texts.mapInArrow(sets, "k long, s array<long>, n int, wide array<long>, beyond int"), f"{path}-sets")
+    # Sets of many shingles fill the trees' bitmaps; wide ones tell most of these pairs apart before whole sets meet.
+    side = lambda end: whole.select(F.col("k").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "wide", "beyond")])
+    common_bits = F.aggregate(F.zip_with("wide_x", "wide_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+    near = likely.join(side("x"), "x").join(side("y"), "y").where((common_bits + F.least("beyond_x", "beyond_y")) >= F.expr(_need("n_x", "n_y")))
+    nearer = common.written(near.select("x", "y"), f"{path}-nearer")
+    met = nearer.join(whole.selectExpr("k AS x", "s AS sx"), "x").join(whole.selectExpr("k AS y", "s AS sy"), "y")
     shared = met.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("c"), (F.size("sx") + F.size("sy")).alias("m"))
     found = common.written(shared.where(f"{UP + DOWN} * c >= {UP} * m").select("x", "y"), f"{path}-links")
-    for table in ("likely", "picked", "sets"):
+    for table in ("likely", "picked", "sets", "nearer"):
         common.forget(rows.sparkSession, f"{path}-{table}")
     common.release(rows.sparkSession)
     return found
