@@ -18,9 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .merge import BROAD
 from .rounds import cut
 
+#: The editorial group of each category. Issues of different groups never repeat each other.
+GROUPS = {
+    "style": "language",
+    "grammar": "language",
+    "word-usage": "language",
+    "punctuation": "punctuation",
+    "structure": "structure",
+    "modular": "structure",
+    "numbers": "technical",
+    "technical": "technical",
+    "references": "technical",
+    "audience": "audience",
+    "legal": "audience",
+}
 #: Characters in a bin of the search for overlapping spans.
 BIN = 256
 
@@ -31,11 +44,9 @@ def norm(c: str | Column) -> Column:
 
 
 def broad(c: str) -> Column:
-    """The group of categories that issues are compared in."""
-    out = F.col(c)
-    for name, group in BROAD.items():
-        out = F.when(F.col(c) == name, group).otherwise(out)
-    return out
+    """The group of categories that issues are compared in; no category is a group, and all others that are not known are one."""
+    known = F.create_map(*[F.lit(x) for pair in GROUPS.items() for x in pair])
+    return F.when(F.col(c).isNull(), "unknown").otherwise(F.coalesce(F.try_element_at(known, F.col(c)), F.lit("other")))
 
 
 def overlaps(issues: DataFrame, share: float, same: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from ..operators import forest, modules, tiers
 from ..operators import spanmaps as M
-from ..operators.merge import BROAD
 from . import duck
 
 #: What the finders look for in a document: (finder, pattern, category). The order is that of their issues in a document.
@@ -88,7 +87,7 @@ def module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = "lower(trim(regexp_replace({c}, '[ \\t\\r\\n]+', ' ', 'g')))"
 _EACH = "\nUNION ALL\n".join(f"SELECT doc_id, {k} AS finder, '{s}' AS source, '{c}' AS category, hit AS flagged, start_::BIGINT AS s, end_::BIGINT AS e FROM ({duck.finds('documents', 'doc_id', 'text', p)})" for k, (s, p, c) in enumerate(FINDERS))
-_BROAD = "CASE category " + " ".join(f"WHEN {duck.lit(a)} THEN {duck.lit(b)}" for a, b in BROAD.items()) + " ELSE category END"
+_BROAD = "CASE category " + " ".join(f"WHEN {duck.lit(a)} THEN {duck.lit(b)}" for a, b in tiers.GROUPS.items()) + " ELSE 'other' END"
 _LAP = "(least(x.e, y.e) - greatest(x.s, y.s))"
 _SHORT = "least(x.e - x.s, y.e - y.s)"
 _ISSUES = f"""every AS ({_EACH}),
