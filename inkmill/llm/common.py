@@ -13,8 +13,10 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -23,6 +25,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows in an Arrow batch: with the longest texts of a few hundred kB a batch stays within some tens of MB.
 BATCH_ROWS = 256
 
+#: Numbers of so many files at most are broadcast.
+BROADCAST_FILES = 200_000
+
 _shipped: set[str] = set()
 #: Where set, workspaces are noted, for whoever deletes them.
 _noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
@@ -122,8 +127,23 @@ def words_of(text: Column) -> Column:
 
 
 def numbered(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """The given columns and k, each row's number in the read of docs: the same in every read of one table."""
-    return docs.select(F.monotonically_increasing_id().alias("k"), *[c.alias(name) for name, c in columns.items()])
+    """The given columns and k, a number of each row that holds in every read of docs, however a read is split into tasks.
+
+    For the read of Parquet files, the place of the row: its file's number by path, then its place in the file, which the
+    reader tells. Anything else is numbered and written once, and the written table is what comes back.
+    """
+    spark = docs.sparkSession
+    named_ = [c.alias(name) for name, c in columns.items()]
+    try:
+        place = docs.metadataColumn("_metadata")
+        placed = docs.select(place["file_path"].alias("_file"), place["row_index"].alias("_row"), *named_)
+    except AnalysisException:
+        return written(docs.select(F.monotonically_increasing_id().alias("k"), *named_), f"{workspace(spark)}/numbered")
+    # A row for each file; no column of the table is read for it.
+    paths = docs.select(place["file_path"].alias("_file")).distinct()
+    files = written(paths.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_number")), f"{workspace(spark)}/files")
+    files = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+    return placed.join(files, "_file").select((F.shiftleft("_number", 40) + F.col("_row")).alias("k"), *columns)
 
 
 def packed(df: DataFrame) -> Column:

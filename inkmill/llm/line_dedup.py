@@ -20,8 +20,8 @@ The joins' rows are index entries, never all pairs of a group: equal lines, howe
 near copies, and Spark splits the lists of frequent words as skewed partitions of the join.
 
 Null and empty texts have no lines and stay as they are; ids may be null (they come first) and repeated (repeated rows
-follow each other in the order of the read); an empty table gives no rows; other columns come back unchanged, whatever
-their names. docs must be the read of a table, since places are numbered by it twice.
+follow each other by file and place); an empty table gives no rows; other columns come back unchanged, whatever their
+names. Rows are known by common.numbered, which holds however a later read is split into tasks.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ BROADCAST_PAIRS = 1_000_000
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("i"), common.text_of(text_col).alias("t"), common.packed(docs).alias("row"))
+    return common.numbered(docs, {"i": F.col(id_col).cast("long"), "t": common.text_of(text_col), "row": common.packed(docs)})
 
 
 NOT_BLANK = "[^\\x20\\x09-\\x0D]"

@@ -104,11 +104,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are near copies (near_copies.py) of one of a lesser id; of rows that repeat the least id, the first read stays.
+    """docs without the rows that are near copies (near_copies.py) of one of a lesser id; of rows that repeat the least id, the first one (by file and place) stays.
 
-    Rows of null ids stay only in components without other ids, one of each. docs must be the read of a table.
+    Rows of null ids stay only in components without other ids, one of each.
     """
-    rows = docs.select(common.packed(docs).alias("row"), F.monotonically_increasing_id().alias("k"), F.col(id_col).cast("long").alias("i"), common.text_of(text_col).alias("t"))
+    rows = common.numbered(docs, {"row": common.packed(docs), "i": F.col(id_col).cast("long"), "t": common.text_of(text_col)})
     # Components of the rows' own numbers; the least (id, number) of each is the one that stays.
     found = near_copies.near_copies(rows.select("k", "t"))
     placed = rows.select("k", "i").join(found, "k")

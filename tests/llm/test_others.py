@@ -14,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from inkmill.llm import common, compaction, kneser_ney, media, pii, quality_rules, sentence_pieces
@@ -269,7 +270,7 @@ def test_a_taken_version_is_refused_and_a_merge_of_merged_shards_given_up(spark,
     store = compaction.Store(spark, f"{tmp_path}/s")
     for _ in range(4):
         store.append(edges)
-    assert not store._claim(4, "m-other") and store.version() == 4
+    assert not store._claim(4, "m-other", StructType()) and store.version() == 4
     other, taken = compaction.Store(spark, f"{tmp_path}/s"), []
     plain = store._commit
     store._commit = lambda change: (taken.append(other.compact()), plain(change))[1]  # another merge comes first
@@ -326,3 +327,51 @@ def test_pipeline_stages_take_edges(spark, edges, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, edges, sf_dir)
         assert out.columns == edges.columns and out.count() > 0, name
+
+
+def test_compaction_keeps_columns_that_come_and_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "SMALLEST", 1 << 20)
+    store = compaction.Store(spark, f"{tmp_path}/s")
+    arrivals = [([(1,)], "id long"), ([(2, "x")], "id long, extra string"), ([("y", 3)], "EXTRA string, id long"), ([(4, 0.5)], "id long, score double")]
+    for rows, schema in arrivals:
+        store.append(spark.createDataFrame(rows, schema).coalesce(1))
+    want = [(1, None, None), (2, "x", None), (3, "y", None), (4, None, 0.5)]
+    rows = lambda v=None: sorted(tuple(r)[:3] for r in store.read(v).collect())
+    before = store.version()
+    assert store.read().columns == ["id", "extra", "score", "shard"] and rows() == want
+    assert store.compact() == before + 1 and rows() == want and rows(before) == want and store.manifest().count() == 1
+    with pytest.raises(ValueError, match="extra is int"):
+        store.append(spark.createDataFrame([(5, 5)], "id long, extra int"))
+    assert store.version() == before + 1 and store.read(1).columns == ["id", "shard"]
+
+
+class _OtherFileSystem:
+    """The local file system as one that is none: pointers are created exclusively, not linked."""
+
+    def __init__(self, fs):
+        self._fs = fs
+
+    def __getattr__(self, name):
+        return getattr(self._fs, name)
+
+    def getScheme(self):
+        return "hdfs"
+
+
+def test_racing_writers_elsewhere(spark, tmp_path):
+    stores = [compaction.Store(spark, f"{tmp_path}/s") for _ in range(4)]
+    for s in stores:
+        s._fs = _OtherFileSystem(s._fs)
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: stores[k].append(spark.range(k, k + 1).coalesce(1)), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4] and sorted(r.id for r in stores[0].read().collect()) == [0, 1, 2, 3]
+
+
+def test_a_pointer_that_is_never_finished(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "WAITS", 2)
+    store = compaction.Store(spark, f"{tmp_path}/s")
+    store.append(spark.range(3).coalesce(1))
+    open(f"{tmp_path}/s/manifest/v2", "w").close()
+    with pytest.raises(OSError, match="not finished"):
+        store.read()
+    assert store.read(1).count() == 3
