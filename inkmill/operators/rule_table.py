@@ -201,4 +201,13 @@ def category(rule_type: str) -> str:
     return next((c for name, c in CATEGORIES if name in rule_type), "style")
 
 
+#: Rules of signs and addresses, which hold in any language; all others are about English.
+ANY_LANGUAGE = frozenset(("colons", "dashes", "ellipses", "exclamation_points", "parentheses", "punctuation_and_symbols", "semicolons", "slashes", "spacing", "highlighting", "indentation", "technical_web_addresses"))
+
+
+def english(rule: Rule) -> bool:
+    """Whether a rule is about English alone."""
+    return rule.rule_type not in ANY_LANGUAGE
+
+
 RULE_TYPES = tuple(dict.fromkeys(r.rule_type for r in RULES))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rule_table import RULES, Rule, category
+from .rule_table import RULES, Rule, category, english
 
 ISSUE = "rule_name string, check string, category string, severity string, start int, `end` int, flagged string, message string"
 NEIGHBOUR = "[\\p{L}\\p{N}_]"
@@ -41,13 +41,23 @@ def issues_of(rule: Rule, text: str) -> str:
     return f"CASE WHEN {' AND '.join(gates)} THEN transform({found}, x -> struct({names}, x.start AS start, x.`end` AS `end`, x.hit AS flagged, {_lit(rule.message)} AS message)) ELSE {EMPTY} END"
 
 
+#: SQL: a text of English, or of a language that nobody told.
+IN_ENGLISH = "coalesce(lang, 'en') = 'en'"
+
+
 def pattern_issues(sents: DataFrame, rules: tuple[Rule, ...] = RULES, block_type: str | None = None, parity: bool = False) -> DataFrame:
-    """sents' columns and one issue a row. With a block_type column, checks keep to their blocks; without, prose only."""
+    """sents' columns and one issue a row. With a block_type column, checks keep to their blocks; without, prose only.
+
+    Where sents has a column `lang`, rules about English keep to its sentences.
+    """
+    guarded = "lang" in sents.columns
     parts = []
     for r in rules:
         if (parity and r.status != "live") or (r.blocks and not block_type):
             continue
         found = issues_of(r, "sentence")
+        if guarded and english(r):
+            found = f"CASE WHEN {IN_ENGLISH} THEN {found} ELSE {EMPTY} END"
         parts.append(f"CASE WHEN {block_type} IN ({', '.join(map(_lit, r.blocks))}) THEN {found} ELSE {EMPTY} END" if r.blocks else found)
     if not parts:
         raise ValueError("no rule applies")

@@ -15,14 +15,14 @@ def parts(c: str) -> str:
     return f"string_split_regex(regexp_replace(coalesce({c}, ''), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), '\\n+')"
 
 
-#: (doc_id, sent_idx, sentence) of documents
-SENTENCES = f"""s0 AS (SELECT doc_id, {parts('text')} AS p FROM documents),
-s1 AS (SELECT doc_id, unnest(p) AS piece, (generate_subscripts(p, 1) - 1)::INTEGER AS sent_idx FROM s0),
-sentences AS (SELECT doc_id, sent_idx, {strip('piece')} AS sentence FROM s1 WHERE {strip('piece')} <> '')"""
+#: (doc_id, lang, sent_idx, sentence) of documents
+SENTENCES = f"""s0 AS (SELECT doc_id, lang, {parts('text')} AS p FROM documents),
+s1 AS (SELECT doc_id, lang, unnest(p) AS piece, (generate_subscripts(p, 1) - 1)::INTEGER AS sent_idx FROM s0),
+sentences AS (SELECT doc_id, lang, sent_idx, {strip('piece')} AS sentence FROM s1 WHERE {strip('piece')} <> '')"""
 
 #: (doc_id, sent_idx, words) and (doc_id, sent_idx, pos, token)
 TOKENS = f"""{SENTENCES},
-w0 AS (SELECT doc_id, sent_idx, sentence, regexp_extract_all(sentence, '{WORD}') AS words FROM sentences),
+w0 AS (SELECT doc_id, lang, sent_idx, sentence, regexp_extract_all(sentence, '{WORD}') AS words FROM sentences),
 tokens AS (SELECT doc_id, sent_idx, unnest(words) AS token, (generate_subscripts(words, 1) - 1)::INTEGER AS pos FROM w0)"""
 
 

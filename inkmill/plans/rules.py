@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexicons
-from ..operators.rule_table import RULE_TYPES, RULES, Rule, category
-from ..operators.rules import lexicon_issues, pattern_issues
+from ..operators.rule_table import RULE_TYPES, RULES, Rule, category, english
+from ..operators.rules import IN_ENGLISH, lexicon_issues, pattern_issues
 from ..sources import html
 from . import duck, fixtures
 
@@ -25,13 +25,13 @@ OUT = ("doc_id", "sent_idx", "check", "start", "end", "flagged", "severity")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.unionByName(spark.createDataFrame(SPECIMENS, "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return docs.unionByName(spark.createDataFrame(SPECIMENS, "doc_id long, text string").withColumn("lang", F.lit("en")))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.unionByName(spark.createDataFrame(PROSE_SPECIMENS, "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return docs.unionByName(spark.createDataFrame(PROSE_SPECIMENS, "doc_id long, text string").withColumn("lang", F.lit("en")))
 
 
 #: The review profile: the rules whose finds are scored, merged and reported on.
@@ -40,9 +40,9 @@ PROFILE = ("abbreviations", "accessibility", "capitalization", "contractions", "
 
 def profile_issues(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, rule_name, category, severity, start_pos, end_pos, flagged): finds of the profile's rules and of all word lists."""
-    keys = sents.select("doc_id", "sent_idx", "sentence")
+    keys = sents.select("doc_id", "lang", "sent_idx", "sentence")
     by_pattern = pattern_issues(keys, tuple(r for r in RULES if r.rule_type in PROFILE and not r.blocks))
-    by_term = lexicon_issues(keys, lexicons.builtin(sents.sparkSession))
+    by_term = lexicon_issues(keys.where(IN_ENGLISH), lexicons.builtin(sents.sparkSession))
     names = ("doc_id", "sent_idx", "rule_name", "category", "severity", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "flagged")
     return by_pattern.select(*names).unionByName(by_term.select(*names)).distinct()
 
@@ -56,7 +56,7 @@ def profile_issues_sql() -> str:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sentences(corpus(spark, sf_dir))
+    return T.sentences(corpus(spark, sf_dir), keys=("doc_id", "lang"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +84,14 @@ def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_list(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = lexicons.builtin(spark).where(F.col("rule_type") == name)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(IN_ENGLISH).select("doc_id", "text")
     own = spark.createDataFrame(_term_specimens(name), "doc_id long, text string")
     return lexicon_issues(T.sentences(docs.unionByName(own)), lex).select("doc_id", "sent_idx", "pos", "start", "end", "flagged", "replacement", "severity")
 
 
 def all_word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word list in one scan of documents: finds by rule and term."""
-    found = lexicon_issues(T.sentences(prose(spark, sf_dir)), lexicons.builtin(spark))
+    found = lexicon_issues(T.sentences(prose(spark, sf_dir).where(IN_ENGLISH)), lexicons.builtin(spark))
     return found.groupBy("rule_name", F.lower("flagged").alias("term"), "severity").agg(F.count("*").alias("n_issues"), F.countDistinct("doc_id").alias("n_docs"), F.sum("start").alias("sum_start"))
 
 
@@ -104,16 +104,16 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({names}))"
 
 
-CORPUS_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM {_values(SPECIMENS, 'doc_id, text')})"
+CORPUS_SQL = f"(SELECT doc_id, lang, text FROM documents UNION ALL SELECT doc_id::BIGINT, 'en', text FROM {_values(SPECIMENS, 'doc_id, text')})"
 SENTENCES_SQL = duck.SENTENCES.replace("FROM documents", f"FROM {CORPUS_SQL}")
-PROSE_SQL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM {_values(PROSE_SPECIMENS, 'doc_id, text')})"
+PROSE_SQL = f"(SELECT doc_id, lang, text FROM documents UNION ALL SELECT doc_id::BIGINT, 'en', text FROM {_values(PROSE_SPECIMENS, 'doc_id, text')})"
 BLOCKS_SQL = f"{duck.blocks()},\nblocks AS (SELECT doc_id, block_idx, block_type, level, content FROM html_blocks UNION ALL SELECT doc_id::BIGINT, block_idx::INTEGER, block_type, level::INTEGER, content FROM {_values(BLOCK_SPECIMENS, 'doc_id, block_idx, block_type, level, content')})"
 
 
 def check_sql(r: Rule) -> str:
     """SELECT of one check from sentences, or from block_sentences."""
     source = "sentences" if not r.blocks else f"(SELECT * FROM block_sentences WHERE block_type IN ({', '.join(duck.lit(b) for b in r.blocks)}))"
-    gates = ([f"regexp_matches(sentence, {duck.lit(r.has)})"] if r.has else []) + ([f"NOT regexp_matches(sentence, {duck.lit(r.lacks)})"] if r.lacks else [])
+    gates = (["coalesce(lang, 'en') = 'en'"] if english(r) and not r.blocks else []) + ([f"regexp_matches(sentence, {duck.lit(r.has)})"] if r.has else []) + ([f"NOT regexp_matches(sentence, {duck.lit(r.lacks)})"] if r.lacks else [])
     if gates:
         source = f"(SELECT * FROM {source} WHERE {' AND '.join(gates)})"
     left, right = "CASE WHEN start_ > 0 THEN substr(sentence, start_, 1) ELSE '' END", "substr(sentence, end_ + 1, 1)"
@@ -149,13 +149,13 @@ def lexicon_sql(lex: list[tuple]) -> str:
       (SELECT r.*, l.*, string_split_regex(sentence, '{duck.WORD}') AS gaps FROM
         (SELECT doc_id, sent_idx, sentence, words, p, n, array_to_string(words[p:p + n - 1], ' ') AS flagged FROM
           (SELECT doc_id, sent_idx, sentence, words, p, unnest(range(1, least({longest}, len(words) - p + 1) + 1)) AS n FROM
-            (SELECT doc_id, sent_idx, sentence, words, unnest(range(1, len(words) + 1)) AS p FROM w0))) AS r
+            (SELECT doc_id, sent_idx, sentence, words, unnest(range(1, len(words) + 1)) AS p FROM w0 WHERE coalesce(lang, 'en') = 'en'))) AS r
         JOIN {_values(lex, 'rule_type, term, replacement, severity')} AS l ON lower(r.flagged) = l.term)"""
 
 
 def word_list_sql(name: str) -> str:
     lex = [r[:4] for r in lexicons.rows() if r[0] == name]
-    docs = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id::BIGINT, text FROM {_values(_term_specimens(name), 'doc_id, text')})"
+    docs = f"(SELECT doc_id, lang, text FROM documents UNION ALL SELECT doc_id::BIGINT, 'en', text FROM {_values(_term_specimens(name), 'doc_id, text')})"
     return f"""WITH {duck.TOKENS.replace('FROM documents', f'FROM {docs}')}
     SELECT doc_id, sent_idx, pos, start, "end", flagged, replacement, severity FROM ({lexicon_sql(lex)})"""
 

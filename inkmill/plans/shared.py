@@ -245,7 +245,7 @@ SYLLABLES = "token_syllables AS (SELECT doc_id, sent_idx, pos, token, greatest(1
 
 def _views(spark: SparkSession, sf_dir: str, base: str) -> None:
     if base in ("text", "issues"):
-        sents = T.sentences(R.prose(spark, sf_dir))
+        sents = T.sentences(R.prose(spark, sf_dir), keys=("doc_id", "lang"))
         sents.createOrReplaceTempView("sentences")
         T.tokens(sents).createOrReplaceTempView("tokens")
     if base == "issues":

@@ -4,7 +4,7 @@ import pytest
 
 from inkmill.functions import text as T
 from inkmill.operators import lexicons
-from inkmill.operators.rule_table import RULE_TYPES, RULES, category
+from inkmill.operators.rule_table import ANY_LANGUAGE, RULE_TYPES, RULES, category
 from inkmill.operators.rules import applicable, excepted, lexicon_issues, outside, pattern_issues
 
 
@@ -69,3 +69,11 @@ def test_applicable_rules(spark):
     rules = spark.createDataFrame([("heading", "headings"), ("heading", "verbs"), ("paragraph", "verbs")], "block_type string, rule_type string")
     no = spark.createDataFrame([("heading", "verbs")], "block_type string, rule_type string")
     assert {(r.block_idx, r.rule_type) for r in applicable(blocks, rules, no, ("code",)).collect()} == {(0, "headings"), (2, "verbs")}
+
+
+def test_rules_about_english_leave_other_languages_alone(spark):
+    rows = [(1, "en", "They don't... wait!!"), (2, "de", "They don't... wait!!"), (3, None, "They don't... wait!!")]
+    found = pattern_issues(spark.createDataFrame(rows, "doc_id long, lang string, sentence string")).collect()
+    names = {d: {r.rule_name for r in found if r.doc_id == d} for d in (1, 2, 3)}
+    assert names[1] == names[3] and "contractions" in names[1]
+    assert names[2] == {n for n in names[1] if n in ANY_LANGUAGE} and {"ellipses", "exclamation_points"} <= names[2]
