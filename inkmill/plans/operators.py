@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge, references
-from ..streaming import events
+from ..streaming import events, state
 from . import duck, shared
 
 
@@ -32,6 +32,15 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
+def ended_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming job of keyed state over the same table read as a batch: sessions that a later event has ended (a batch runs no timers)."""
+    state.use_rocksdb(spark)
+    rows = spark.read.schema(events.SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    status = F.when(F.col("event_type") == "error", "dismissed").when(F.col("event_type") == "purchase", "accepted").when(F.col("event_type") == "signup", "resolved").when(F.col("event_type") == "view", "open")
+    told = rows.select("event_id", "ts", "user_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("issue"), status.alias("status"))
+    return state.sessions(told, 24 * state.TTL)
+
+
 def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose links lead back to them in up to four steps; a link leads to the pages whose title opens with its word."""
     spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("pages")
@@ -52,6 +61,12 @@ def greedy_merge_sql() -> str:
 
 
 SQL = {
+    "ended_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS issue, CASE event_type WHEN 'error' THEN 'dismissed' WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'resolved' WHEN 'view' THEN 'open' END AS status FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) < 86400000 THEN 0 ELSE 1 END AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+l AS (SELECT user_id, run, issue, arg_max(status, ms * 1000000 + event_id) AS status FROM r WHERE status IS NOT NULL GROUP BY ALL)
+SELECT user_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS events, coalesce(any_value(issues), 0) AS issues, coalesce(any_value(settled), 0) AS settled
+FROM r LEFT JOIN (SELECT user_id, run, count(*) AS issues, count(*) FILTER (WHERE status <> 'open') AS settled FROM l GROUP BY ALL) USING (user_id, run) GROUP BY user_id, run QUALIFY run < max(run) OVER (PARTITION BY user_id)""",
     "greedy_merge": greedy_merge_sql(),
     "sliding_events": "SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) - off AS VARCHAR(30)) AS window_start, event_type, count(*) AS n FROM events, (VALUES (INTERVAL 0 MINUTE), (INTERVAL 15 MINUTE), (INTERVAL 30 MINUTE), (INTERVAL 45 MINUTE)) AS o(off) GROUP BY 1, 2",
     "hourly_events": "SELECT CAST(date_trunc('hour', ts) AS VARCHAR(30)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
@@ -60,7 +75,7 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (greedy_merge, hourly_events, sliding_events, session_windows, reference_cycles)}
+    return {f.__name__: f for f in (greedy_merge, hourly_events, sliding_events, session_windows, ended_sessions, reference_cycles)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,4 +88,6 @@ def sessions(events: DataFrame, ttl: int = TTL, late: str = "10 minutes") -> Dat
 
 
 def use_rocksdb(spark) -> None:
+    """The state store that keyed state needs. The session's manager of streams keeps its register, so it is begun here for batches too."""
+    _ = spark.streams.active
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
