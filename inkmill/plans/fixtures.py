@@ -28,6 +28,7 @@ STRUCTURES = {
 PROSE = {
     -2001: "The Application Programming Interface (API) is used daily. A Central Processing Unit (CPU) runs it. The CPU is fast. GPU cards are not (GPU) Graphics Processing Unit cards.",
     -2002: "The TLA is never told. Its GUI shows the API. They keep the Graphical User Interface (GUI) simple. The Great Unified Index (GUI) is another one.",
+    -2004: "Holland is a small country. The kingdom that once was known to many people by the name of Holland ended. There are three nodes. It is a node. Here is one. America is a continent.",
     -2003: "In order to start, utilize the the tool... The colour is grey!! We leverage a lot of it, e.g. Now.",
 }
 

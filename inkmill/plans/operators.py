@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import merge, references
 from ..streaming import events, state
 from . import duck, shared
@@ -41,6 +42,36 @@ def ended_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.sessions(told, 24 * state.TTL)
 
 
+def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches between blank lines that say anything, one at least."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda x: F.trim(x) != "")
+    return docs.select("doc_id", F.greatest(F.lit(1), F.size(parts)).alias("paragraphs"))
+
+
+def syllables_by_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllables by the turns from other signs to vowels, less a silent e, one at least; by length of words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    word = F.lower("token")
+    turns = F.size(F.regexp_extract_all(F.concat(F.lit("-"), word), F.lit("[^aeiouy][aeiouy]"), F.lit(0)))
+    count = F.greatest(F.lit(1), turns - F.when(word.rlike("[^aeiouy]e$") & (turns > 1), 1).otherwise(0))
+    return T.tokens(T.sentences(docs)).groupBy(F.length("token").alias("letters")).agg(F.count("*").alias("words"), F.sum(count).alias("syllables"))
+
+
+#: Words of talking to a reader, and of talking about one.
+TO_READER, OF_READER = ("you", "your", "yours"), ("user", "users", "customer", "reader", "administrator")
+
+
+def reader_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns that speak to a reader and of one at once, or either: the sets of such words in each."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    prose = spark.createDataFrame([(-1, 0, "user", "You are the user, and your users are users."), (-2, 0, "user", "The reader reads."), (-3, 0, "user", "None.")], "conv_id long, turn long, role string, text string")
+    said = F.array_distinct(F.transform(T.words("text"), lambda w: F.lower(w)))
+    both = turns.unionByName(prose).withColumns({"to": F.array_intersect(said, F.array(*map(F.lit, TO_READER))), "of": F.array_intersect(said, F.array(*map(F.lit, OF_READER)))})
+    found = both.where(F.arrays_overlap(said, F.array(*map(F.lit, TO_READER + OF_READER))))
+    return found.select("conv_id", "turn", F.array_join(F.array_sort("to"), ",").alias("to_reader"), F.array_join(F.array_sort("of"), ",").alias("of_reader"), ((F.size("to") > 0) & (F.size("of") > 0)).alias("mixed"))
+
+
 def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose links lead back to them in up to four steps; a link leads to the pages whose title opens with its word."""
     spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("pages")
@@ -60,7 +91,14 @@ def greedy_merge_sql() -> str:
         FROM issues GROUP BY doc_id, sent_idx, grp))"""
 
 
+_SAID = f"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{duck.WORD}'), lambda w: lower(w)))"
 SQL = {
+    "paragraph_counts": "SELECT doc_id, greatest(1, len(list_filter(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: trim(x) <> '')))::INTEGER AS paragraphs FROM documents",
+    "syllables_by_turns": f"""WITH {duck.TOKENS}, t AS (SELECT length(token) AS letters, lower(token) AS w, len(regexp_extract_all('-' || lower(token), '[^aeiouy][aeiouy]')) AS n FROM tokens)
+SELECT letters::INTEGER AS letters, count(*) AS words, sum(greatest(1, n - CASE WHEN n > 1 AND regexp_matches(w, '[^aeiouy]e$') THEN 1 ELSE 0 END))::BIGINT AS syllables FROM t GROUP BY letters""",
+    "reader_words": f"""WITH c AS (SELECT conv_id, turn, text FROM conversations UNION ALL VALUES (-1, 0, 'You are the user, and your users are users.'), (-2, 0, 'The reader reads.'), (-3, 0, 'None.')),
+s AS (SELECT conv_id, turn, list_sort(list_filter({_SAID}, lambda w: w IN {TO_READER})) AS t, list_sort(list_filter({_SAID}, lambda w: w IN {OF_READER})) AS o FROM c)
+SELECT conv_id, turn, array_to_string(t, ',') AS to_reader, array_to_string(o, ',') AS of_reader, len(t) > 0 AND len(o) > 0 AS mixed FROM s WHERE len(t) + len(o) > 0""",
     "ended_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS issue, CASE event_type WHEN 'error' THEN 'dismissed' WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'resolved' WHEN 'view' THEN 'open' END AS status FROM events),
 g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) < 86400000 THEN 0 ELSE 1 END AS fresh FROM e),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
@@ -75,7 +113,7 @@ FROM r LEFT JOIN (SELECT user_id, run, count(*) AS issues, count(*) FILTER (WHER
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (greedy_merge, hourly_events, sliding_events, session_windows, ended_sessions, reference_cycles)}
+    return {f.__name__: f for f in (paragraph_counts, syllables_by_turns, reader_words, greedy_merge, hourly_events, sliding_events, session_windows, ended_sessions, reference_cycles)}
 
 
 def oracle_sql() -> dict[str, str]:

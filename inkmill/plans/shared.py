@@ -64,6 +64,9 @@ definitions AS (SELECT doc_id, sent, regexp_extract(hit, '[(]([A-Z]{2,6})[)]$',
 #: Words of the built-in lexicon's right forms: the registry of known terms.
 KNOWN = "(VALUES " + ", ".join(f"({duck.lit(w)})" for w in sorted({w.lower() for r in lexicons.rows() for w in r[2].split()})) + ") AS v(known)"
 
+#: Names of places with words that they are misused beside.
+PLACES = "(VALUES ('holland', 'country'), ('holland', 'kingdom'), ('england', 'kingdom'), ('britain', 'ireland'), ('america', 'continent'), ('america', 'country'), ('scandinavia', 'finland')) AS p(place, context)"
+
 # name: (base views, common tables, select)
 Q: dict[str, tuple[str, str, str]] = {}
 
@@ -99,10 +102,10 @@ q("technical_predicates", "text", "SELECT doc_id, sent_idx, regexp_like(sentence
 q("context_sentences", "text", "SELECT doc_id, sent_idx, CAST(sum(length(sentence)) OVER w AS BIGINT) AS context_chars, count(*) OVER w AS context_sentences FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 q("acronyms", "text", "SELECT doc_id, acronym, max_by(full_name, sent) AS full_name, count(*) AS n FROM definitions GROUP BY doc_id, acronym", "{definitions}")
 q("undefined_acronyms", "text", "SELECT a.doc_id, a.acronym, a.first_at FROM (SELECT doc_id, token AS acronym, min(sent_idx) AS first_at FROM tokens WHERE regexp_like(token, '^[A-Z]{3,5}$') GROUP BY doc_id, token) AS a LEFT ANTI JOIN (SELECT doc_id, acronym FROM definitions) AS d ON a.doc_id = d.doc_id AND a.acronym = d.acronym LEFT ANTI JOIN (SELECT known FROM (VALUES ('URL'), ('HTTP'), ('HTML'), ('JSON'), ('XML')) AS k(known)) AS k ON a.acronym = k.known", "{definitions}")
-q("expletive_unions", "text", "SELECT lower(token) AS term FROM tokens WHERE regexp_like(token, '^[A-Z]{2,4}$') UNION SELECT lower(token) FROM tokens WHERE regexp_like(token, '^[0-9]{2,4}$')")
+q("expletive_unions", "text", "SELECT doc_id, sent_idx, 'there' AS opening FROM sentences WHERE regexp_like(lower(sentence), '^there (is|are|was|were|has|have) ') UNION SELECT doc_id, sent_idx, 'it' FROM sentences WHERE regexp_like(lower(sentence), '^it (is|was|has been) ') UNION SELECT doc_id, sent_idx, 'here' FROM sentences WHERE regexp_like(lower(sentence), '^here (is|are) ')")
 q("new_headwords", "text", "SELECT term, count(*) AS n FROM (SELECT lower(token) AS term FROM tokens) AS t LEFT ANTI JOIN (SELECT known FROM {known}) AS k ON t.term = k.known GROUP BY term")
-q("term_coverage", "text", "SELECT letter, count(*) AS terms, count(CASE WHEN n > 5 THEN 1 END) AS covered, round(100e0 * count(CASE WHEN n > 5 THEN 1 END) / count(*), 4) AS percent FROM (SELECT substr(lower(token), 1, 1) AS letter, lower(token) AS term, count(*) AS n FROM tokens GROUP BY 1, 2) AS t GROUP BY ROLLUP (letter)")
-q("proximity", "text", "SELECT a.doc_id, a.sent_idx, a.pos AS pos_a, b.pos AS pos_b FROM (SELECT * FROM tokens WHERE lower(token) IN ('of', 'des')) AS a JOIN (SELECT * FROM tokens WHERE lower(token) IN ('that', 'der', 'que')) AS b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND abs(a.pos - b.pos) <= 5")
+q("term_coverage", "text", "SELECT letter, count(*) AS terms, count(known) AS covered, round(100e0 * count(known) / count(*), 4) AS percent FROM (SELECT substr(term, 1, 1) AS letter, term, known FROM (SELECT DISTINCT lower(token) AS term FROM tokens) AS t LEFT JOIN (SELECT known FROM {known}) AS k ON t.term = k.known) AS c GROUP BY ROLLUP (letter)")
+q("proximity", "text", f"SELECT a.doc_id, a.sent_idx, a.pos AS pos_a, b.pos AS pos_b, p.place, p.context FROM {PLACES} JOIN tokens AS a ON lower(a.token) = p.place JOIN tokens AS b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND lower(b.token) = p.context AND abs(a.pos - b.pos) <= 5")
 
 # -- issues: filters, dedup, merge, score, compliance, report
 q("scorable_issues", "issues", "SELECT doc_id, ord, rule_name, severity FROM issues WHERE status = 'open'")
