@@ -25,8 +25,8 @@ all languages, however few documents there are; without held-out documents nothi
 
 Texts without tokens (null, empty, blank) have no perplexity and are kept; null and empty languages are languages of
 their own; repeated rows and ties score alike; labels count once a document however often they repeat; an empty table
-gives no rows; the row's other columns come back packed, whatever their names. docs must be the read of a table: rows
-are told apart by their place in it.
+gives no rows; the row's other columns come back packed, whatever their names. Rows are known by common.numbered, which
+holds however a later read is split into tasks.
 """
 
 from __future__ import annotations
