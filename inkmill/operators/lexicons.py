@@ -96,6 +96,42 @@ COMPOUND_MORE = "back up copy|backup copy; command-line interface|command line i
 CONVERSATIONAL = "cease|stop; endeavour|try; furthermore|also; henceforth|from now on; hereafter|from now on; hereby|; herein|here; heretofore|until now; hitherto|until now; inasmuch as|because; inquire|ask; moreover|also; nevertheless|but; nonetheless|but; notwithstanding|despite; peruse|read; pursuant to|under; shall|must; thereafter|then; thereby|so; therefore|so; therein|in it; thereof|of it; thus|so; whereas|while; whereby|by which; whereupon|then; whosoever|whoever"
 GEOGRAPHIC = "america|the United States; england|the United Kingdom; holland|the Netherlands; burma|Myanmar; czech republic|Czechia; swaziland|Eswatini; bombay|Mumbai; calcutta|Kolkata; peking|Beijing; the ukraine|Ukraine"
 
+#: Terms that are inflected, with their replacement; a term not named here is listed as it is.
+VERBS = "utilize leverage commence terminate facilitate demonstrate implement initiate obtain attempt purchase transmit allocate alleviate augment designate determine discontinue illustrate indicate furnish possess request reside validate invoke execute perform finalize eliminate encounter expedite participate exhibit cease inquire"
+NOUNS = "blacklist whitelist middleman chairman salesman component objective methodology modification portion expenditure gotcha kludge quirk combo"
+#: Forms (third person, past, -ing; plural alone for nouns) that the rule of endings would get wrong.
+IRREGULAR = {
+    "begin": ("begins", "began", "beginning"), "buy": ("buys", "bought", "buying"), "do": ("does", "did", "doing"), "find": ("finds", "found", "finding"), "get": ("gets", "got", "getting"),
+    "give": ("gives", "gave", "giving"), "have": ("has", "had", "having"), "let": ("lets", "let", "letting"), "make": ("makes", "made", "making"), "meet": ("meets", "met", "meeting"),
+    "run": ("runs", "ran", "running"), "send": ("sends", "sent", "sending"), "show": ("shows", "showed", "showing"), "stop": ("stops", "stopped", "stopping"),
+    "chairman": ("chairmen",), "middleman": ("middlemen",), "salesman": ("salesmen",), "salesperson": ("salespeople",), "intermediary": ("intermediaries",),
+}
+
+
+def forms(word: str, verb: bool) -> tuple[str, ...]:
+    """Third person, past and -ing of a verb, or the plural of a noun, by its ending."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    soft = word.endswith("y") and word[-2:-1] not in "aeiou"
+    s = word[:-1] + "ies" if soft else word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")
+    if not verb:
+        return (s,)
+    return s, word[:-1] + "ied" if soft else word + ("d" if word.endswith("e") else "ed"), (word[:-1] if word.endswith("e") and not word.endswith("ee") else word) + "ing"
+
+
+def inflected(listed: list[tuple]) -> list[tuple]:
+    """The rows and their inflected forms; a form that is listed already keeps its own entry, a replacement of several words stays as it is."""
+    known, out = {(r[0], r[1]) for r in listed}, list(listed)
+    for rule, term, replacement, *more in listed:
+        verb = term in VERBS.split()
+        if verb or term in NOUNS.split():
+            plain = not replacement or " " in replacement
+            for form, other in zip(forms(term, verb), forms(term, verb) if plain else forms(replacement, verb), strict=True):
+                if (rule, form) not in known:
+                    known.add((rule, form))
+                    out.append((rule, form, replacement if plain else other, *more))
+    return out
+
 
 def _pairs(text: str) -> list[list[str]]:
     return [[part.strip() for part in entry.split("|")] for entry in text.replace("\n", ";").split(";") if entry.strip()]

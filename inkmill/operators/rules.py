@@ -64,6 +64,10 @@ def pattern_issues(sents: DataFrame, rules: tuple[Rule, ...] = RULES, block_type
     return sents.select(*sents.columns, F.explode(F.expr(f"concat({', '.join(parts)})")).alias("issue")).select(*sents.columns, "issue.*")
 
 
+#: Words of a sentence that are looked up together.
+PIECE = 128
+
+
 def lexicon_issues(sents: DataFrame, lexicon: DataFrame, fixed: bool = True) -> DataFrame:
     """sents' columns with rule_name, category, severity, pos (of the first word), start, end, flagged and replacement.
 
@@ -73,15 +77,19 @@ def lexicon_issues(sents: DataFrame, lexicon: DataFrame, fixed: bool = True) ->
     cat = F.when(F.col("rule_type").contains("word_usage"), "word-usage").otherwise("style")
     term = F.split(F.lower("term"), " ")
     lex = lexicon.select(F.col("rule_type").alias("rule_name"), cat.alias("category"), "severity", "replacement", "case_sensitive", F.lower("term").alias("_term"), F.col("term").alias("_exact"), F.size(term).alias("_n"), F.element_at(term, 1).alias("_first"))
-    words = sents.withColumn("_w", T.words("sentence"))
-    each = words.select("*", F.posexplode("_w").alias("pos", "_word"))
+    # Pieces of a sentence, with the words that a term may reach beyond them, so that no word's row carries a very long sentence.
+    gaps = F.slice(F.split("sentence", T.WORD, -1), F.lit(1), F.size("_all"))
+    words = sents.withColumn("_all", T.words("sentence")).withColumn("_sizes", F.zip_with(gaps, "_all", lambda g, w: F.length(g) + F.length(w)))
+    words = words.withColumn("_longest", lex.agg(F.coalesce(F.max("_n"), F.lit(0))).scalar())
+    total = lambda array, n: F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    piece = lambda k: F.struct((k * PIECE).alias("from"), F.slice("_all", k * PIECE + 1, F.col("_longest") + PIECE).alias("w"), F.slice("_sizes", k * PIECE + 1, F.col("_longest") + PIECE).alias("l"), total("_sizes", k * PIECE).alias("base"))
+    last = F.floor((F.greatest(F.size("_all"), F.lit(1)) - 1) / PIECE).cast("int")
+    pieces = words.select(*sents.columns, F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("_p"))
+    each = pieces.select(*sents.columns, "_p", F.posexplode(F.slice("_p.w", 1, PIECE)).alias("_at", "_word"))
     joined = each.join(F.broadcast(lex) if fixed else lex, F.lower("_word") == F.col("_first"))
-    flagged = joined.withColumn("flagged", F.array_join(F.slice("_w", F.col("pos") + 1, F.col("_n")), " "))
-    found = flagged.where("lower(flagged) = _term AND (NOT case_sensitive OR flagged = _exact)").withColumn("_gaps", F.split("sentence", T.WORD, -1))
-    # Before word k lie k + 1 gaps and k words.
-    size = lambda array, n: F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    last = F.col("pos") + F.col("_n")
-    spans = found.withColumn("start", size("_gaps", F.col("pos") + 1) + size("_w", F.col("pos"))).withColumn("end", size("_gaps", last) + size("_w", last))
+    flagged = joined.withColumn("flagged", F.array_join(F.slice("_p.w", F.col("_at") + 1, F.col("_n")), " "))
+    found = flagged.where("lower(flagged) = _term AND (NOT case_sensitive OR flagged = _exact)")
+    spans = found.withColumn("pos", F.col("_p.from") + F.col("_at")).withColumn("start", F.col("_p.base") + total("_p.l", F.col("_at") + 1) - F.length("_word")).withColumn("end", F.col("_p.base") + total("_p.l", F.col("_at") + F.col("_n")))
     return spans.select(*sents.columns, "pos", "start", "end", "flagged", "rule_name", "category", "severity", "replacement")
 
 
@@ -91,13 +99,17 @@ def excepted(issues: DataFrame, exceptions: DataFrame) -> DataFrame:
     return issues.join(each, (F.lower("flagged") == F.col("_t")) & ((F.col("_r") == "*") | (F.col("_r") == F.col("rule_name"))), "left_anti")
 
 
+#: Characters of a bin in which finds meet ranges.
+BIN = 64
+
+
 def outside(issues: DataFrame, ranges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Issues that lie in no protected range (keys, r_start, r_end) of theirs."""
-    on = [F.col(f"i.{k}") == F.col(f"r.{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return issues.alias("i").join(ranges.alias("r"), cond & (F.col("r.r_start") <= F.col("i.start")) & (F.col("i.end") <= F.col("r.r_end")), "left_anti")
+    """Issues that lie in no protected range (keys, r_start, r_end) of theirs; they meet the ranges over the bin they begin in."""
+    binned = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("r_start") / BIN), F.floor(F.col("r_end") / BIN))))
+    cond = F.floor(F.col("i.start") / BIN) == F.col("r._bin")
+    for k in keys:
+        cond = cond & (F.col(f"i.{k}") == F.col(f"r.{k}"))
+    return issues.alias("i").join(binned.alias("r"), cond & (F.col("r.r_start") <= F.col("i.start")) & (F.col("i.end") <= F.col("r.r_end")), "left_anti")
 
 
 def technical(c: str) -> Column:
