@@ -20,7 +20,7 @@ def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming job's plan over the same table read as a batch."""
     out = events.tumbling(spark.read.schema(events.SCHEMA).parquet(f"{sf_dir}/events.parquet"))
-    return out.select(F.col("window.start").cast("string").alias("window_start"), "event_type", "n", F.round("value", 4).alias("value"))
+    return out.select(F.col("window.start").cast("string").alias("window_start"), "event_type", "n", (F.round(F.col("value") * 1e4, 0) / 1e4).alias("value"))
 
 
 def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,24 @@ def _duck(sql: str) -> str:
     return sql.replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
 
 
+def _rounded(sql: str) -> str:
+    """round(x, n) of doubles as DuckDB has it, which rounds x * 10^n; Spark's own goes by the decimal digits that x is shown with."""
+    out, at = "", 0
+    for m in re.finditer(r"\bround\(", sql):
+        if m.start() < at:
+            raise ValueError("rounding within rounding")
+        depth, comma, end = 1, None, m.end()
+        while depth:
+            c = sql[end]
+            depth += (c == "(") - (c == ")")
+            comma = end if c == "," and depth == 1 else comma
+            end += 1
+        n = int(sql[comma + 1 : end - 1])
+        out += f"{sql[at : m.start()]}(round(({sql[m.end() : comma]}) * 1e{n}, 0) / 1e{n})"
+        at = end
+    return out + sql[at:]
+
+
 SYLLABLES = "token_syllables AS (SELECT doc_id, sent_idx, pos, token, greatest(1, size(regexp_extract_all(lower(token), '[aeiouy]+'{all})) - CASE WHEN regexp_like(lower(token), '[^aeiouyl](?:e|es|ed)$') THEN 1 ELSE 0 END) AS syllables FROM tokens)"
 
 
@@ -268,7 +286,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     base, tables, select = Q[name]
     _views(spark, sf_dir, base)
     head = _tables(base, tables, ", 0")
-    return spark.sql((f"WITH {head}\n" if head else "") + select.replace("{known}", KNOWN).replace("{g}", ""))
+    return spark.sql(_rounded((f"WITH {head}\n" if head else "") + select.replace("{known}", KNOWN).replace("{g}", "")))
 
 
 def sql(name: str) -> str:
