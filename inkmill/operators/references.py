@@ -11,6 +11,22 @@ def broken(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return edges.join(anchors.select(F.col("anchor").alias("target")).distinct(), "target", "left_anti")
 
 
+def mutual(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(page_a, page_b), page_a < page_b: pages that refer to each other; edges: (source, target), anchors: (page_id, anchor).
+
+    A page stands as the ways (own anchor, target) that lead to and from it, and two ways meet where each is the other
+    turned round. So no pair is listed that refers one way alone, of which popular anchors have very many.
+    """
+    own = anchors.select("page_id", F.col("anchor").alias("own")).distinct()
+    ways = edges.select(F.col("source").alias("page_id"), "target").distinct().join(own, "page_id")
+    # A way that no other turns round goes before any pair is made.
+    turned = ways.select(F.col("target").alias("own"), F.col("own").alias("target")).distinct()
+    met = ways.join(turned, ["own", "target"], "left_semi")
+    a, b = met.alias("a"), met.alias("b")
+    pairs = a.join(b, (F.col("a.own") == F.col("b.target")) & (F.col("a.target") == F.col("b.own")) & (F.col("a.page_id") < F.col("b.page_id")))
+    return pairs.select(F.col("a.page_id").alias("page_a"), F.col("b.page_id").alias("page_b")).distinct()
+
+
 def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     """(node, length): nodes that reach themselves, and the least number of steps, up to `most`.
 
