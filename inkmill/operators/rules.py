@@ -1,7 +1,7 @@
 """Rule execution: all pattern checks in one pass over the sentences, all word lists in one join.
 
 `pattern_issues` builds one array expression for all the checks asked for and explodes it once, so the sentences are
-scanned once however many rules run. `lexicon_issues` explodes the words once and joins them with the terms' first words; the built-in one is broadcast (its size is fixed), any other one as Spark decides.
+scanned once however many rules run; most sentences are let go by the gates of gates.py. `lexicon_issues` explodes the words once and joins them with the terms' first words; the built-in one is broadcast (its size is fixed), any other one as Spark decides.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import gates
 from .rule_table import RULES, Rule, category, english
 
 ISSUE = "rule_name string, check string, category string, severity string, start int, `end` int, flagged string, message string"
@@ -50,18 +51,18 @@ def pattern_issues(sents: DataFrame, rules: tuple[Rule, ...] = RULES, block_type
 
     Where sents has a column `lang`, rules about English keep to its sentences.
     """
+    chosen = [r for r in rules if not (parity and r.status != "live") and not (r.blocks and not block_type)]
     guarded = "lang" in sents.columns
     parts = []
-    for r in rules:
-        if (parity and r.status != "live") or (r.blocks and not block_type):
-            continue
+    for r in chosen:
+        tests = [f"{block_type} IN ({', '.join(map(_lit, r.blocks))})"] * bool(r.blocks) + [IN_ENGLISH] * (guarded and english(r))
+        tests += [t] if (t := gates.gate(r, "sentence", "_lower", _lit)) else []
         found = issues_of(r, "sentence")
-        if guarded and english(r):
-            found = f"CASE WHEN {IN_ENGLISH} THEN {found} ELSE {EMPTY} END"
-        parts.append(f"CASE WHEN {block_type} IN ({', '.join(map(_lit, r.blocks))}) THEN {found} ELSE {EMPTY} END" if r.blocks else found)
+        parts.append(f"CASE WHEN {' AND '.join(tests)} THEN {found} ELSE {EMPTY} END" if tests else found)
     if not parts:
         raise ValueError("no rule applies")
-    return sents.select(*sents.columns, F.explode(F.expr(f"concat({', '.join(parts)})")).alias("issue")).select(*sents.columns, "issue.*")
+    lowered = sents.select(*sents.columns, F.lower("sentence").alias("_lower"))
+    return lowered.select(*sents.columns, F.explode(F.expr(f"concat({', '.join(parts)})")).alias("issue")).select(*sents.columns, "issue.*")
 
 
 #: Words of a sentence that are looked up together.
