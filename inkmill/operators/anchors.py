@@ -5,7 +5,8 @@ such checkers count in); `resolve` maps their matches back by range and drops th
 
 `anchor` finds where a quote with a few edits stands. Quotes meet their text on common q-grams; a window within k edits has
 at least m - q + 1 - k q of them within k of one diagonal, so bands of diagonals with fewer go (none that could hold a
-match does), and only windows in the bands left are compared, by Spark's own banded edit distance.
+match does), and only windows in the bands left are compared, by Spark's own banded edit distance. A text is looked at in pieces, a band's stretch of it is cut out once, and a
+quote's rows meet in one task.
 
 Null texts and quotes are empty and give nothing; quotes shorter than SHORTEST give nothing; repeated quotes are placed
 each; ties go to the fewest edits, then the earliest start, then the length nearest to the quote's, then the shorter one.
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .content import greedy_chunks
+from .spanmaps import let
 
 SEPARATOR = "\n\n"
 LIMIT = 6000
@@ -67,13 +69,24 @@ def resolve(matches: DataFrame, placed: DataFrame) -> DataFrame:
     return found.select(*matches.columns, "block_idx", "start", "end", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("flagged"))
 
 
+#: Characters of a text that are looked at together: no place is found by counting from the start of a long text.
+PIECE = 128
+
+
 def _grams(text: str) -> Column:
-    """Array of (at, gram) of a column's q-grams."""
+    """Array of (at, gram) of a short column's q-grams."""
     last = F.length(text) - Q
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda k: F.struct(k.alias("at"), F.substring(F.col(text), k + 1, F.lit(Q)).alias("gram")))
 
 
+def _pieces(text: str) -> Column:
+    """Array of the text's stretches of PIECE characters, cut in one pass, each with the first characters of the next one."""
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    more = lambda l, p: F.coalesce(F.substring(F.try_element_at(l, p + 2), 1, Q - 1), F.lit(""))
+    return let(cut, lambda l: F.transform(l, lambda x, p: F.concat(x, more(l, p))))
+
+
 def anchor(quotes: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFrame:
     """(quote_id, start, end, edits) of the window of each quote's text that is nearest to it, within share of its length in edits.
 
@@ -82,20 +95,33 @@ def anchor(quotes: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFra
     if not 0 <= share <= 0.3:
         raise ValueError("beyond 0.3, a window may share no q-gram with its quote")
     long = quotes.where(F.length("quote") >= SHORTEST).withColumns({"m": F.length("quote"), "k": F.floor(share * F.length("quote")).cast("int")})
-    asked = texts.where("text IS NOT NULL").join(long.select("doc_id").distinct(), "doc_id", "left_semi")
-    mine = long.select("quote_id", "doc_id", "m", "k", F.explode(_grams("quote")).alias("g")).select("quote_id", "doc_id", "m", "k", F.col("g.at").alias("i"), "g.gram")
-    theirs = asked.select("doc_id", F.explode(_grams("text")).alias("g")).select("doc_id", F.col("g.at").alias("j"), "g.gram")
+    # A quote meets its text in pieces; all its rows stay in one task from here. What is dealt out is not computed again for each gram.
+    # The number of tasks is told: few bytes are much work here, and Spark would put them together by their bytes.
+    parts = int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = long.select("quote_id", "doc_id", "quote", "m", "k", _grams("quote").alias("mine")).withColumn("known", F.array_distinct("mine.gram"))
+    met = texts.where("text <> ''").join(asked, "doc_id").select("quote_id", "quote", "m", "k", "mine", "known", _pieces("text").alias("pieces")).repartition(parts, "quote_id")
+    pieces = met.select("quote_id", "m", "k", "mine", "known", F.posexplode("pieces").alias("p", "piece"))
+    shared = pieces.select("quote_id", "m", "k", "mine", (F.col("p") * PIECE).alias("base"), F.explode(F.filter(_grams("piece"), lambda g: F.array_contains("known", g["gram"]))).alias("t"))
+    hits = shared.select("quote_id", "m", "k", (F.col("base") + F.col("t.at")).alias("j"), F.explode(F.filter("mine", lambda g: g["gram"] == F.col("t")["gram"])).alias("g"))
     width = F.expr("2 * k + 1")
-    band = F.floor((F.col("j") - F.col("i")) / width)
+    band = F.floor((F.col("j") - F.col("g.at")) / width)
     # Each q-gram of the quote counts once a band, however often the text repeats it there.
-    hits = mine.join(theirs, ["doc_id", "gram"]).select("quote_id", "doc_id", "m", "k", "i", band.alias("band")).distinct()
+    once = hits.select("quote_id", "m", "k", F.col("g.at").alias("i"), band.alias("band")).distinct()
     # A window's diagonals, from k before its start to k after it, lie in two bands next to each other.
-    either = hits.select("quote_id", "doc_id", "m", "k", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    bands = either.groupBy("quote_id", "doc_id", "m", "k", "band").agg(F.count("*").alias("n")).where(f"n >= m - {Q - 1} - k * {Q}")
-    starts = F.sequence(F.greatest(F.col("band") * width, F.lit(0)), F.greatest((F.col("band") + 2) * width, F.lit(0)))
-    tried = bands.select("quote_id", "doc_id", "k", F.explode(starts).alias("start")).distinct().join(long.select("quote_id", "quote"), "quote_id").join(asked, "doc_id")
-    sizes = F.filter(F.sequence(F.length("quote") - WIDER, F.length("quote") + WIDER), lambda n: (n > 0) & (F.col("start") + n <= F.length("text")))
-    cut = tried.select("quote_id", "quote", "k", "start", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("n"), F.substring(F.col("text"), F.col("start").cast("int") + 1, n).alias("w")))).alias("x"))
+    either = once.select("quote_id", "m", "k", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    bands = either.groupBy("quote_id", "m", "k", "band").agg(F.count("*").alias("n")).where(f"n >= m - {Q - 1} - k * {Q}")
+    # What a band's windows may take of the text is cut out once, of the pieces that it lies in.
+    first = F.greatest(F.col("band") * width, F.lit(0)).cast("int")
+    last = F.greatest((F.col("band") + 2) * width, F.lit(0)).cast("int")
+    placed = bands.select("quote_id", first.alias("first"), last.alias("last")).join(met, "quote_id")
+    head = F.floor(F.col("first") / PIECE).cast("int")
+    tail = F.floor((F.col("last") + F.col("m") + WIDER) / PIECE).cast("int")
+    near_by = F.array_join(F.transform(F.slice("pieces", head + 1, tail - head + 1), lambda x: F.substring(x, 1, PIECE)), "")
+    cut_out = F.substring(near_by, F.col("first") - head * PIECE + 1, F.col("last") - F.col("first") + F.col("m") + WIDER)
+    stretch = placed.select("quote_id", "quote", "k", "first", F.explode(F.array(F.struct(cut_out.alias("text"), F.sequence("first", "last").alias("starts")))).alias("s")).select("quote_id", "quote", "k", "first", "s.*")
+    tried = stretch.select("quote_id", "quote", "k", "first", "text", F.explode("starts").alias("start")).withColumn("at", F.col("start") - F.col("first"))
+    sizes = F.filter(F.sequence(F.length("quote") - WIDER, F.length("quote") + WIDER), lambda n: (n > 0) & (F.col("at") + n <= F.length("text")))
+    cut = tried.select("quote_id", "quote", "k", "start", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("n"), F.substring(F.col("text"), F.col("at") + 1, n).alias("w")))).alias("x"))
     # The distance is -1 beyond k edits.
     near = cut.withColumn("edits", F.call_function("levenshtein", F.col("quote"), F.col("x.w"), F.col("k"))).where("edits >= 0")
     best = near.groupBy("quote_id").agg(F.min(F.struct("edits", "start", F.abs(F.col("x.n") - F.length("quote")).alias("off"), F.col("x.n").alias("n"))).alias("b"))
