@@ -10,6 +10,9 @@ Steps are composed by intersecting the runs of both in the text between them, wi
 an as-of search in the same manner. Rows of one key (a document, or a block) are sorted in one task, which spills; no list
 of characters is ever made. Where a flagged text is not at the place that the map gives, `refind` looks for it near by.
 
+Where only finds are to be followed, `traced` needs no composed map: a text goes through all steps in one projection, and
+the finds go back through the steps' own maps, one after the other. The whole map is for `carried` and lookups of any kind.
+
 Null texts are empty; an empty text has no runs; spans that lie outside of every run come back as null.
 """
 
@@ -37,7 +40,7 @@ class Step:
 
 
 def delete(pattern: str) -> Step:
-    return Step(f"({pattern})()()")
+    return fixed(pattern, "")
 
 
 def keep(before: str, kept: str, after: str) -> Step:
@@ -54,9 +57,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _pieces(text: Column, step: Step) -> Column:
-    """Array of (gap, hit, before, kept): the text cut at the finds; the last piece has no hit."""
+    """Array of (gap, hit), and where a group is kept, (before, kept): the text cut at the finds; the last piece has no hit."""
     every = lambda group: F.regexp_extract_all(text, F.lit(step.pattern), F.lit(group))
-    return F.arrays_zip(F.split(text, step.pattern, -1).alias("gap"), every(0).alias("hit"), every(1).alias("before"), every(2).alias("kept"))
+    groups = [] if step.put else [every(1).alias("before"), every(2).alias("kept")]
+    return F.arrays_zip(F.split(text, step.pattern, -1).alias("gap"), every(0).alias("hit"), *groups)
 
 
 def _instead(step: Step, x: Column) -> Column:
@@ -71,7 +75,7 @@ def cleaned(text: Column, step: Step) -> Column:
 def _sizes(text: Column, step: Step) -> Column:
     """Array of the lengths of the pieces: gap, hit, what comes before the kept part, and what stands instead."""
     zero = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
-    one = lambda x: F.struct(zero(x["gap"]).alias("gap"), zero(x["hit"]).alias("hit"), zero(x["before"]).alias("before"), F.when(x["hit"].isNull(), F.lit(0).cast("long")).otherwise(zero(_instead(step, x))).alias("new"))
+    one = lambda x: F.struct(zero(x["gap"]).alias("gap"), zero(x["hit"]).alias("hit"), (F.lit(0).cast("long") if step.put else zero(x["before"])).alias("before"), F.when(x["hit"].isNull(), F.lit(0).cast("long")).otherwise(zero(_instead(step, x))).alias("new"))
     return let(text, lambda t: F.transform(_pieces(t, step), one))
 
 
@@ -137,6 +141,73 @@ def lookup(spans: DataFrame, total: DataFrame, keys: tuple[str, ...], start: str
     return repeated.select(*spans.columns, "raw_start", "raw_end")
 
 
+def _levels(text: Column, steps: list[Step], pattern: str) -> Column:
+    """The pieces of every step, in the text that the steps before it leave, and those of the finds (the level after the steps).
+
+    Each text is made once. A piece is a gap and the hit after it; `made` is the length of what stands for the hit.
+    """
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+
+    def piece(level: int, x: Column, i: Column, before: Column, made: Column, flagged: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), i.alias("i"), size(x["gap"]).alias("gap"), size(x["hit"]).alias("hit"), before.alias("before"), made.alias("made"), flagged.alias("flagged"))
+
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+
+    def follow(t: Column, k: int) -> Column:
+        if k == len(steps):
+            return F.transform(_pieces(t, Step(f"({pattern})", lambda hit: hit)), lambda x, i: piece(k, x, i, zero, size(x["hit"]), x["hit"]))
+        step = steps[k]
+
+        def cut(pieces: Column) -> Column:
+            own = F.transform(pieces, lambda x, i: piece(k, x, i, zero if step.put else size(x["before"]), size(x["new"]), none))
+            left = F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], x["new"])), "")
+            return F.concat(own, let(left, lambda t: follow(t, k + 1)))
+
+        with_new = lambda x: x.withField("new", F.when(x["hit"].isNull(), "").otherwise(_instead(step, x)))
+        return let(F.transform(_pieces(t, step), with_new), cut)
+
+    return let(text, lambda t: follow(t, 0))
+
+
+def traced(texts: DataFrame, steps: list[Step], pattern: str, keys: tuple[str, ...], guard: str | None = None, text: str = "text") -> DataFrame:
+    """(keys, start, end, flagged, raw_start, raw_end): the finds of a pattern in the cleaned texts, and their places in the source.
+
+    Finds that begin, in the source, in a find of `guard` are left out. Pieces and finds of a key are sorted in one task
+    for each step, which spills; a partitioning of texts by the keys is kept.
+    """
+    body, n = F.coalesce(F.col(text), F.lit("")), len(steps)
+    first = 0 if guard is None else -1
+    pieces = _levels(body, steps, pattern)
+    if guard is not None:
+        # The source's own ranges: a step before the others that changes nothing.
+        own = _levels(body, [], guard)
+        pieces = F.concat(pieces, F.transform(own, lambda x: x.withField("level", F.lit(-1)).withField("flagged", F.lit(None).cast("string"))))
+    rows = texts.select(*keys, F.explode_outer(pieces).alias("x")).select(*keys, "x.*")
+    before = Window.partitionBy(*keys, "level").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({"at": F.coalesce(F.sum(F.expr("gap + made")).over(before), F.lit(0)), "src": F.coalesce(F.sum(F.expr("gap + hit")).over(before), F.lit(0))})
+    # A find asks for two places, its first character's (side 0) and its last one's (side 1); a piece has no side.
+    ends = F.when(F.col("level") == n, F.expr("array(0, 1)")).otherwise(F.expr("array(CAST(NULL AS INT))"))
+    asked = placed.where(f"level < {n} OR hit > 0").select("*", F.explode(ends).alias("side")).selectExpr(
+        *keys, "level", "i", "side", "CASE WHEN side = 0 THEN src + gap WHEN side = 1 THEN src + gap + hit - 1 ELSE at END AS pos",
+        f"CASE WHEN level < {n} THEN struct(at, src, gap, hit, before, made) END AS piece",
+        f"CASE WHEN level = {n} THEN struct(src + gap AS start, src + gap + hit AS end, flagged) END AS find",
+    )
+    for level in range(n - 1, first - 1, -1):
+        # Finds stand at the level of the step that they are looked up in, after the pieces that begin where they do.
+        asked = asked.withColumn("level", F.when(F.col("side").isNotNull(), level).otherwise(F.col("level")))
+        order = Window.partitionBy(*keys, "level").orderBy("pos", F.col("side").asc_nulls_first(), "i").rowsBetween(Window.unboundedPreceding, 0)
+        met = asked.withColumn("of", F.last("piece", ignorenulls=True).over(order)).where(f"side IS NOT NULL OR level <> {level}")
+        if level < 0:
+            met = met.where("NOT (side = 0 AND pos - of.at >= of.gap)")
+            asked = met.drop("of")
+            continue
+        kept = steps[level].put is None
+        inside = "of.src + of.gap + of.before + (pos - of.at - of.gap)" if kept else "of.src + of.gap + CASE WHEN side = 1 THEN of.hit - 1 ELSE 0 END"
+        asked = met.withColumn("pos", F.expr(f"CASE WHEN side IS NULL THEN pos WHEN pos - of.at < of.gap THEN of.src + (pos - of.at) ELSE {inside} END")).drop("of")
+    both = asked.groupBy(*keys, "i").agg(F.first("find").alias("find"), F.max(F.expr("CASE WHEN side = 0 THEN pos END")).alias("raw_start"), F.max(F.expr("CASE WHEN side = 1 THEN pos + 1 END")).alias("raw_end"))
+    return both.where("raw_start IS NOT NULL").select(*keys, "find.*", "raw_start", "raw_end")
+
+
 def nearest(text: Column, wanted: Column, hint: Column) -> Column:
     """The place of wanted in text that is closest to hint, the earlier of two alike; -1 if there is none. Overlapping places count."""
     place = lambda head, size: lambda back: F.when(back > 0, F.length(head) - back + 1 - size)
@@ -176,16 +247,25 @@ def ranges(texts: DataFrame, pattern: str, keys: tuple[str, ...], text: str = "t
 
 
 def carried(found: DataFrame, total: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Ranges of the source in the cleaned text: what each run has of them, merged. Ranges that are cleaned away are gone.
+    """Ranges of the source in the cleaned text, merged. Ranges that are cleaned away are gone.
 
-    Runs meet ranges in bins of BIN characters, so that a run meets what lies near it alone.
+    The runs in order tile both texts, so what they have of a range is one stretch, from the first run that ends after
+    the range's begin to the last one that begins before its end: two as-of lookups, whatever the lengths.
     """
-    stretch = total.selectExpr(*keys, "at", "n", "src", "src + width AS over", "kept")
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor((F.col(b) - 1) / BIN)))
-    left = found.where("r_start < r_end").withColumn("bin", bins("r_start", "r_end"))
-    right = stretch.withColumn("bin", bins("src", "over"))
-    met = left.join(right, [*keys, "bin"]).where("r_start < over AND src < r_end").dropDuplicates([*keys, "r_start", "r_end", "at"])
-    inside = met.selectExpr(*keys, "CASE WHEN kept THEN at + greatest(r_start - src, 0) ELSE at END AS r_start", "CASE WHEN kept THEN at + least(r_end, over) - src ELSE at + n END AS r_end")
+    run = F.struct(*RUN).alias("r")
+    first = total.select(*keys, (F.col("src") + F.col("width")).alias("pos"), F.lit(0).alias("side"), run)
+    last = total.select(*keys, F.col("src").alias("pos"), F.lit(1).alias("side"), run)
+    ranged = found.where("r_start < r_end").distinct().select(*keys, F.struct("r_start", "r_end").alias("range"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    asks = ranged.withColumn("pos", F.when(F.col("side") == 0, F.col("range.r_start")).otherwise(F.col("range.r_end")))
+    rows = first.unionByName(last).unionByName(asks, allowMissingColumns=True)
+    # A run that ends at a range's begin, or begins at its end, has nothing of it: such runs stand on the far side.
+    order = Window.partitionBy(*keys, "side").orderBy("pos", F.when(F.col("side") == 0, F.col("range").isNotNull()).otherwise(F.col("range").isNull()), "r.at")
+    after = F.first("r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    upto = F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumn("r", F.when(F.col("side") == 0, after).otherwise(upto)).where("range IS NOT NULL")
+    begin = F.expr("CASE WHEN side = 0 THEN r.at + CASE WHEN r.kept THEN greatest(range.r_start - r.src, 0) ELSE 0 END END")
+    end = F.expr("CASE WHEN side = 1 THEN r.at + CASE WHEN r.kept THEN least(range.r_end - r.src, r.n) ELSE r.n END END")
+    inside = met.groupBy(*keys, "range").agg(F.max(begin).alias("r_start"), F.max(end).alias("r_end")).drop("range").where("r_start < r_end")
     return merged(inside, keys)
 
 

@@ -32,6 +32,8 @@ def _block_tag(hit):
 
 
 HTML_STEPS = [M.Step(f"({MARKUP})()()", _block_tag), M.fixed("[ \\t\\r\\n]+", " "), M.fixed(" ?\\x01 ?", "\x01")]
+#: The same steps, where finds that stand for themselves (a single blank, a border without blanks) are left in their gaps.
+HTML_CHANGES = [HTML_STEPS[0], M.fixed("(?: [ \\t\\r\\n]|[\\t\\r\\n])[ \\t\\r\\n]*", " "), M.fixed(" \\x01 ?|\\x01 ", "\x01")]
 ASCIIDOC_STEPS = [
     M.delete("(?m)^(?:={1,6}|\\*{1,5}|\\.{1,5}) "),
     M.keep("\\*", "[^*\\n]+", "\\*"),
@@ -52,14 +54,12 @@ def _finds(texts: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
 
 def html_issue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds in the blocks of pages, with their places in the block and in the page's HTML."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    text, total = M.clean(pages, HTML_STEPS, ("doc_id",))
-    pieces = text.select("doc_id", F.posexplode(F.split("text", "\x01")).alias("block_idx", "content"))
-    before = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = pieces.withColumn("offset", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0)))
-    found = _finds(blocks, ("doc_id", "block_idx"), "content").join(blocks.select("doc_id", "block_idx", "offset"), ["doc_id", "block_idx"])
-    spans = found.select("doc_id", "block_idx", (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end"), "offset", "flagged")
-    placed = M.lookup(spans, total, ("doc_id",))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).repartition("doc_id")
+    # Borders are followed with the finds: the last one before a find begins its block.
+    found = M.traced(pages, HTML_CHANGES, f"\x01|{FLAGGED}", ("doc_id",))
+    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    border = F.col("flagged") == "\x01"
+    placed = found.withColumns({"block_idx": F.count_if(border).over(before).cast("int"), "offset": F.coalesce(F.max(F.when(border, F.col("end"))).over(before), F.lit(0))}).where(~border)
     cut = F.substring("text", F.col("raw_start").cast("int") + 1, (F.col("raw_end") - F.col("raw_start")).cast("int"))
     return placed.join(pages, "doc_id").select("doc_id", "block_idx", (F.col("start") - F.col("offset")).alias("start"), "flagged", "raw_start", "raw_end", cut.alias("raw_text"))
 
@@ -81,8 +81,7 @@ def asciidoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asciidoc_issue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds in cleaned AsciiDoc, with their places in the source, by the map and, as a check on it, by looking near by."""
     docs = asciidoc(spark, sf_dir)
-    text, total = M.clean(docs, ASCIIDOC_STEPS, ("doc_id",))
-    placed = M.lookup(_finds(text, ("doc_id",), "text"), total, ("doc_id",)).join(docs, "doc_id")
+    placed = M.traced(docs, ASCIIDOC_STEPS, FLAGGED, ("doc_id",)).join(docs, "doc_id")
     again = M.refind(F.col("text"), F.col("flagged"), F.col("raw_start"))
     return placed.select("doc_id", "start", "flagged", "raw_start", "raw_end", again["start"].alias("found_start"))
 
@@ -90,10 +89,9 @@ def asciidoc_issue_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guarded_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of eight letters or more in AsciiDoc without markers, less those that begin in inline code; code is found in the source."""
     docs = asciidoc(spark, sf_dir)
-    text, total = M.clean(docs, [*ASCIIDOC_STEPS[:3], M.keep("`", "[^`\\n]+", "`")], ("doc_id",))
-    code = M.carried(M.ranges(docs, CODE, ("doc_id",)), total, ("doc_id",))
-    words = M.ranges(text, "\\p{L}{8,}", ("doc_id",)).select("doc_id", F.col("r_start").alias("start"), F.col("r_end").alias("end"))
-    return M.outside(words, code, ("doc_id",)).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("start").alias("sum_start"))
+    steps = [*ASCIIDOC_STEPS[:3], M.keep("`", "[^`\\n]+", "`")]
+    words = M.traced(docs, steps, "\\p{L}{8,}", ("doc_id",), guard=CODE)
+    return words.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("start").alias("sum_start"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

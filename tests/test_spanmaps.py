@@ -133,3 +133,32 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     clean, total = M.clean(none, STEPS, ("doc_id",))
     assert clean.count() == total.count() == 0
+
+
+def test_traced_finds_are_those_of_the_map_of_characters(spark):
+    texts = ["a *bb* `b` [ab](#)  b", "", "##  *a b*", "`a b` ab *`ba`* é [b](x) bb", "no hit", "# [*b*](a)  `b``b`"]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    found = lambda guard: sorted(map(tuple, M.traced(docs, STEPS, "[a-c]+", ("doc_id",), guard).collect()))
+    want, guarded = [], []
+    for k, text in enumerate(texts):
+        cleaned, places = slow_clean(text)
+        code = [m.span() for m in re.finditer("`[^`]+`", text)]
+        for m in re.finditer("[a-c]+", cleaned):
+            row = (k, m.start(), m.end(), m[0], places[m.start()][0], places[m.end() - 1][1])
+            want.append(row)
+            guarded += [] if any(a <= row[4] < b for a, b in code) else [row]
+    assert len(want) > len(guarded) > 5
+    assert found(None) == want and found("`[^`]+`") == guarded
+
+
+def test_leaving_out_finds_that_change_nothing_gives_the_same_text(spark):
+    pages = ["<p>a  b</p>\n\n<p> c </p><hr>d\t<b>e</b> f<!-- x --> g", " <div> <p>\r\n x</p> </div> ", "<p><p> <p>", "a&nbsp;\nb"]
+    docs = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")
+    texts = lambda steps: sorted(map(tuple, M.clean(docs, steps, ("doc_id",))[0].collect()))
+    assert texts(spans.HTML_CHANGES) == texts(spans.HTML_STEPS)
+
+
+def test_a_texts_steps_are_run_in_one_projection(spark, sf_dir):
+    """Each branch of the plan that read the texts ran all of their steps again."""
+    plan = spans.html_issue_spans(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(spans.HTML_STEPS) + 1
