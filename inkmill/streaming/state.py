@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Milliseconds that a session lives after its last event.
 TTL = 3_600_000
 OUT = "user_id long, first_ms long, last_ms long, events long, issues long, settled long"
+NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
 #: Statuses after which an issue needs no more work.
 SETTLED = ("accepted", "dismissed", "resolved")
 
@@ -35,43 +36,61 @@ class Sessions(StatefulProcessor):
         self.issues = handle.getMapState("issues", "issue long", "at_ms long, event_id long, status string")
         self.seen = handle.getMapState("seen", "event_id long", "at_ms long")
 
-    def _summary(self, user: int) -> pd.DataFrame:
-        first, last, events = self.span.get()
-        statuses = [v[2] for _, v in self.issues.iterator()]
-        return pd.DataFrame({"user_id": [user], "first_ms": [first], "last_ms": [last], "events": [events], "issues": [len(statuses)], "settled": [sum(s in SETTLED for s in statuses)]})
+    def _summary(self, user: int, span: tuple, issues: dict) -> tuple:
+        return (user, *span, len(issues), sum(v[2] in SETTLED for v in issues.values()))
 
-    def _close(self, user: int) -> pd.DataFrame:
-        out = self._summary(user)
+    def _held(self) -> dict:
+        return {int(k[0]): tuple(v) for k, v in self.issues.iterator()}
+
+    def _forget(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for state in (self.span, self.issues, self.seen):
             state.clear()
-        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # A batch's rows of one user, in the order of time.
+        # A batch's rows of one user, in the order of time. The state is asked only about the session that it holds, and
+        # takes what is left open: sessions that begin and end within the batch never reach it.
+        user, ended = int(key[0]), []
         events = pd.concat(list(rows)).sort_values(["at_ms", "event_id"], kind="stable")
-        for e in events.itertuples(index=False):
-            at, event = int(e.at_ms), int(e.event_id)
-            if self.span.exists() and at >= self.span.get()[1] + self.ttl:
-                yield self._close(int(key[0]))
-            if self.seen.containsKey((event,)):
+        stored = self.span.exists()
+        span, issues, seen = (tuple(self.span.get()) if stored else None), {}, {}
+        columns = (events[c].tolist() for c in ("at_ms", "event_id", "issue", "status"))
+        for at, event, issue, status in zip(*columns, strict=True):
+            if span is not None and at >= span[1] + self.ttl:
+                ended.append(self._summary(user, span, self._held() | issues if stored else issues))
+                if stored:
+                    self._forget()
+                stored, span, issues, seen = False, None, {}, {}
+            if event in seen or (stored and self.seen.containsKey((event,))):
                 continue
-            self.seen.updateValue((event,), (at,))
-            first, last, n = self.span.get() if self.span.exists() else (at, at, 0)
-            self.span.update((min(first, at), max(last, at), n + 1))
-            if pd.notna(e.issue) and e.status is not None:
-                issue = (int(e.issue),)
-                if not self.issues.containsKey(issue) or tuple(self.issues.getValue(issue)[:2]) <= (at, event):
-                    self.issues.updateValue(issue, (at, event, e.status))
-        if self.span.exists():
+            seen[event] = at
+            first, last, n = span or (at, at, 0)
+            span = (min(first, at), max(last, at), n + 1)
+            if pd.notna(issue) and pd.notna(status):
+                issue = int(issue)
+                old = issues.get(issue)
+                if old is None and stored and self.issues.containsKey((issue,)):
+                    old = tuple(self.issues.getValue((issue,)))
+                if old is None or old[:2] <= (at, event):
+                    issues[issue] = (at, event, status)
+        if span is not None and seen:
+            self.span.update(span)
+            for issue, value in issues.items():
+                self.issues.updateValue((issue,), value)
+            for event, at in seen.items():
+                self.seen.updateValue((event,), (at,))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(self.span.get()[1] + self.ttl)
+            self.handle.registerTimer(span[1] + self.ttl)
+        if ended:
+            yield pd.DataFrame(ended, columns=NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.span.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.span.get()[1] + self.ttl:
-            yield self._close(int(key[0]))
+            out = self._summary(int(key[0]), tuple(self.span.get()), self._held())
+            self._forget()
+            yield pd.DataFrame([out], columns=NAMES)
 
     def close(self) -> None:
         pass

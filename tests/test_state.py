@@ -48,3 +48,39 @@ def test_sessions_are_those_of_a_replay(spark, tmp_path):
     assert query.exception() is None
     got = sorted(map(tuple, spark.table("ended").where("user_id < 90").collect()))
     assert got == replay(events, ttl) and any(r[5] for r in got) and len(got) > 10
+
+
+class _Counted:
+    """A state of one value or of a map, which counts the calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.d = {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            _Counted.calls += 1
+            if name in ("update", "updateValue"):
+                self.d[args[0] if len(args) > 1 else None] = args[-1]
+            elif name == "clear":
+                self.d.clear()
+            return {"exists": bool(self.d), "get": self.d.get(None), "iterator": list(self.d.items()), "containsKey": bool(args) and args[0] in self.d, "getValue": self.d.get(args[0]) if args else None, "listTimers": []}.get(name)
+
+        return call
+
+
+def test_sessions_within_a_batch_do_not_pass_through_the_state():
+    """Each event made several calls; now only what is left open does."""
+    import pandas as pd
+
+    job = state.Sessions(100)
+    job.handle = job.span = None
+    job.handle, job.span, job.issues, job.seen = (_Counted() for _ in range(4))
+    batch = lambda ids, step: pd.DataFrame({"at_ms": [i * step for i in ids], "event_id": list(ids), "issue": [i % 3 for i in ids], "status": ["open" if i % 2 else "resolved" for i in ids]})
+    _Counted.calls = 0
+    got = [tuple(r) for d in job.handleInputRows((7,), iter([batch(range(500), 200)]), None) for r in d.values.tolist()]
+    assert got == [(7, 200 * i, 200 * i, 1, 1, int(i % 2 == 0)) for i in range(499)] and _Counted.calls < 20
+    # The open session goes on in the next batch: an event again, a new one in time, one that ends it.
+    later = pd.DataFrame({"at_ms": [99_800, 99_850, 100_000], "event_id": [499, 900, 901], "issue": [1, 5, 6], "status": ["open", "accepted", "open"]})
+    assert [tuple(r) for d in job.handleInputRows((7,), iter([later]), None) for r in d.values.tolist()] == [(7, 99_800, 99_850, 2, 2, 1)]
