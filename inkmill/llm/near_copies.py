@@ -4,11 +4,13 @@ A text is lower-cased (A to Z) and split into words; its set is that of its runs
 there are fewer), each as 56 bits of its XXH64 hash. Texts without words have the empty set and are alike.
 
 1. Equal sets collapse to one node (key: two 64-bit hashes of the sorted set).
+   Sets whose SimHash fingerprints meet in covering LSH (simhash.links) are candidates; those that hold on the whole sets are
+   the first links. Fingerprints of sets at 0.8 may differ in more bits than any covering code affords, so the rest is exact:
 2. Shingles are ordered by rarity: those seen more than once in a sample of the texts come last, by their counts. The
    sample decides the order only; any total order gives exact results.
 3. Prefix filter: sets within the threshold share a shingle among their first n - ceil(0.8 n) + 1. Sets meet on those,
    with the length and the positional filter. Shingles in one prefix only go before anything else.
-4. First each set meets only its shingles' hubs (the most copied set): a large group of near copies settles in as many
+4. First each set meets only its shingles' hubs (the most copied set), where SimHash has not linked both: a large group of near copies settles in as many
    meetings as it has sets. Then the sets outside of the hub's component meet the sets of other components, so that a
    component's own pairs are never listed.
 5. Pairs are verified on the whole sets; those that hold are links.
@@ -19,7 +21,7 @@ No pair at or over the threshold is lost: each is verified, or lies within one c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,28 +75,29 @@ def _sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.w for r in found], dtype=np.int64), np.array([min(127, int(3 * math.log2(r.n))) for r in found], dtype=np.int64)
 
 
-def _marked(rows: DataFrame) -> DataFrame:
-    """(k, h1, h2, n, prefix): each row's set by its hash, its size and its rarest shingles in order."""
+def _marked(rows: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """(k, h1, h2, n, prefix, fp): each row's set by its hash, its size, its rarest shingles in order and its fingerprint."""
     shared = rows.sparkSession.sparkContext.broadcast(_sampled(rows))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_, classes = shared.value
         for batch in batches:
-            h1, h2, sizes, prefixes = [], [], [], []
+            h1, h2, sizes, prefixes, fps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 data = s.tobytes()
                 h1.append(xxhash.xxh64_intdigest(data, 1) - (1 << 63))
                 h2.append(xxhash.xxh64_intdigest(data, 2) - (1 << 63))
                 sizes.append(len(s))
+                fps.append(fingerprint(s))
                 keys = s
                 if len(common_) and len(s):
                     at = np.minimum(np.searchsorted(common_, s), len(common_) - 1)
                     keys = np.sort(s | np.where(common_[at] == s, classes[at], 0) << 56)
                 prefixes.append(keys[: prefix_size(len(s))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["k", "h1", "h2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["k", "h1", "h2", "n", "prefix", "fp"])
 
-    return rows.select("k", "t").mapInArrow(marks, "k long, h1 long, h2 long, n int, prefix array<long>")
+    return rows.select("k", "t").mapInArrow(marks, "k long, h1 long, h2 long, n int, prefix array<long>, fp long")
 
 
 def _may_match(a: str, b: str) -> str:
@@ -115,20 +118,34 @@ def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
     whole = common.written(picked.mapInArrow(sets, "k long, s array<long>"), f"{path}-sets")
     both = pairs.join(whole.selectExpr("k AS x", "s AS sx"), "x").join(whole.selectExpr("k AS y", "s AS sy"), "y")
     shared = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("c"), (F.size("sx") + F.size("sy")).alias("m"))
-    return common.written(shared.where(f"{UP + DOWN} * c >= {UP} * m").select("x", "y"), f"{path}-links")
+    links = common.written(shared.where(f"{UP + DOWN} * c >= {UP} * m").select("x", "y"), f"{path}-links")
+    common.forget(rows.sparkSession, f"{path}-sets")
+    return links
 
 
-def near_copies(rows: DataFrame) -> DataFrame:
+def _by_fingerprint(reps: DataFrame, links: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """(x, y): sets (id, fp) of one fingerprint with the least of them, and those least ones of fingerprints that links joins."""
+    heads = common.written(reps.groupBy("fp").agg(F.min("id").alias("head")), f"{path}/fingerprints")
+    same = reps.join(heads, "fp").where("id <> head").select(F.col("id").alias("x"), F.col("head").alias("y"))
+    ends = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return common.written(same.unionByName(ends.select("x", "y")), f"{path}/fingerprint-pairs")
+
+
+def near_copies(rows: DataFrame, fingerprint: Callable[[np.ndarray], int], links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(k, component) for rows (k, t): component is the least k that links reach, the row's own included.
 
     k is a long without repeats and t a text without nulls; rows is read several times and must be the same each time.
+    fingerprint: a set's SimHash as a signed long; links_of: (a, b), the fingerprints `fp` of a table that are near.
     """
     spark = rows.sparkSession
     common.ship(spark)
     path = common.workspace(spark)
-    marked = common.written(_marked(rows), f"{path}/marked")
+    marked = common.written(_marked(rows, fingerprint), f"{path}/marked")
     nodes = common.written(marked.groupBy("h1", "h2").agg(F.min("k").alias("id"), F.count("*").alias("copies")), f"{path}/nodes")
-    reps = marked.where("n > 0").select(F.col("k").alias("id"), "n", "prefix").join(nodes.select("id", "copies"), "id")
+    reps = marked.where("n > 0").select(F.col("k").alias("id"), "n", "prefix", "fp").join(nodes.select("id", "copies"), "id")
+    alike = _verified(_by_fingerprint(reps.select("id", "fp"), links_of, path), rows, f"{path}/fingerprint")
+    joined = common.written(components(alike.toDF("a", "b")), f"{path}/joined")
+    common.release(spark)
     by_word = Window.partitionBy("word")
     for of in range(PASSES):
         index = reps.select("id", "n", "copies", F.posexplode("prefix").alias("at", "word")).where(F.pmod(F.col("word"), F.lit(PASSES)) == of)
@@ -138,7 +155,10 @@ def near_copies(rows: DataFrame) -> DataFrame:
         common.release(spark)
     index = spark.read.schema(met.schema).parquet(*[f"{path}/index-{of}" for of in range(PASSES)])
     to_hub = index.alias("a").where(f"a.id <> hub.id AND {_may_match('a', 'hub')}").select(F.col("id").alias("x"), F.col("hub.id").alias("y")).distinct()
-    links = _verified(common.written(to_hub, f"{path}/hub-pairs"), rows, f"{path}/hub")
+    for end in ("x", "y"):
+        to_hub = to_hub.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    to_hub = to_hub.where("coalesce(of_x, x) <> coalesce(of_y, y)").select("x", "y")
+    links = alike.unionByName(_verified(common.written(to_hub, f"{path}/hub-pairs"), rows, f"{path}/hub"))
 
     settled = common.written(components(links.toDF("a", "b")), f"{path}/settled")
     placed = index.join(settled.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "at", "word", "hub", F.coalesce("component", "id").alias("component"))

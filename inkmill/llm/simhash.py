@@ -54,6 +54,14 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes, as a signed long: the bits that over half of them have."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[k : k + BLOCK].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def masks() -> list[int]:
     """The 7 tables' masks: bit i has m(i) = 1 + i mod 7; a mask has the bits with odd <m(i), v>."""
     size = 2 ** (RADIUS + 1)
@@ -106,11 +114,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are near copies (near_copies.py) of one of a lesser id; of rows that repeat the least id, the first one (by file and place) stays.
 
+    Covering LSH of SimHash fingerprints gives the first candidates; all are verified, and an exact join finds the rest.
+
     Rows of null ids stay only in components without other ids, one of each.
     """
     rows = common.numbered(docs, {"row": common.packed(docs), "i": F.col(id_col).cast("long"), "t": common.text_of(text_col)})
     # Components of the rows' own numbers; the least (id, number) of each is the one that stays.
-    found = near_copies.near_copies(rows.select("k", "t"))
+    found = near_copies.near_copies(rows.select("k", "t"), majority, links)
     placed = rows.select("k", "i").join(found, "k")
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k")).alias("first")).select(F.col("first.k").alias("k"))
     return rows.join(first, "k", "left_semi").select("row.*")

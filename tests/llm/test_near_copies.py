@@ -53,3 +53,23 @@ def test_edited_copies(spark, tmp_path, edited, monkeypatch, pairs):
 
 def test_smallest_table(spark, sf_dir, texts):
     assert {r.doc_id for r in simhash.keep_one(common.table(spark, sf_dir, "documents")).collect()} == _want(texts)
+
+
+def test_fingerprints_meet_by_covering_lsh_first(spark, tmp_path, edited, monkeypatch):
+    """Candidates come from SimHash's tables; what they link is right, and the hubs get what is left."""
+    spark.createDataFrame(list(edited.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    asked, verified = [], near_copies._verified
+
+    def seen(pairs, rows, path):
+        out = verified(pairs, rows, path)
+        asked.append((path.rsplit("/", 1)[1], pairs.count(), out.collect()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_verified", seen)
+    kept = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert kept == _want(edited) and [name for name, *_ in asked] == ["fingerprint", "hub", "rest"]
+    first, sets = asked[0], list(edited.values())
+    assert first[1] >= len(first[2]) > 5
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    places = {r.k: r.t for r in common.numbered(spark.read.parquet(f"{tmp_path}/d"), {"t": common.text_of("text")}).collect()}
+    assert all(alike(_set(places[r.x]), _set(places[r.y])) for r in first[2]) and set(places.values()) == set(sets)
