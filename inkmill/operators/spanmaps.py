@@ -169,6 +169,19 @@ def _levels(text: Column, steps: list[Step], pattern: str) -> Column:
     return let(text, lambda t: follow(t, 0))
 
 
+def finds_of(texts: DataFrame, patterns: list[str], keys: tuple[str, ...], text: str = "text") -> DataFrame:
+    """(keys, level, start, end, flagged): the finds of several patterns, each by itself; level is the pattern's place in the list.
+
+    Texts are read once and not dealt by key; only finds are.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    at_level = lambda k: lambda x: x.withField("level", F.lit(k))
+    found = F.concat(*[F.transform(_levels(body, [], p), at_level(k)) for k, p in enumerate(patterns)])
+    hits = texts.select(*keys, F.explode_outer(found).alias("x")).select(*keys, "x.level", "x.i", "x.gap", "x.hit", "x.flagged").where("hit > 0").repartition(*keys)
+    upto = Window.partitionBy(*keys, "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return hits.withColumn("end", F.sum(F.expr("gap + hit")).over(upto)).select(*keys, "level", (F.col("end") - F.col("hit")).alias("start"), "end", "flagged")
+
+
 def traced(texts: DataFrame, steps: list[Step], pattern: str, keys: tuple[str, ...], guard: str | None = None, text: str = "text") -> DataFrame:
     """(keys, start, end, flagged, raw_start, raw_end): the finds of a pattern in the cleaned texts, and their places in the source.
 

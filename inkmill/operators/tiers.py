@@ -83,8 +83,17 @@ def first_kept(nodes: DataFrame, groups: DataFrame, watched: DataFrame, pairs: D
     groups: (doc_id, ord, g), the text groups of a node; watched: (doc_id, ord, g), the groups whose members are rivals of
     the node where they come before it; pairs: (doc_id, a, b), a < b, single rivals.
     """
-    state = cut(nodes.select("doc_id", "ord", F.when(F.col("fixed"), True).alias("kept")))
-    groups, watched, pairs = cut(groups.distinct()), cut(watched.distinct()), cut(pairs.distinct())
+    # Only groups with a member before one of their watchers decide anything, and only nodes that have to do with those, or
+    # with pairs, go through the rounds. All others are kept.
+    groups, pairs = groups.distinct(), cut(pairs.distinct())
+    least = groups.groupBy("doc_id", "g").agg(F.min("ord").alias("least"))
+    watched = cut(watched.distinct().join(least, ["doc_id", "g"]).where("least < ord").drop("least"))
+    groups = cut(groups.join(watched.select("doc_id", "g").distinct(), ["doc_id", "g"], "left_semi"))
+    ends = [pairs.select("doc_id", F.col(c).alias("ord")) for c in ("a", "b")]
+    rivals = watched.select("doc_id", "ord").unionByName(groups.select("doc_id", "ord")).unionByName(ends[0]).unionByName(ends[1]).distinct()
+    all_nodes = nodes.join(rivals.withColumn("rival", F.lit(True)), ["doc_id", "ord"], "left")
+    marked = cut(all_nodes.select("doc_id", "ord", F.when(F.col("fixed") | F.col("rival").isNull(), True).alias("kept"), F.col("rival").isNotNull().alias("rival")))
+    alone, state = marked.where("NOT rival").drop("rival"), marked.where("rival").drop("rival")
     while state.where("kept IS NULL").take(1):
         firsts = groups.join(state, ["doc_id", "ord"]).groupBy("doc_id", "g").agg(F.min(F.when(F.col("kept").isNull(), F.col("ord"))).alias("open"), F.min(F.when(F.col("kept"), F.col("ord"))).alias("taken"))
         by_text = watched.join(firsts, ["doc_id", "g"]).select("doc_id", "ord", F.coalesce(F.col("taken") < F.col("ord"), F.lit(False)).alias("beaten"), F.coalesce(F.col("open") < F.col("ord"), F.lit(False)).alias("waits"))
@@ -93,7 +102,7 @@ def first_kept(nodes: DataFrame, groups: DataFrame, watched: DataFrame, pairs: D
         seen = by_text.unionByName(by_span).groupBy("doc_id", "ord").agg(F.max("beaten").alias("beaten"), F.max("waits").alias("waits"))
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
         state = cut(state.join(seen, ["doc_id", "ord"], "left").select("doc_id", "ord", now.alias("kept")))
-    return state
+    return alone.unionByName(state)
 
 
 def _relation(issues: DataFrame, share: float, same: tuple[str, ...], contain: tuple[str, ...] | None):

@@ -26,15 +26,10 @@ FINDERS = (
 def finder_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ord, source, category, flagged, start, end, confidence) of FINDERS over documents; ord runs by source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    parts = []
-    for k, (source, pattern, category) in enumerate(FINDERS):
-        found = M.ranges(docs, pattern, ("doc_id",))
-        parts.append(found.select("doc_id", F.lit(k).alias("finder"), F.lit(source).alias("source"), F.lit(category).alias("category"), F.col("r_start").alias("start"), F.col("r_end").alias("end")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    cut = F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    told = every.join(docs, "doc_id").select("doc_id", "finder", "source", "category", cut.alias("flagged"), "start", "end", (0.5 + (F.col("end") - F.col("start")) % 6 / 10).alias("confidence"))
+    sources, categories = (F.array(*[F.lit(f[c]) for f in FINDERS]) for c in (0, 2))
+    found = M.finds_of(docs, [pattern for _, pattern, _ in FINDERS], ("doc_id",)).withColumnRenamed("level", "finder")
+    confidence = (0.5 + (F.col("end") - F.col("start")) % 6 / 10).alias("confidence")
+    told = found.select("doc_id", "finder", sources[F.col("finder")].alias("source"), categories[F.col("finder")].alias("category"), "flagged", "start", "end", confidence)
     tier = F.when(F.col("source").isin("granular", "global"), "model").otherwise(F.col("source"))
     order = Window.partitionBy("doc_id", tier).orderBy("start", "finder")
     return told.withColumn("ord", F.row_number().over(order)).drop("finder")

@@ -162,3 +162,13 @@ def test_a_texts_steps_are_run_in_one_projection(spark, sf_dir):
     """Each branch of the plan that read the texts ran all of their steps again."""
     plan = spans.html_issue_spans(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == len(spans.HTML_STEPS) + 1
+
+
+def test_finds_of_several_patterns_move_no_text(spark):
+    texts = ["ab b", "", "bb a", None, "xyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = M.finds_of(docs, ["b+", "a|b"], ("doc_id",))
+    want = [(k, n, m.start(), m.end(), m[0]) for k, t in enumerate(texts) for n, p in enumerate(("b+", "a|b")) for m in re.finditer(p, t or "")]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
