@@ -11,8 +11,10 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +24,39 @@ RUNS = "doc_id long, page int, pos int, x double, y double, size double, bold bo
 MARGIN, REPEATED, WATERMARK_SIZE, WATERMARK_WIDTH, HEADING_RATIO, LEVELS = 0.08, 3, 40.0, 0.5, 1.3, (24, 20, 16, 14, 12)
 #: A line further below the last one than this many times its size begins a block.
 GAP = 1.4
-BATCH_ROWS = 20000
+#: Rows of a batch of runs, bytes of text or of files that a worker turns into Python objects or gathers at once; one document at least.
+BATCH_ROWS, BATCH_BYTES = 8192, 1 << 22
 _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|[\[\]]|/[^\s/\[\]()<>]*|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"][A-Za-z0-9*]*", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
+_STREAM = re.compile(rb"stream\r?\n")
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+_PAGES = re.compile(rb"/Type\s*/Pages\b")
+_FONT = re.compile(rb"/Type\s*/Font\b")
+_BOLD = re.compile(rb"/BaseFont\s*/\S*(?i:bold|black|heavy)")
+_NAMED = re.compile(rb"(/[^\s/\[\]()<>]+)\s+(\d+)\s+\d+\s+R")
+_BOX = re.compile(rb"/MediaBox\s*\[\s*([-+.\d]+)\s+([-+.\d]+)\s+([-+.\d]+)\s+([-+.\d]+)")
+#: First bytes of operands and of numbers.
+_OPERAND, _NUMBER = frozenset(b"(<[]/+-.0123456789>"), frozenset(b"+-.0123456789")
+
+
 def _inflated(body: bytes) -> bytes:
-    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
-    if not m:
+    m = _STREAM.search(body)
+    end = body.find(b"endstream", m.end()) if m else -1
+    if end < 0:
         return b""
-    return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in body[: m.start()] else m[1]
+    raw = body[m.end() : end]
+    raw = raw[:-2] if raw.endswith(b"\r\n") else raw[:-1] if raw.endswith((b"\r", b"\n")) else raw
+    return zlib.decompressobj().decompress(raw) if b"FlateDecode" in body[: m.start()] else raw
 
 
 def _objects(data: bytes) -> dict[int, bytes]:
-    found = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)endobj", data, re.S)}
+    found, at = {}, 0
+    while (m := _OBJECT.search(data, at)) and (end := data.find(b"endobj", m.end())) >= 0:
+        found[int(m[1])] = data[m.end() : end]
+        at = end + len(b"endobj")
     for body in [b for b in found.values() if b"/ObjStm" in b]:
         inner, first = _inflated(body), int(re.search(rb"/First\s+(\d+)", body)[1])
         heads = [int(n) for n in inner[:first].split()]
@@ -44,14 +65,19 @@ def _objects(data: bytes) -> dict[int, bytes]:
     return found
 
 
+@cache
+def _entry(key: bytes) -> re.Pattern:
+    return re.compile(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)")
+
+
 def _refs(body: bytes, key: bytes) -> list[int]:
-    m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-    return [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
+    m = _entry(key).search(body)
+    return [int(n) for n in _REF.findall(m[1])] if m else []
 
 
 def _pages(objects: dict[int, bytes]) -> Iterator[tuple[bytes, bytes]]:
     """(page, what it inherits) in reading order; a node that comes again is not entered again."""
-    roots = [n for n, b in objects.items() if re.search(rb"/Type\s*/Pages\b", b) and not _refs(b, b"Parent")]
+    roots = [n for n, b in objects.items() if _PAGES.search(b) and not _refs(b, b"Parent")]
     stack, seen = [(n, b"") for n in reversed(roots)], set()
     while stack:
         n, inherited = stack.pop()
@@ -59,7 +85,7 @@ def _pages(objects: dict[int, bytes]) -> Iterator[tuple[bytes, bytes]]:
         if n in seen:
             continue
         seen.add(n)
-        if re.search(rb"/Type\s*/Pages\b", body):
+        if _PAGES.search(body):
             stack += [(k, body + inherited) for k in reversed(_refs(body, b"Kids"))]
         else:
             yield body, inherited
@@ -83,23 +109,32 @@ def _unicode_map(cmap: bytes) -> dict[int, str] | None:
     return known
 
 
-def _fonts(objects: dict[int, bytes], page: bytes) -> dict[bytes, tuple[bool, bool, dict[int, str] | None]]:
-    """name -> (bold, two bytes a code, code map)."""
+def _font(objects: dict[int, bytes], font: bytes) -> tuple[bool, bool, dict[int, str] | None]:
+    """(bold, two bytes a code, code map)."""
+    cmap = _refs(font, b"ToUnicode")
+    return bool(_BOLD.search(font)), b"/Type0" in font, _unicode_map(_inflated(objects.get(cmap[0], b""))) if cmap else {}
+
+
+def _fonts(objects: dict[int, bytes], page: bytes, read: dict[int, tuple]) -> dict[bytes, tuple[bool, bool, dict[int, str] | None]]:
+    """name -> font; read: the file's fonts by number, each read once for all its pages."""
     resources = page + b"".join(objects.get(n, b"") for n in _refs(page, b"Resources"))
     resources += b"".join(objects.get(n, b"") for n in _refs(resources, b"Font"))
     out = {}
-    for name, n in re.findall(rb"(/[^\s/\[\]()<>]+)\s+(\d+)\s+\d+\s+R", resources):
-        font = objects.get(int(n), b"")
-        if re.search(rb"/Type\s*/Font\b", font) and name not in out:
-            cmap = _refs(font, b"ToUnicode")
-            out[name] = bool(re.search(rb"/BaseFont\s*/\S*(?i:bold|black|heavy)", font)), b"/Type0" in font, _unicode_map(_inflated(objects.get(cmap[0], b""))) if cmap else {}
+    for name, number in _NAMED.findall(resources):
+        n = int(number)
+        if name not in out and _FONT.search(objects.get(n, b"")):
+            if n not in read:
+                read[n] = _font(objects, objects[n])
+            out[name] = read[n]
     return out
 
 
 def _bytes(token: bytes) -> bytes:
     if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
+        digits = b"".join(token[1:-1].split())
         return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    if b"\\" not in token:
+        return token[1:-1]
     plain = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in b"\r\n" else m[1])
     return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S)
 
@@ -118,6 +153,11 @@ def _times(m: tuple, n: tuple) -> tuple:
     return a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + q
 
 
+def _moved(x: float, y: float, n: tuple) -> tuple:
+    a, b, c, d, e, f = n
+    return a, b, c, d, x * a + y * c + e, x * b + y * d + f
+
+
 _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
@@ -126,10 +166,23 @@ def _page_runs(stream: bytes, fonts: dict) -> Iterator[tuple]:
     ctm, kept, line, at, leading, size, font = _ONE, [], _ONE, _ONE, 0.0, 0.0, (False, False, {})
     args: list[bytes] = []
     for token in _TOKEN.findall(stream):
-        if token[:1] in b"(<[]/+-.0123456789>":
+        if token[0] in _OPERAND:
             args.append(token)
             continue
-        number = [float(a) for a in args if a[:1] in b"+-.0123456789"]
+        if token in (b"Tj", b"TJ", b"T*", b"'", b'"'):
+            if token not in (b"Tj", b"TJ"):
+                line = at = _moved(0.0, -leading, line)
+            if token != b"T*":
+                # A wide step back within an array of pieces is a space.
+                text = "".join([_said(a, font) if a[:1] in b"(<" else " " if token == b"TJ" and a[:1] == b"-" and float(a) < -200 else "" for a in args])
+                a, b, c, d, x, y = at if ctm is _ONE else _times(at, ctm)
+                width = len(text) * size / 2
+                if text.strip(" "):
+                    yield x, y, size * math.hypot(c, d), font[0], width * abs(a), text
+                at = _moved(width, 0.0, at)
+            args = []
+            continue
+        number = [float(a) for a in args if a[0] in _NUMBER]
         if token == b"q":
             kept.append(ctm)
         elif token == b"Q" and kept:
@@ -146,48 +199,56 @@ def _page_runs(stream: bytes, fonts: dict) -> Iterator[tuple]:
             line = at = tuple(number)
         elif token in (b"Td", b"TD") and len(number) == 2:
             leading = -number[1] if token == b"TD" else leading
-            line = at = _times((1.0, 0.0, 0.0, 1.0, *number), line)
-        elif token in (b"T*", b"'", b'"'):
-            line = at = _times((1.0, 0.0, 0.0, 1.0, 0.0, -leading), line)
-        if token in (b"Tj", b"TJ", b"'", b'"'):
-            # A wide step back within an array of pieces is a space.
-            text = "".join(_said(a, font) if a[:1] in b"(<" else " " if token == b"TJ" and a[:1] == b"-" and float(a) < -200 else "" for a in args)
-            a, b, c, d, x, y = _times(at, ctm)
-            width = len(text) * size / 2
-            if text.strip(" "):
-                yield x, y, size * math.hypot(c, d), font[0], width * abs(a), text
-            at = _times((1.0, 0.0, 0.0, 1.0, width, 0.0), at)
+            line = at = _moved(*number, line)
         args = []
 
 
 def _file_runs(data: bytes) -> Iterator[tuple]:
-    objects = _objects(data)
+    objects, read = _objects(data), {}
     for number, (page, inherited) in enumerate(_pages(objects), 1):
-        box = re.search(rb"/MediaBox\s*\[\s*([-+.\d]+)\s+([-+.\d]+)\s+([-+.\d]+)\s+([-+.\d]+)", page + inherited)
+        box = _BOX.search(page + inherited)
         left, low, right, high = (float(v) for v in box.groups()) if box else (0.0, 0.0, 612.0, 792.0)
         stream = b"\n".join(_inflated(objects.get(n, b"")) for n in _refs(page, b"Contents"))
-        for pos, (x, y, size, bold, width, text) in enumerate(_page_runs(stream, _fonts(objects, page + inherited))):
+        for pos, (x, y, size, bold, width, text) in enumerate(_page_runs(stream, _fonts(objects, page + inherited, read))):
             yield number, pos, x - left, y - low, size, bold, width, right - left, high - low, text
 
 
+def _portions(batch: pa.RecordBatch, size_of: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of some BATCH_BYTES by a column of sizes, one row at least: what a worker holds does not go by the batch."""
+    begin = held = 0
+    for k, size in enumerate(batch.column(size_of).to_pylist()):
+        if held + (size or 0) > BATCH_BYTES and k > begin:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size or 0
+    yield batch.slice(begin)
+
+
 def runs(files: DataFrame, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """RUNS of every file; ids as they are, null ids too."""
+    fields = [c.split() for c in RUNS.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, rows = [c.split()[0] for c in RUNS.split(", ")], []
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for doc_id, data in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                key = None if pd.isna(doc_id) else int(doc_id)
-                try:
-                    rows += [(key, *r) for r in _file_runs(data or b"")]
-                except (ValueError, TypeError, IndexError, OverflowError, zlib.error):  # a broken file
-                    continue
-                if len(rows) >= BATCH_ROWS:
-                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-                    rows = []
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            for part in _portions(batch, "_size"):
+                for doc_id, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    try:
+                        rows += [(doc_id, *r) for r in _file_runs(data or b"")]
+                    except (ValueError, TypeError, IndexError, OverflowError, zlib.error):  # a broken file
+                        continue
+                    for k in range(0, len(rows) - BATCH_ROWS + 1, BATCH_ROWS):
+                        yield batch_of(rows[k : k + BATCH_ROWS])
+                    rows = rows[len(rows) // BATCH_ROWS * BATCH_ROWS :]
+        if rows:
+            yield batch_of(rows)
 
-    return files.select(F.col(id_col).cast("long"), content).mapInPandas(read, RUNS)
+    return files.select(F.col(id_col).cast("long"), content, F.octet_length(content).alias("_size")).mapInArrow(read, RUNS)
 
 
 def lines(found: DataFrame) -> DataFrame:
@@ -263,7 +324,7 @@ def _pdf(head: str, paragraphs: list[tuple[str, float, bool]]) -> bytes:
         for text, size, bold, first in sheet:
             step = f"18 -{24 if size < 24 else 36} Td" if first else "T*"
             out.append(f"/F{1 + bold} {size} Tf {step} <{text.encode('utf-16-be', 'surrogatepass').hex()}> Tj" + (" -18 0 Td" if first else ""))
-        parts += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (8 + 2 * (number - 1)), stream(zlib.compress(("\n".join(out) + " ET").encode("ascii")), b"/Filter /FlateDecode ")]
+        parts += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (8 + 2 * (number - 1)), stream(zlib.compress(("\n".join(out) + " ET").encode("ascii"), 1), b"/Filter /FlateDecode ")]
     data, places = b"%PDF-1.7\n", []
     for n, body in enumerate(parts, 1):
         places.append(len(data))
@@ -275,8 +336,15 @@ def _pdf(head: str, paragraphs: list[tuple[str, float, bool]]) -> bytes:
 def render(docs: DataFrame) -> DataFrame:
     """(doc_id, content) of docs (doc_id, head, paragraphs of (text, size, bold)): a file each, whatever its length."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "content": [_pdf(h, [(p["text"], p["size"], p["bold"]) for p in ps]) for h, ps in zip(b["head"], b["paragraphs"], strict=True)]})
-
-    return docs.select("doc_id", "head", "paragraphs").mapInPandas(write, "doc_id long, content binary")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _portions(batch, "_size"):
+                listed = b.column(2)
+                said = listed.flatten()
+                rows = list(zip(*[said.field(k).to_pylist() for k in range(3)], strict=True))
+                ends = pa.compute.cumulative_sum(pa.compute.list_value_length(listed)).to_pylist()
+                files = [_pdf(head, rows[begin:end]) for head, begin, end in zip(b.column(1).to_pylist(), [0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    size = F.aggregate("paragraphs", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["text"]))
+    return docs.select(F.col("doc_id").cast("long"), "head", F.transform("paragraphs", lambda p: F.struct(p["text"].alias("text"), p["size"].alias("size"), p["bold"].alias("bold"))).alias("paragraphs"), size.alias("_size")).mapInArrow(write, "doc_id long, content binary")
