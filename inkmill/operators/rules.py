@@ -65,32 +65,47 @@ def pattern_issues(sents: DataFrame, rules: tuple[Rule, ...] = RULES, block_type
     return lowered.select(*sents.columns, F.explode(F.expr(f"concat({', '.join(parts)})")).alias("issue")).select(*sents.columns, "issue.*")
 
 
-#: Words of a sentence that are looked up together.
-PIECE = 128
+#: Words of a sentence whose lengths are summed up together.
+PIECE = 32
+
+
+def _openings(lex: DataFrame) -> str:
+    """SQL, of a word w at place i of _all: whether a term of the lexicon may begin there, by its first two words."""
+    terms = [(r["_n"], r["_first"], r["_second"]) for r in lex.select("_n", "_first", "_second").distinct().collect() if r["_first"] is not None]
+    listed = lambda found: ", ".join(map(_lit, sorted(found)))
+    tests = [f"lower(w) IN ({listed(alone)})"] if (alone := {f for n, f, _ in terms if n == 1}) else []
+    if pairs := {f"{first} {second}" for n, first, second in terms if n > 1}:
+        tests.append(f"lower(w) IN ({listed({f for n, f, _ in terms if n > 1})}) AND concat(lower(w), ' ', lower(get(_all, i + 1))) IN ({listed(pairs)})")
+    return " OR ".join(f"({t})" for t in tests) or "false"
 
 
 def lexicon_issues(sents: DataFrame, lexicon: DataFrame, fixed: bool = True) -> DataFrame:
     """sents' columns with rule_name, category, severity, pos (of the first word), start, end, flagged and replacement.
 
-    Each word meets the terms that open with it, and the terms' other words are compared on those few rows alone. A term
+    Each word meets the terms that open with it, and the terms' other words are compared on those few rows alone. A fixed
+    lexicon is small: its openings are known when the query is built, and only words that open a term become rows. A term
     is flagged where its words follow each other, whatever stands between them; the flagged text has them spaced.
     """
     cat = F.when(F.col("rule_type").contains("word_usage"), "word-usage").otherwise("style")
     term = F.split(F.lower("term"), " ")
-    lex = lexicon.select(F.col("rule_type").alias("rule_name"), cat.alias("category"), "severity", "replacement", "case_sensitive", F.lower("term").alias("_term"), F.col("term").alias("_exact"), F.size(term).alias("_n"), F.element_at(term, 1).alias("_first"))
-    # Pieces of a sentence, with the words that a term may reach beyond them, so that no word's row carries a very long sentence.
+    lex = lexicon.select(F.col("rule_type").alias("rule_name"), cat.alias("category"), "severity", "replacement", "case_sensitive", F.lower("term").alias("_term"), F.col("term").alias("_exact"), F.size(term).alias("_n"), F.element_at(term, 1).alias("_first"), F.get(term, F.lit(1)).alias("_second"))
+    opens = _openings(lex) if fixed else "true"
+    placed = sents.withColumn("_all", T.words("sentence")).withColumn("_at", F.expr(f"filter(transform(_all, (w, i) -> CASE WHEN {opens} THEN i END), x -> x IS NOT NULL)"))
+    # The lengths of words with the gaps before them, where there is any to look up, and their sums by piece: a very long sentence is not summed up for each word.
     gaps = F.slice(F.split("sentence", T.WORD, -1), F.lit(1), F.size("_all"))
-    words = sents.withColumn("_all", T.words("sentence")).withColumn("_sizes", F.zip_with(gaps, "_all", lambda g, w: F.length(g) + F.length(w)))
-    words = words.withColumn("_longest", lex.agg(F.coalesce(F.max("_n"), F.lit(0))).scalar())
-    total = lambda array, n: F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    piece = lambda k: F.struct((k * PIECE).alias("from"), F.slice("_all", k * PIECE + 1, F.col("_longest") + PIECE).alias("w"), F.slice("_sizes", k * PIECE + 1, F.col("_longest") + PIECE).alias("l"), total("_sizes", k * PIECE).alias("base"))
+    sizes = F.when(F.size("_at") > 0, F.zip_with(gaps, "_all", lambda g, w: F.length(g) + F.length(w)))
+    placed = placed.withColumn("_sizes", sizes).withColumn("_longest", lex.agg(F.coalesce(F.max("_n"), F.lit(0))).scalar())
+    total = lambda array, begin, n: F.aggregate(F.slice(array, begin + 1, n), F.lit(0), lambda a, x: a + x)
     last = F.floor((F.greatest(F.size("_all"), F.lit(1)) - 1) / PIECE).cast("int")
-    pieces = words.select(*sents.columns, F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("_p"))
-    each = pieces.select(*sents.columns, "_p", F.posexplode(F.slice("_p.w", 1, PIECE)).alias("_at", "_word"))
+    bases = F.when(F.size("_at") > 0, F.transform(F.sequence(F.lit(0), last), lambda k: total("_sizes", F.lit(0), k * PIECE)))
+    # A word's row carries no more of its sentence than the longest term may take.
+    piece = lambda i: F.floor(i / PIECE).cast("int")
+    word = lambda i: F.struct(i.alias("pos"), (F.get("_bases", piece(i)) + total("_sizes", piece(i) * PIECE, i % PIECE + 1)).alias("until"), F.slice("_all", i + 1, F.col("_longest")).alias("w"), F.slice("_sizes", i + 1, F.col("_longest")).alias("l"))
+    each = placed.withColumn("_bases", bases).select(*sents.columns, F.explode(F.transform("_at", word)).alias("_p")).withColumn("_word", F.element_at("_p.w", 1))
     joined = each.join(F.broadcast(lex) if fixed else lex, F.lower("_word") == F.col("_first"))
-    flagged = joined.withColumn("flagged", F.array_join(F.slice("_p.w", F.col("_at") + 1, F.col("_n")), " "))
+    flagged = joined.withColumn("flagged", F.array_join(F.slice("_p.w", F.lit(1), F.col("_n")), " "))
     found = flagged.where("lower(flagged) = _term AND (NOT case_sensitive OR flagged = _exact)")
-    spans = found.withColumn("pos", F.col("_p.from") + F.col("_at")).withColumn("start", F.col("_p.base") + total("_p.l", F.col("_at") + 1) - F.length("_word")).withColumn("end", F.col("_p.base") + total("_p.l", F.col("_at") + F.col("_n")))
+    spans = found.withColumn("pos", F.col("_p.pos")).withColumn("start", F.col("_p.until") - F.length("_word")).withColumn("end", F.col("_p.until") + total("_p.l", F.lit(1), F.col("_n") - 1))
     return spans.select(*sents.columns, "pos", "start", "end", "flagged", "rule_name", "category", "severity", "replacement")
 
 

@@ -50,3 +50,29 @@ def test_forms():
     named = {t for t in (lexicons.VERBS + " " + lexicons.NOUNS).split()}
     assert named <= {r[1] for r in lexicons.rows()}
     assert len(made) == len(lexicons.inflected(lexicons.rows())) or len(lexicons.rows()) != len({r[:2] for r in lexicons.rows()})
+
+
+def test_terms_and_names_are_looked_up_in_one_pass(spark):
+    """Each text is read once, though names, overlapping finds and those that stand alone are all told apart."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(k, 0, "Kill Switch can kill, LOG IN to the end; utilizes.") for k in range(40)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_idx int, sentence string").repartition(4).mapInArrow(counted, "doc_id long, sent_idx int, sentence string")
+    got = terms.guarded(sents, spark.createDataFrame(LEX, lexicons.SCHEMA), spark.createDataFrame([("none", "none")], "rule_type string, term string"), spark.createDataFrame([("kill switch",)], "term string")).collect()
+    assert sorted((r["start"], r["flagged"]) for r in got if r["doc_id"] == 7) == [(16, "kill"), (22, "LOG"), (22, "LOG IN to"), (41, "utilizes")]
+    assert len(got) == 160 and seen.value == 40
+
+
+def test_names_of_one_start_and_null_keys(spark):
+    """A name that begins where the find does holds it; an outer name goes on holding after a shorter one; a null text has no names."""
+    text = "kill all in the log"
+    assert [(r[1], r[4]) for r in found(spark, [text], protected=["kill all in the log", "all"])] == []
+    assert [(r[1], r[4]) for r in found(spark, [text], protected=["kill all", "in"])] == [(16, "log")]
+    sents = spark.createDataFrame([(None, 0, text)], "doc_id long, sent_idx int, sentence string")
+    rows = terms.guarded(sents, spark.createDataFrame(LEX, lexicons.SCHEMA), spark.createDataFrame([("none", "none")], "rule_type string, term string"), spark.createDataFrame([("kill",)], "term string")).collect()
+    assert sorted(r["flagged"] for r in rows) == ["in", "kill", "log"]
