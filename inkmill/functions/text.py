@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 WORD = "[\\p{L}\\p{N}]+(?:['’-][\\p{L}\\p{N}]+)*"
 SPAN = "array<struct<start: int, end: int, hit: string>>"
-BLANK_ENDS = "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$"
 
 
 def col(c: str | Column) -> Column:
@@ -19,7 +18,7 @@ def col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """As Python's strip for space, tab and line ends."""
-    return F.regexp_replace(col(c), BLANK_ENDS, "")
+    return F.trim(col(c), F.lit(" \t\r\n"))
 
 
 def normalize_whitespace(c: str | Column) -> Column:
