@@ -33,6 +33,11 @@ _shipped: set[str] = set()
 _noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
+def _alone(spark: SparkSession) -> bool:
+    """Whether the master is local, driver and executor in one process; local-cluster has executors of its own."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def workspace(spark: SparkSession) -> str:
     """A fresh folder below the one that all executors share (spark.checkpoint.dir).
 
@@ -80,7 +85,7 @@ def release(spark: SparkSession) -> None:
 
     On a local master, with its small inputs, they wait for that.
     """
-    if spark.sparkContext.master.startswith("local"):
+    if _alone(spark):
         return
     for _ in range(2):
         gc.collect()

@@ -15,7 +15,7 @@ Scoring. The logarithm of an interpolated probability is a sum over the n-grams
 with ctx the logarithm of what a seen context leaves to the lower order, pred what a seen n-gram adds to that, and 0 for
 unseen ones. So each document's n-grams meet the model in one inner join by key, sharded on both sides, and the values
 are summed by document. The joins run in PASSES shares of the keys; only one share of the n-grams is shuffled at a time.
-The table of single symbols, at most 2**SYMBOL_BITS rows, is broadcast.
+Texts become keys in Arrow batches; the values of single symbols, two arrays of 2**SYMBOL_BITS floats, are broadcast.
 
 Thresholds. The model is trained on one half of the trusted documents (by hash of their ids) and the thresholds come from
 the other half, which it has not seen, as it has not seen unlabelled text. A short text gives little evidence, so a
@@ -32,7 +32,12 @@ holds however a later read is split into tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +45,7 @@ from . import common
 
 SYMBOL_BITS = 20
 ORDER = 2
-PASSES = 3
+PASSES = 4
 HIGH = 0.99
 MARGIN = 1.3
 PRIOR = 20
@@ -51,22 +56,58 @@ MASK = (1 << SYMBOL_BITS) - 1
 ORDER_BIT = 3 * SYMBOL_BITS  # up to three orders fit
 
 
-def symbols(text: str, order: int) -> Column:
-    """A text's symbols after order - 1 openings."""
-    found = F.transform(common.words_of(F.col(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(MASK)))
-    return F.concat(F.array_repeat(F.lit(0).cast("long"), order - 1), found)
+def symbols(text: bytes | None, order: int) -> np.ndarray:
+    """A text's symbols after order - 1 openings: those of Spark's xxhash64."""
+    words = (text or b"").split()  # at space and U+0009 to U+000D
+    found = np.zeros(order - 1 + len(words), dtype=np.uint64)
+    found[order - 1 :] = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words))
+    return (found & np.uint64(MASK)).astype(np.int64)
 
 
-def grams(s: Column, size: int) -> Column:
-    """All n-grams of a size in an array of as many symbols or more, without the order in their keys."""
-    found = s
-    for m in range(2, size + 1):
-        found = F.zip_with(F.slice(found, F.lit(1), F.size(s) - (m - 1)), F.slice(s, F.lit(m), F.size(s) - (m - 1)), lambda x, c: F.shiftleft(x, SYMBOL_BITS).bitwiseOR(c))
-    return found
+def _texts(batch: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch (k, text as bytes), the symbols of all texts, each one's row and place in its text, and the rows' lengths."""
+    parts = [symbols(t, order) for t in batch.column(1).to_pylist()]
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    row = np.repeat(np.arange(len(parts)), sizes)
+    return np.concatenate([np.zeros(0, dtype=np.int64), *parts]), row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row], sizes
 
 
-def _of_order(key: str, size: int) -> Column:
-    return F.col(key).bitwiseOR(F.lit(size << ORDER_BIT))
+def _share(key: str) -> str:
+    """SQL: the share of a key, as _grams deals them."""
+    bare = f"({key} & {(1 << ORDER_BIT) - 1}L)"
+    return f"({bare} ^ shiftright({bare}, {SYMBOL_BITS})) % {PASSES}"
+
+
+def _grams(rows: DataFrame, order: int, size: int, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(k, key): the n-grams of a size in rows (k, t) of the share share[0] of share[1] (_share).
+
+    Those of less than the order go from the openings on, with (predicts, opens): the first one is a context alone, the
+    last one a prediction alone.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, shares = share
+        for batch in batches:
+            parts = [symbols(t, order) for t in batch.column(1).to_pylist()]
+            whole = np.array([k for k, p in enumerate(parts) if len(p) >= order], dtype=np.int64)
+            # A shorter n-gram's text begins with one opening less for each symbol that it lacks, but one.
+            parts = [p[max(order - size - 1, 0) :] for p in parts if len(p) >= order]
+            s = np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+            key = s[: max(len(s) - size + 1, 0)]
+            for m in range(1, size):
+                key = key << SYMBOL_BITS | s[m : m + len(key)]
+            ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+            mine = (key ^ key >> SYMBOL_BITS) % shares == of
+            for m in range(1, size):  # these run on into the next text
+                mine[(ends - m)[ends - m < len(mine)]] = False
+            (there,) = np.nonzero(mine)
+            columns = [batch.column(0).take(pa.array(whole[np.searchsorted(ends, there, "right")])), pa.array((key | size << ORDER_BIT)[there])]
+            if size < order:
+                columns += [pa.array(~np.isin(there, np.concatenate([[0], ends[:-1]]))), pa.array(~np.isin(there, ends - size))]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "key", "predicts", "opens"][: len(columns)])
+
+    schema = "k long, key long" if size == order else "k long, key long, predicts boolean, opens boolean"
+    return rows.select("k", F.col("t").cast("binary")).mapInArrow(each, schema)
 
 
 def context(key: str, size: int) -> str:
@@ -97,8 +138,8 @@ class Model:
 
 def train(trusted: DataFrame, path: str, order: int = ORDER) -> Model:
     """trusted: column `text`; order: 2 or 3. Writes the count and feature tables below path."""
-    texts = trusted.select(common.text_of("text").alias("t")).select(symbols("t", order).alias("s")).where(F.size("s") >= order)
-    keys = texts.select(F.explode(grams(F.col("s"), order)).alias("g")).select(_of_order("g", order).alias("key"))
+    common.ship(trusted.sparkSession)
+    keys = _grams(trusted.select(F.lit(0).cast("long").alias("k"), common.text_of("text").alias("t")), order, order)
     counted = {order: common.written(keys.groupBy("key").agg(F.count("*").alias("n")), f"{path}/counts-{order}")}
     for o in range(order, 1, -1):
         counted[o - 1] = common.written(counted[o].groupBy(F.expr(suffix("key", o)).alias("key")).agg(F.count("*").alias("n")), f"{path}/counts-{o - 1}")
@@ -122,8 +163,10 @@ def train(trusted: DataFrame, path: str, order: int = ORDER) -> Model:
 
     def featured(size: int) -> DataFrame:
         """Predictions of n-grams of a size, and what contexts of that size leave: one row a key, in order of the keys."""
-        parts = pred[size - 1] if size > order - 1 else pred[size - 1].unionByName(ctx[size - 1])
-        each = parts.groupBy("key").agg(F.sum("pred").cast("float").alias("pred"), F.sum("ctx").cast("float").alias("ctx"))
+        if size == order:  # one row a key already
+            each = pred[size - 1].select("key", F.col("pred").cast("float"), F.col("ctx").cast("float"))
+        else:
+            each = pred[size - 1].unionByName(ctx[size - 1]).groupBy("key").agg(F.sum("pred").cast("float").alias("pred"), F.sum("ctx").cast("float").alias("ctx"))
         return common.written(each.repartition("key").sortWithinPartitions("key"), f"{path}/features-{size}")
 
     model = Model(order, math.log(spare), {size: featured(size) for size in range(1, order + 1)})
@@ -133,37 +176,49 @@ def train(trusted: DataFrame, path: str, order: int = ORDER) -> Model:
     return model
 
 
+def _single(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """pred and ctx of single symbols, by symbol: 2**SYMBOL_BITS numbers each, however large the corpus is."""
+    found = features.select(F.col("key").bitwiseAND(F.lit(MASK)).alias("s"), "pred", "ctx").toArrow()
+    pred, ctx = np.zeros((2, MASK + 1), dtype=np.float32)
+    at = found.column("s").to_numpy()
+    pred[at], ctx[at] = found.column("pred").to_numpy(), found.column("ctx").to_numpy()
+    return pred, ctx
+
+
 def surprise(rows: DataFrame, model: Model, path: str) -> DataFrame:
     """(k, n, surprise) of rows (k, t) with tokens: their number, and the sum of -log p over them."""
     order, spark = model.order, rows.sparkSession
-    marked = rows.select("k", symbols("t", order).alias("s")).where(F.size("s") >= order)
-
-    def met(size: int, share: Column | None = None) -> DataFrame:
-        """(k, n, v): the values of all n-grams of a size. One that opens the next token's n-gram adds its share as a context."""
-        known = model.features[size]
+    common.ship(spark)
+    shared = spark.sparkContext.broadcast(_single(model.features[1]))
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pred, ctx = shared.value
+        for batch in batches:
+            s, row, place, sizes = _texts(batch, order)
+            # A context is each symbol but the last, and one opening.
+            values = np.where(place >= order - 1, pred[s], 0.0) + np.where((place >= order - 2) & (place < sizes[row] - 1), ctx[s], 0.0)
+            (there,) = np.nonzero(sizes >= order)
+            sums = np.bincount(row, weights=values, minlength=len(sizes))
+            columns = [batch.column(0).take(pa.array(there)), pa.array((sizes - order + 1)[there], pa.int32()), pa.array(sums[there])]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "n", "v"])
+
+    def met(size: int, of: int) -> DataFrame:
+        """(k, n, v): the values of a share of the n-grams of a size. One that opens the next token's n-gram adds its share as a context."""
+        # Its keys are distinct, so that no partition of it is large: it is hashed, and the texts' n-grams are not sorted.
+        known = model.features[size].where(F.expr(_share("key")) == of)
+        each = _grams(rows, order, size, (of, PASSES))
         if size == order:  # only the keys are shuffled, and none is a context
-            each = marked.select("k", F.explode(grams(F.col("s"), size)).alias("g")).select("k", _of_order("g", size).alias("key"))
-            return each.where(share).join(known.where(share).select("key", "pred").hint("merge"), "key").select("k", F.lit(None).cast("int").alias("n"), F.col("pred").cast("double").alias("v"))
-        # From the openings on: the first n-gram is a context alone, the last one a prediction alone.
-        from_ = F.slice("s", F.lit(order - size), F.size("s"))
-        each = marked.select("k", (F.size("s") - (order - 1)).alias("n"), F.posexplode(grams(from_, size)).alias("at", "g")).select("k", "n", _of_order("g", size).alias("key"), (F.col("at") < F.col("n")).alias("opens"))
-        if size == 1:
-            both = each.join(F.broadcast(known), "key", "left")  # at most 2**SYMBOL_BITS + 1 rows
-        else:
-            both = each.where(share).join(known.where(share).hint("merge"), "key")
-        value = F.coalesce(F.col("pred"), F.lit(0.0)) + F.when(F.col("opens"), F.coalesce(F.col("ctx"), F.lit(0.0))).otherwise(0.0)
-        return both.select("k", "n", value.cast("double").alias("v"))
-
-    def summed(df: DataFrame, name: str) -> None:
-        df.groupBy("k").agg(F.max("n").alias("n"), F.sum("v").alias("v")).write.parquet(f"{path}/{name}")
-        common.release(spark)
-        names.append(f"{path}/{name}")
+            return each.select("k", "key").join(known.select("key", "pred").hint("shuffle_hash"), "key").select("k", F.lit(None).cast("int").alias("n"), F.col("pred").cast("double").alias("v"))
+        value = F.when(F.col("predicts"), F.col("pred")).otherwise(0.0) + F.when(F.col("opens"), F.col("ctx")).otherwise(0.0)
+        return each.join(known.hint("shuffle_hash"), "key").select("k", F.lit(None).cast("int").alias("n"), value.cast("double").alias("v"))
 
-    names: list[str] = []
-    summed(met(1), "1")
+    names = [f"{path}/1"]
+    rows.select("k", F.col("t").cast("binary")).mapInArrow(singles, "k long, n int, v double").write.parquet(names[0])
     for size in range(2, order + 1):
         for of in range(PASSES):
-            summed(met(size, F.pmod(F.xxhash64("key"), F.lit(PASSES)) == of), f"{size}-{of}")
+            names.append(f"{path}/{size}-{of}")
+            met(size, of).groupBy("k").agg(F.max("n").alias("n"), F.sum("v").alias("v")).write.parquet(names[-1])
+            common.release(spark)
     sums = spark.read.schema("k long, n int, v double").parquet(*names)
     return sums.groupBy("k").agg(F.max("n").alias("n"), (-(F.sum("v") + F.max("n") * F.lit(model.base))).alias("surprise"))
 
