@@ -38,20 +38,23 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILE = ("abbreviations", "accessibility", "capitalization", "contractions", "ellipses", "exclamation_points", "numbers_general", "punctuation_and_symbols", "quotation_marks", "second_person", "semicolons", "slashes", "spacing", "tone")
 
 
-def profile_issues(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, rule_name, category, severity, start_pos, end_pos, flagged): finds of the profile's rules and of all word lists."""
-    keys = sents.select("doc_id", "lang", "sent_idx", "sentence")
+def profile_issues(sents: DataFrame, guarded: bool = True) -> DataFrame:
+    """(doc_id, sent_idx, rule_name, category, severity, start_pos, end_pos, flagged): finds of the profile's rules and of all word lists.
+
+    Unguarded, rules and lists about English run on texts of every language.
+    """
+    keys = sents.select("doc_id", *["lang"] * guarded, "sent_idx", "sentence")
     by_pattern = pattern_issues(keys, tuple(r for r in RULES if r.rule_type in PROFILE and not r.blocks))
-    by_term = lexicon_issues(keys.where(IN_ENGLISH), lexicons.builtin(sents.sparkSession))
+    by_term = lexicon_issues(keys.where(IN_ENGLISH) if guarded else keys, lexicons.builtin(sents.sparkSession))
     names = ("doc_id", "sent_idx", "rule_name", "category", "severity", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "flagged")
     return by_pattern.select(*names).unionByName(by_term.select(*names)).distinct()
 
 
-def profile_issues_sql() -> str:
+def profile_issues_sql(guarded: bool = True) -> str:
     """As profile_issues, from sentences and w0."""
-    each = [f"SELECT doc_id, sent_idx, {duck.lit(r.rule_type)} AS rule_name, {duck.lit(category(r.rule_type))} AS category, severity, start AS start_pos, \"end\" AS end_pos, flagged FROM ({check_sql(r)})" for r in RULES if r.rule_type in PROFILE and not r.blocks]
+    each = [f"SELECT doc_id, sent_idx, {duck.lit(r.rule_type)} AS rule_name, {duck.lit(category(r.rule_type))} AS category, severity, start AS start_pos, \"end\" AS end_pos, flagged FROM ({check_sql(r, guarded)})" for r in RULES if r.rule_type in PROFILE and not r.blocks]
     lex = [r[:4] for r in lexicons.rows()]
-    terms = f"SELECT doc_id, sent_idx, rule_type, CASE WHEN contains(rule_type, 'word_usage') THEN 'word-usage' ELSE 'style' END, severity, start, \"end\", flagged FROM ({lexicon_sql(lex)})"
+    terms = f"SELECT doc_id, sent_idx, rule_type, CASE WHEN contains(rule_type, 'word_usage') THEN 'word-usage' ELSE 'style' END, severity, start, \"end\", flagged FROM ({lexicon_sql(lex, guarded)})"
     return "\nUNION\n".join([*each, terms])
 
 
@@ -110,10 +113,10 @@ PROSE_SQL = f"(SELECT doc_id, lang, text FROM documents UNION ALL SELECT doc_id:
 BLOCKS_SQL = f"{duck.blocks()},\nblocks AS (SELECT doc_id, block_idx, block_type, level, content FROM html_blocks UNION ALL SELECT doc_id::BIGINT, block_idx::INTEGER, block_type, level::INTEGER, content FROM {_values(BLOCK_SPECIMENS, 'doc_id, block_idx, block_type, level, content')})"
 
 
-def check_sql(r: Rule) -> str:
+def check_sql(r: Rule, guarded: bool = True) -> str:
     """SELECT of one check from sentences, or from block_sentences."""
     source = "sentences" if not r.blocks else f"(SELECT * FROM block_sentences WHERE block_type IN ({', '.join(duck.lit(b) for b in r.blocks)}))"
-    gates = (["coalesce(lang, 'en') = 'en'"] if english(r) and not r.blocks else []) + ([f"regexp_matches(sentence, {duck.lit(r.has)})"] if r.has else []) + ([f"NOT regexp_matches(sentence, {duck.lit(r.lacks)})"] if r.lacks else [])
+    gates = (["coalesce(lang, 'en') = 'en'"] if guarded and english(r) and not r.blocks else []) + ([f"regexp_matches(sentence, {duck.lit(r.has)})"] if r.has else []) + ([f"NOT regexp_matches(sentence, {duck.lit(r.lacks)})"] if r.lacks else [])
     if gates:
         source = f"(SELECT * FROM {source} WHERE {' AND '.join(gates)})"
     left, right = "CASE WHEN start_ > 0 THEN substr(sentence, start_, 1) ELSE '' END", "substr(sentence, end_ + 1, 1)"
@@ -141,7 +144,7 @@ def all_rules_sql() -> str:
     return f"WITH {SENTENCES_SQL} SELECT rule_name, \"check\", category, severity, count(*) AS n_issues, sum(start)::BIGINT AS sum_start FROM ({' UNION ALL '.join(each)}) GROUP BY ALL"
 
 
-def lexicon_sql(lex: list[tuple]) -> str:
+def lexicon_sql(lex: list[tuple], guarded: bool = True) -> str:
     """SELECT of the finds of a lexicon (rule_type, term, replacement, severity) from w0: runs of words by their length and text."""
     longest = max(len(r[1].split(" ")) for r in lex)
     sizes = lambda array, n: f"coalesce(list_sum(list_transform({array}[1:{n}], lambda x: length(x))), 0)"
@@ -149,7 +152,7 @@ def lexicon_sql(lex: list[tuple]) -> str:
       (SELECT r.*, l.*, string_split_regex(sentence, '{duck.WORD}') AS gaps FROM
         (SELECT doc_id, sent_idx, sentence, words, p, n, array_to_string(words[p:p + n - 1], ' ') AS flagged FROM
           (SELECT doc_id, sent_idx, sentence, words, p, unnest(range(1, least({longest}, len(words) - p + 1) + 1)) AS n FROM
-            (SELECT doc_id, sent_idx, sentence, words, unnest(range(1, len(words) + 1)) AS p FROM w0 WHERE coalesce(lang, 'en') = 'en'))) AS r
+            (SELECT doc_id, sent_idx, sentence, words, unnest(range(1, len(words) + 1)) AS p FROM w0{" WHERE coalesce(lang, 'en') = 'en'" * guarded}))) AS r
         JOIN {_values(lex, 'rule_type, term, replacement, severity')} AS l ON lower(r.flagged) = l.term)"""
 
 

@@ -67,6 +67,9 @@ KNOWN = "(VALUES " + ", ".join(f"({duck.lit(w)})" for w in sorted({w.lower() for
 #: Names of places with words that they are misused beside.
 PLACES = "(VALUES ('holland', 'country'), ('holland', 'kingdom'), ('england', 'kingdom'), ('britain', 'ireland'), ('america', 'continent'), ('america', 'country'), ('scandinavia', 'finland')) AS p(place, context)"
 
+#: Queries over the finds in texts of every language: rules and word lists about English are not held back from the others there.
+EVERY_LANGUAGE = {"merge_block_and_full"}
+
 # name: (base views, common tables, select)
 Q: dict[str, tuple[str, str, str]] = {}
 
@@ -264,13 +267,13 @@ def _rounded(sql: str) -> str:
 SYLLABLES = "token_syllables AS (SELECT doc_id, sent_idx, pos, token, greatest(1, size(regexp_extract_all(lower(token), '[aeiouy]+'{all})) - CASE WHEN regexp_like(lower(token), '[^aeiouyl](?:e|es|ed)$') THEN 1 ELSE 0 END) AS syllables FROM tokens)"
 
 
-def _views(spark: SparkSession, sf_dir: str, base: str) -> None:
+def _views(spark: SparkSession, sf_dir: str, base: str, guarded: bool = True) -> None:
     if base in ("text", "issues"):
         sents = T.sentences(R.prose(spark, sf_dir), keys=("doc_id", "lang"))
         sents.createOrReplaceTempView("sentences")
         T.tokens(sents).createOrReplaceTempView("tokens")
     if base == "issues":
-        R.profile_issues(sents).createOrReplaceTempView("raw_issues")
+        R.profile_issues(sents, guarded).createOrReplaceTempView("raw_issues")
     if base == "blocks":
         R.blocks(spark, sf_dir).createOrReplaceTempView("blocks")
     for t in {"events": ("events",), "star": ("lineitem", "orders", "customer", "nation"), "issues": ("labels",), "pages": ("pages",)}.get(base, ()):
@@ -284,7 +287,7 @@ def _tables(base: str, tables: str, all_: str) -> str:
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     base, tables, select = Q[name]
-    _views(spark, sf_dir, base)
+    _views(spark, sf_dir, base, name not in EVERY_LANGUAGE)
     head = _tables(base, tables, ", 0")
     return spark.sql(_rounded((f"WITH {head}\n" if head else "") + select.replace("{known}", KNOWN).replace("{g}", "")))
 
@@ -292,7 +295,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(name: str) -> str:
     base, tables, select = Q[name]
     text = duck.TOKENS.replace("FROM documents", f"FROM {R.PROSE_SQL}")
-    ctes = {"text": text, "issues": f"{text},\nraw_issues AS ({R.profile_issues_sql()})" if base == "issues" else "", "blocks": R.BLOCKS_SQL}.get(base, "")
+    ctes = {"text": text, "issues": f"{text},\nraw_issues AS ({R.profile_issues_sql(name not in EVERY_LANGUAGE)})" if base == "issues" else "", "blocks": R.BLOCKS_SQL}.get(base, "")
     head = ",\n".join(x for x in (ctes, _duck(_tables(base, tables, ""))) if x)
     return (f"WITH {head}\n" if head else "") + _duck(select).replace("{known}", KNOWN).replace("{g}", ", 'g'")
 
