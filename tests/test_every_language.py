@@ -32,6 +32,12 @@ def test_finds_of_every_language(both, name):
     assert {"accessibility", "abbreviations", "word_usage_i"} <= rules[1] and {"accessibility", "abbreviations", "word_usage_i"} <= rules[2]
 
 
+def test_scores_of_every_language(both):
+    got, want = both("label_scores")
+    assert got == want and {q for q, _, _ in got} == {0, 1}
+    assert all(score < 100 for _, _, score in got)
+
+
 def test_other_queries_keep_their_guard(both):
     got, want = both("issue_ids")
     assert got == want and not [r for r in got if r[0] == 1]
