@@ -68,7 +68,7 @@ KNOWN = "(VALUES " + ", ".join(f"({duck.lit(w)})" for w in sorted({w.lower() for
 PLACES = "(VALUES ('holland', 'country'), ('holland', 'kingdom'), ('england', 'kingdom'), ('britain', 'ireland'), ('america', 'continent'), ('america', 'country'), ('scandinavia', 'finland')) AS p(place, context)"
 
 #: Queries over the finds in texts of every language: rules and word lists about English are not held back from the others there.
-EVERY_LANGUAGE = {"merge_block_and_full", "label_scores"}
+EVERY_LANGUAGE = {"merge_block_and_full", "label_scores", "carried_status"}
 
 # name: (base views, common tables, select)
 Q: dict[str, tuple[str, str, str]] = {}

@@ -24,7 +24,7 @@ def both(spark, tmp_path_factory):
     return run
 
 
-@pytest.mark.parametrize("name", ["merge_block_and_full"])
+@pytest.mark.parametrize("name", ["merge_block_and_full", "carried_status"])
 def test_finds_of_every_language(both, name):
     got, want = both(name)
     assert got == want
