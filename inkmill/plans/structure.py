@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,11 +25,20 @@ FINDERS = (
 )
 
 
+def _at_words(pattern: str) -> str:
+    """A pattern of the same finds that takes runs of letters whole and begins at none but their first one, as all finds do.
+
+    Otherwise the search begins anew at each letter of a word, and gives letters back one by one.
+    """
+    whole = re.sub(r"(\\p\{L\}(?:\+|\{\d+,\}))", r"\1+", pattern)
+    return f"(?<!\\p{{L}}){whole}" if pattern.startswith("\\p{L}") else whole
+
+
 def finder_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ord, source, category, flagged, start, end, confidence) of FINDERS over documents; ord runs by source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     sources, categories = (F.array(*[F.lit(f[c]) for f in FINDERS]) for c in (0, 2))
-    found = M.finds_of(docs, [pattern for _, pattern, _ in FINDERS], ("doc_id",)).withColumnRenamed("level", "finder")
+    found = M.finds_of(docs, [_at_words(pattern) for _, pattern, _ in FINDERS], ("doc_id",)).withColumnRenamed("level", "finder")
     confidence = (0.5 + (F.col("end") - F.col("start")) % 6 / 10).alias("confidence")
     told = found.select("doc_id", "finder", sources[F.col("finder")].alias("source"), categories[F.col("finder")].alias("category"), "flagged", "start", "end", confidence)
     tier = F.when(F.col("source").isin("granular", "global"), "model").otherwise(F.col("source"))
