@@ -52,16 +52,22 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 NOT_BLANK = "[^\\x20\\x09-\\x0D]"
+#: Blanks within a line that are no spaces.
+OTHERS = common.BLANKS.replace(" ", "").replace("\n", "")
+
+
+def _plain_lines(text: str) -> Column:
+    """A text's lines with spaces for other blanks, which changes no line's words: a text is searched for those once, not each of its lines."""
+    return F.split(F.when(F.col(text).rlike("[\\x09\\x0B-\\x0D]"), F.translate(text, OTHERS, " " * len(OTHERS))).otherwise(F.col(text)), "\n")
 
 
 def _lines(numbered: DataFrame) -> DataFrame:
-    return numbered.select("k", "i", F.posexplode(F.split("t", "\n")).alias("n", "line")).where(F.col("line").rlike(NOT_BLANK))
+    return numbered.select("k", "i", F.posexplode(_plain_lines("t")).alias("n", "line")).where(F.ltrim("line") != "")
 
 
 def _words(line: str) -> Column:
-    """A line's words; some may be empty."""
-    plain = F.when(F.col(line).rlike("[\\x09-\\x0D]"), F.translate(line, common.BLANKS, " " * len(common.BLANKS))).otherwise(F.col(line))
-    return F.split(plain, " ")
+    """The words of one of _plain_lines; some may be empty."""
+    return F.split(line, " ")
 
 
 def sketch(reps: DataFrame) -> list[int]:
@@ -170,7 +176,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(i, n_lines, removed): for each row of docs its id, lines that are not blank, and the numbers of the removed ones from 0."""
     numbered = _numbered(docs, id_col, text_col)
     stay = survivors(numbered, common.workspace(docs.sparkSession)).groupBy("k").agg(F.collect_list("n").alias("stay"))
-    there = F.array_compact(F.transform(F.split("t", "\n"), lambda line, n: F.when(line.rlike(NOT_BLANK), n)))
+    there = F.array_compact(F.transform(_plain_lines("t"), lambda line, n: F.when(F.ltrim(line) != "", n)))
     whole = numbered.select("k", "i", there.alias("there")).join(stay, "k", "left")
     return whole.select("i", F.size("there").alias("n_lines"), F.array_except("there", F.coalesce("stay", F.array().cast("array<int>"))).alias("removed"))
 
@@ -181,7 +187,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     stay = survivors(numbered, common.workspace(docs.sparkSession)).groupBy("k").agg(F.collect_list("n").alias("stay"))
     whole = numbered.select("k", "t", "row").join(stay, "k", "left")
     stays = F.coalesce("stay", F.array().cast("array<int>"))
-    kept = F.filter(F.split("t", "\n"), lambda line, n: ~line.rlike(NOT_BLANK) | F.array_contains(stays, n))
+    kept = F.filter(F.split("t", "\n"), lambda line, n: F.array_contains(stays, n) | ~line.rlike(NOT_BLANK))
     text = F.when(F.col(f"row.{text_col}").isNotNull(), F.array_join(kept, "\n"))
     return whole.select(*[(text.alias(c) if c == text_col else F.col("row")[c].alias(c)) for c in docs.columns])
 
